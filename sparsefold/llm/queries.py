@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sharding
+from . import jaccard, licenses, mixing, quality, repeats, sharding
 from .store import table
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=1.5).select("doc_id", "source", *mixing.OUTPUT)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return got.select("doc_id", *quality.BASE, "kept", *quality.MEASURES)
@@ -31,5 +35,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op7_quality_rules, op8_licenses)}
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op6_jaccard, op7_quality_rules, op8_licenses, op9_repeats)}
 ORACLES = {"op8_licenses": licenses.ORACLE_SQL}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,20 @@ def words(text) -> F.Column:
 
 def ascii_lower(text) -> F.Column:
     return F.translate(text, UPPER, LOWER)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, for operators with Python functions."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = f"{tempfile.mkdtemp(prefix='spark-package-')}/{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(top.rglob("*.py")):
+            z.write(path, f"{top.name}/{path.relative_to(top)}")
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
