@@ -1,16 +1,64 @@
-"""Corpus pipeline: quality rules, near-duplicate join, decontamination, source mixing, sharding."""
+"""Corpus pipeline: quality rules, near-duplicate join, decontamination, source mixing, sharding.
+
+Each stage takes what its predecessor kept and returns the columns of ``documents``; the last adds the shard
+and slot of each row. Mixing reads every document once and those of small sources up to 1.5 times, so rows may
+repeat from there on.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparsefold.llm import decontaminate, jaccard, mixing, quality, sharding
+from sparsefold.llm.store import save, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BROADCAST_IDS = 1_000_000
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the fences of their language and source reject go."""
+    return quality.quality_rules(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the least doc_id; documents without words are no copies."""
+    joined = save(jaccard.jaccard_components(docs, k=5, percent=80).where("component_id < doc_id").select("doc_id").distinct(), "copies")
+    if joined.count() <= BROADCAST_IDS:
+        joined = F.broadcast(joined)
+    return docs.join(joined, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item in tiles of five words or more go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The draws of a mixture that repeats no source over 1.5 times and reads all at least once."""
+    return mixing.mix(docs, max_repeats=1.5).select(*COLUMNS)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with their shard (0 to 15) and slot."""
+    return sharding.shard(docs, shards=16)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("source mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+#: Sketches, hashes and tiles are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written to the shared folder and read again."""
-    from sparsefold.llm.store import save, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, quality, repeats, sharding
+from . import chat, decontaminate, jaccard, licenses, mixing, quality, repeats, sharding, surrogates, token_counts
 from .store import table
 
+#: The key of the registered query; a real run takes its own.
+KEY = b"registered query"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode("text", "UTF-8")
@@ -18,10 +21,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=1.5).select("doc_id", "source", *mixing.OUTPUT)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -39,5 +54,12 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op6_jaccard, op7_quality_rules, op8_licenses, op9_repeats)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.format_conversations(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_surrogates, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op7_quality_rules, op8_licenses, op9_repeats, op10_chat)}
 ORACLES = {"op8_licenses": licenses.ORACLE_SQL}
