@@ -1,4 +1,463 @@
 """Named queries over the given tables, and the SQL each is held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import audit as A
+from ..operators import likelihood as L
+from ..operators import metrics, prior, ranking, selection
+from ..operators.model import Partition, cell_totals, gene_totals, initial
+from ..functions.special import rank01
+from ..sources import tables
+
+TAU = 64.0
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _r(c, digits: int = 4):
+    return F.round(c, digits)
+
+
+def _query(sql: str | None = None, source: str = "supplier"):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            given = {"supplier": tables.SUPPLIER_BRANDS_SQL, "events": tables.USER_EVENTS_SQL, "documents": tables.DOCUMENT_WORDS_SQL, None: None}[source]
+            ORACLES[f.__name__] = sql if given is None else f"WITH {given}{BASE_SQL}\n{sql}"
+        return f
+
+    return add
+
+
+#: Aggregates that most of the SQL below starts from.
+BASE_SQL = f""",
+genes AS (SELECT gene_id, sum(cnt) AS total, count(*) AS df FROM counts GROUP BY 1),
+freq0 AS (SELECT gene_id, greatest(total / (SELECT sum(total) FROM genes), 1e-12 / (SELECT count(*) FROM genes)) AS p FROM genes),
+prior AS (SELECT gene_id, {TAU} * p / (SELECT sum(p) FROM freq0) AS psi FROM freq0),
+z AS (SELECT sum(psi) AS psi0 FROM prior),
+cells AS (SELECT a.cell_id, a.cluster_id, coalesce(sum(cnt), 0) AS total, count(cnt) AS nnz FROM assign a LEFT JOIN counts USING (cell_id) GROUP BY 1, 2),
+cg AS (SELECT cluster_id, gene_id, sum(cnt) AS cnt FROM counts JOIN assign USING (cell_id) GROUP BY 1, 2),
+cs AS (SELECT cluster_id, count(*) AS n_cells, sum(total) AS total FROM cells GROUP BY 1),
+fit AS (SELECT cluster_id, sum(lgamma(cnt + psi) - lgamma(psi)) AS body FROM cg JOIN prior USING (gene_id) GROUP BY 1),
+cll AS (SELECT cluster_id, n_cells, total, lgamma(psi0) - lgamma(total + psi0) + coalesce(body, 0) AS ll FROM cs LEFT JOIN fit USING (cluster_id), z),
+one AS (SELECT cell_id, sum(lgamma(cnt + psi) - lgamma(psi)) AS body FROM counts JOIN prior USING (gene_id) GROUP BY 1),
+sll AS (SELECT c.cell_id, c.cluster_id, c.total, lgamma(psi0) - lgamma(c.total + psi0) + coalesce(body, 0) AS ll FROM cells c LEFT JOIN one USING (cell_id), z),
+idf AS (SELECT gene_id, count(*) AS df, ln(((SELECT count(*) FROM (SELECT DISTINCT cluster_id FROM cg)) + 1) / (count(*) + 1)) AS idf FROM cg GROUP BY 1)"""
+
+
+class _Given:
+    """The tables that scorers share, derived once per query."""
+
+    def __init__(self, state: Partition, tau: float = TAU):
+        self.state = state
+        self.prior = prior.make_prior(state.counts, state.counts.select("gene_id").distinct(), tau).persist()
+        self.psi0 = L.psi0_of(self.prior)
+        self.cg, self.cs = state.cluster_gene, state.cluster_stat
+        self.totals = cell_totals(state.counts, state.assign)
+
+    @property
+    def model(self):
+        return self.cg, self.cs, self.prior, self.psi0
+
+    def cells(self):
+        return L.cells_as_blocks(self.state.counts, self.totals, self.state.assign)
+
+    def blocks(self):
+        """Cells with an even number, as one block per cluster, if they are not all of it."""
+        a = self.state.assign.withColumn("even", (F.col("cell_id") % 2 == 0).cast("int"))
+        ok = a.groupBy("cluster_id").agg(F.sum("even").alias("k"), F.count(F.lit(1)).alias("n")).where("k > 0 and k < n").select("cluster_id")
+        chosen = a.where("even = 1").join(ok, "cluster_id", "left_semi").select(F.col("cluster_id").alias("block_id"), "cell_id")
+        rows = self.state.block_counts(chosen)
+        n = chosen.join(self.totals, "cell_id").groupBy("block_id").agg(F.sum("total").alias("n"))
+        return rows, n.select("block_id", F.col("block_id").alias("source"), "n")
+
+
+def _supplier(spark, sf_dir):
+    return _Given(tables.supplier_brands(spark, sf_dir))
+
+
+def _documents(spark, sf_dir):
+    return _Given(tables.document_words(spark, sf_dir))
+
+
+@_query("SELECT gene_id, round(psi, 8) AS psi FROM prior", "documents")
+def prior_global_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).prior.select("gene_id", _r("psi", 8).alias("psi"))
+
+
+@_query("""SELECT gene_id, round((total + 1e-12) / (SELECT sum(total + 1e-12) FROM genes), 10) AS psi FROM genes""")
+def prior_audit(spark, sf_dir):
+    s = tables.supplier_brands(spark, sf_dir)
+    return prior.audit_prior(s.counts, s.counts.select("gene_id").distinct()).select("gene_id", _r("psi", 10).alias("psi"))
+
+
+@_query("SELECT CAST(sum(total) AS BIGINT) AS n_umis, count(*) AS n_cells, pow(2.0, round_even(log2(sum(total) / count(*)), 0)) AS tau FROM cells", "documents")
+def auto_tau(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    return prior.auto_tau(s.counts, s.assign)
+
+
+@_query("SELECT cell_id, CAST(total AS BIGINT) AS total, nnz FROM cells", "documents")
+def cell_totals_query(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    return cell_totals(s.counts, s.assign)
+
+
+@_query("SELECT gene_id, CAST(genes.total AS BIGINT) AS total, genes.df AS df FROM genes", "documents")
+def gene_totals_query(spark, sf_dir):
+    return gene_totals(tables.document_words(spark, sf_dir).counts)
+
+
+@_query("SELECT gene_id, df, round(idf, 8) AS idf FROM idf", "documents")
+def gene_df_idf(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    return ranking.idf(s.cluster_gene, "cluster_id").select("gene_id", "df", _r("idf", 8).alias("idf"))
+
+
+@_query("SELECT cluster_id, gene_id, CAST(cnt AS BIGINT) AS cnt FROM cg", "documents")
+def cluster_gene_counts(spark, sf_dir):
+    return tables.document_words(spark, sf_dir).cluster_gene
+
+
+@_query("SELECT cluster_id, n_cells, CAST(total AS BIGINT) AS total FROM cs", "documents")
+def cluster_stats(spark, sf_dir):
+    return tables.document_words(spark, sf_dir).cluster_stat
+
+
+@_query("SELECT cell_id, round(ll, 4) AS ll FROM sll", "documents")
+def cell_singleton_ll(spark, sf_dir):
+    g = _documents(spark, sf_dir)
+    return L.cell_ll(g.state.counts, g.totals, g.prior, g.psi0).select("cell_id", _r("ll").alias("ll"))
+
+
+@_query("SELECT cluster_id, n_cells, CAST(total AS BIGINT) AS total, round(ll, 3) AS ll FROM cll", "documents")
+def cluster_ll(spark, sf_dir):
+    g = _documents(spark, sf_dir)
+    return L.cluster_ll(*g.model).select("cluster_id", "n_cells", "total", _r("ll", 3).alias("ll"))
+
+
+@_query("SELECT round(sum(ll), 2) AS ll FROM cll", "documents")
+def partition_ll(spark, sf_dir):
+    return L.partition_ll(*_documents(spark, sf_dir).model).select(_r("ll", 2).alias("ll"))
+
+
+SCALES = [0.25, 1.0, 4.0]
+
+
+@_query(f"""SELECT s AS scale, round((SELECT sum(lgamma(cnt + psi * s) - lgamma(psi * s)) FROM cg JOIN prior USING (gene_id)) + (SELECT sum(lgamma(psi0 * s) - lgamma(total + psi0 * s)) FROM cs, z), 2) AS ll
+FROM (SELECT CAST(unnest({SCALES}) AS DOUBLE) AS s)""")
+def tau_grid_ll(spark, sf_dir):
+    return L.partition_ll(*_supplier(spark, sf_dir).model, SCALES).select("scale", _r("ll", 2).alias("ll"))
+
+
+@_query("""SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, round(
+lgamma(psi0) - lgamma(a.total + b.total + psi0) + (SELECT sum(lgamma(c + psi) - lgamma(psi)) FROM (SELECT gene_id, sum(cnt) AS c FROM cg WHERE cluster_id IN (a.cluster_id, b.cluster_id) GROUP BY 1) JOIN prior USING (gene_id)) - a.ll - b.ll, 4) AS delta
+FROM cll a JOIN cll b ON a.cluster_id < b.cluster_id, z""")
+def delta_merge_all_pairs(spark, sf_dir):
+    return L.merge_deltas(*_supplier(spark, sf_dir).model).withColumn("delta", _r("delta"))
+
+
+REMOVE_SQL = """,
+rem AS (SELECT c.cell_id, c.cluster_id, c.total, lgamma(s.total + psi0) - lgamma(s.total - c.total + psi0) + coalesce((SELECT sum(lgamma(g.cnt - x.cnt + psi) - lgamma(g.cnt + psi)) FROM counts x JOIN cg g ON g.gene_id = x.gene_id AND g.cluster_id = c.cluster_id JOIN prior p ON p.gene_id = x.gene_id WHERE x.cell_id = c.cell_id), 0) AS removed
+FROM cells c JOIN cs s USING (cluster_id), z)"""
+
+
+def _with(extra: str, sql: str, source: str = "supplier"):
+    given = {"supplier": tables.SUPPLIER_BRANDS_SQL, "events": tables.USER_EVENTS_SQL, "documents": tables.DOCUMENT_WORDS_SQL}[source]
+    return f"WITH {given}{BASE_SQL}{extra}\n{sql}"
+
+
+@_query(_with(REMOVE_SQL, "SELECT r.cell_id, r.cluster_id AS source, round(removed + ll, 4) AS delta FROM rem r JOIN sll USING (cell_id)"), None)
+def delta_peel_all_cells(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    return L.peel_deltas(*g.cells(), *g.model).select(F.col("block_id").alias("cell_id"), "source", _r("delta").alias("delta"))
+
+
+ADD_SQL = REMOVE_SQL + """,
+mv AS (SELECT r.cell_id, r.cluster_id AS source, t.cluster_id AS target, removed + lgamma(t.total + psi0) - lgamma(t.total + r.total + psi0)
+  + coalesce((SELECT sum(lgamma(coalesce(g.cnt, 0) + x.cnt + psi) - lgamma(coalesce(g.cnt, 0) + psi)) FROM counts x LEFT JOIN cg g ON g.gene_id = x.gene_id AND g.cluster_id = t.cluster_id JOIN prior p ON p.gene_id = x.gene_id WHERE x.cell_id = r.cell_id), 0) AS delta
+FROM rem r JOIN cs t ON t.cluster_id <> r.cluster_id, z)"""
+
+
+@_query(_with(ADD_SQL, "SELECT cell_id, source, target, round(delta, 4) AS delta FROM mv", "events"), None)
+def delta_move_all_targets(spark, sf_dir):
+    g = _Given(tables.user_events(spark, sf_dir))
+    return L.move_deltas(*g.cells(), *g.model).select(F.col("block_id").alias("cell_id"), "source", "target", _r("delta").alias("delta"))
+
+
+@_query(_with(ADD_SQL, "SELECT cell_id, source, min_by(target, (-delta, target)) AS target, round(max(delta), 4) AS delta FROM (SELECT cell_id, source, target, round(delta, 6) AS delta FROM mv) GROUP BY 1, 2", "events"), None)
+def best_reassignment_per_cell(spark, sf_dir):
+    g = _Given(tables.user_events(spark, sf_dir))
+    got = L.move_deltas(*g.cells(), *g.model).withColumn("delta", _r("delta", 6))
+    best = got.groupBy("block_id", "source").agg(F.min(F.struct(-F.col("delta"), "target")).alias("b"), F.max("delta").alias("delta"))
+    return best.select(F.col("block_id").alias("cell_id"), "source", F.col("b.target").alias("target"), _r("delta").alias("delta"))
+
+
+BLOCK_SQL = """,
+ev AS (SELECT cluster_id FROM assign GROUP BY 1 HAVING count(*) FILTER (cell_id % 2 = 0) BETWEEN 1 AND count(*) - 1),
+bc AS (SELECT a.cluster_id AS block_id, gene_id, sum(cnt) AS cnt FROM counts JOIN assign a USING (cell_id) WHERE cell_id % 2 = 0 AND a.cluster_id IN (SELECT cluster_id FROM ev) GROUP BY 1, 2),
+bn AS (SELECT block_id, sum(cnt) AS n FROM bc GROUP BY 1),
+own AS (SELECT block_id, lgamma(psi0) - lgamma(n + psi0) + (SELECT sum(lgamma(cnt + psi) - lgamma(psi)) FROM bc b JOIN prior USING (gene_id) WHERE b.block_id = bn.block_id) AS ll FROM bn, z),
+brem AS (SELECT block_id, n, lgamma(s.total + psi0) - lgamma(s.total - n + psi0) + (SELECT sum(lgamma(g.cnt - b.cnt + psi) - lgamma(g.cnt + psi)) FROM bc b JOIN cg g ON g.gene_id = b.gene_id AND g.cluster_id = b.block_id JOIN prior p ON p.gene_id = b.gene_id WHERE b.block_id = bn.block_id) AS removed FROM bn JOIN cs s ON s.cluster_id = block_id, z)"""
+
+
+@_query(_with(BLOCK_SQL, "SELECT block_id, block_id AS source, round(removed + ll, 4) AS delta FROM brem JOIN own USING (block_id)"), None)
+def delta_block_peel(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    return L.peel_deltas(*g.blocks(), *g.model).withColumn("delta", _r("delta"))
+
+
+@_query(_with(BLOCK_SQL, """SELECT b.block_id, b.block_id AS source, t.cluster_id AS target, round(removed + lgamma(t.total + psi0) - lgamma(t.total + n + psi0) + (SELECT sum(lgamma(coalesce(g.cnt, 0) + x.cnt + psi) - lgamma(coalesce(g.cnt, 0) + psi)) FROM bc x LEFT JOIN cg g ON g.gene_id = x.gene_id AND g.cluster_id = t.cluster_id JOIN prior p ON p.gene_id = x.gene_id WHERE x.block_id = b.block_id), 4) AS delta
+FROM brem b JOIN cs t ON t.cluster_id <> b.block_id, z"""), None)
+def delta_block_move(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    return L.move_deltas(*g.blocks(), *g.model).withColumn("delta", _r("delta"))
+
+
+@_query(_with(ADD_SQL, """, best AS (SELECT cell_id, source, min_by(target, (-delta, target)) AS target, max(delta) AS delta FROM (SELECT cell_id, source, target, round(delta, 6) AS delta FROM mv) GROUP BY 1, 2)
+SELECT source, target, array_to_string(list(cell_id ORDER BY cell_id), ',') AS cells, round(sum(delta), 4) AS delta_sum FROM best JOIN cs ON cluster_id = source WHERE delta > 0 GROUP BY source, target, n_cells HAVING count(*) >= 2 AND count(*) < n_cells""", "events"), None)
+def grouped_block_moves(spark, sf_dir):
+    g = _Given(tables.user_events(spark, sf_dir))
+    got = L.move_deltas(*g.cells(), *g.model).withColumn("delta", _r("delta", 6))
+    best = got.groupBy("block_id", "source").agg(F.min(F.struct((-F.col("delta")).alias("m"), "target")).alias("b"))
+    best = best.select(F.col("block_id").alias("cell_id"), "source", F.col("b.target").alias("target"), (-F.col("b.m")).alias("delta"))
+    blocks = selection.grouped_moves(best, g.cs)
+    return blocks.select("source", "target", F.array_join("cells", ",").alias("cells"), _r("delta_sum").alias("delta_sum"))
+
+
+@_query("SELECT gene_id, cluster_id, CAST(cnt AS BIGINT) AS cnt, rank FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY cnt DESC, cluster_id) AS rank FROM cg) WHERE rank <= 24", "documents")
+def postings_topk(spark, sf_dir):
+    return ranking.postings(tables.document_words(spark, sf_dir).cluster_gene).select("gene_id", "cluster_id", "cnt", "rank")
+
+
+SIG_SQL = """,
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cnt DESC, gene_id) AS r FROM cg) WHERE r <= 48),
+pw AS (SELECT cluster_id, gene_id, cnt, cnt * greatest(idf, 0) AS w, max(cnt * greatest(idf, 0)) OVER (PARTITION BY cluster_id) AS best FROM pool JOIN idf USING (gene_id)),
+sig AS (SELECT * FROM (SELECT cluster_id, gene_id, cnt, CASE WHEN best > 0 THEN w ELSE cnt END AS weight, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN best > 0 THEN w ELSE cnt END DESC, gene_id) AS rank FROM pw) WHERE rank <= 16)"""
+
+
+@_query(_with(SIG_SQL, "SELECT cluster_id, gene_id, CAST(cnt AS BIGINT) AS cnt, round(weight, 6) AS weight, rank FROM sig", "documents"), None)
+def cluster_signatures(spark, sf_dir):
+    return ranking.signatures(tables.document_words(spark, sf_dir).cluster_gene).withColumn("weight", _r("weight", 6))
+
+
+NEIGHBOUR_SQL = SIG_SQL + """,
+post AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY cnt DESC, cluster_id) AS r FROM cg) WHERE r <= 24),
+sc AS (SELECT s.cluster_id AS source, p.cluster_id AS target, sum(least(s.weight, p.cnt * greatest(idf, 0))) AS score FROM sig s JOIN post p ON s.gene_id = p.gene_id AND s.cluster_id <> p.cluster_id JOIN idf i ON i.gene_id = s.gene_id GROUP BY 1, 2),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 7) DESC, target) AS rank FROM sc WHERE score > 0) WHERE rank <= 8)"""
+
+
+@_query(_with(NEIGHBOUR_SQL, "SELECT source, target, round(score, 5) AS score, rank, round(score / sum(score) OVER (PARTITION BY source), 6) AS share FROM nb", "documents"), None)
+def merge_neighbors(spark, sf_dir):
+    got = ranking.merge_neighbours(tables.document_words(spark, sf_dir).cluster_gene)
+    return got.select("source", "target", _r("score", 5).alias("score"), "rank", _r("share", 6).alias("share"))
+
+
+@_query(_with(NEIGHBOUR_SQL, "SELECT least(source, target) AS cluster_a, greatest(source, target) AS cluster_b, round(sum(score), 5) AS score FROM nb GROUP BY 1, 2", "documents"), None)
+def merge_pair_scores(spark, sf_dir):
+    return ranking.merge_pairs(ranking.merge_neighbours(tables.document_words(spark, sf_dir).cluster_gene)).withColumn("score", _r("score", 5))
+
+
+@_query(_with("""
+, post AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY cnt DESC, cluster_id) AS r FROM cg) WHERE r <= 24),
+sc AS (SELECT x.cell_id, a.cluster_id AS source, p.cluster_id AS target, sum(least(x.cnt, p.cnt) * greatest(idf, 0)) AS score FROM counts x JOIN assign a USING (cell_id) JOIN post p ON p.gene_id = x.gene_id JOIN idf i ON i.gene_id = x.gene_id GROUP BY 1, 2, 3)""",
+"SELECT cell_id, source, target, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(score, 7) DESC, target) AS rank FROM sc WHERE score > 0 AND source <> target) WHERE rank <= 8", "documents"), None)
+def rank_targets(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    blocks, sources = L.cells_as_blocks(s.counts, cell_totals(s.counts, s.assign), s.assign)
+    got = ranking.rank_targets(blocks, sources, s.cluster_gene)
+    return got.select(F.col("block_id").alias("cell_id"), "source", "target", _r("score", 5).alias("score"), "rank")
+
+
+@_query("""SELECT x.cell_id, round(sum(x.cnt * ln((g.cnt + 1) / (s.total + c.nnz))), 4) AS fit FROM counts x JOIN cells c USING (cell_id) JOIN cg g ON g.cluster_id = c.cluster_id AND g.gene_id = x.gene_id JOIN cs s ON s.cluster_id = c.cluster_id GROUP BY 1""", "documents")
+def cell_fit_score(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    return ranking.fit_scores(s.counts, s.assign, s.cluster_gene, s.cluster_stat).withColumn("fit", _r("fit"))
+
+
+@_query("SELECT cluster_id, cell_id, CASE WHEN count(*) OVER (PARTITION BY cluster_id) <= 1 THEN 1.0 ELSE (row_number() OVER (PARTITION BY cluster_id ORDER BY total, cell_id) - 1) / (count(*) OVER (PARTITION BY cluster_id) - 1) END AS rank FROM cells", "documents")
+def rank01_of_totals(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    cells = cell_totals(s.counts, s.assign).join(s.assign, "cell_id")
+    return cells.select("cluster_id", "cell_id", rank01([F.col("total"), F.col("cell_id")], ["cluster_id"]).alias("rank"))
+
+
+@_query("""SELECT s.cell_id AS seed_id, x.cell_id, round(sum(least(x.cnt, s.cnt) * greatest(idf, 0)), 5) AS overlap FROM counts s JOIN counts x USING (gene_id) JOIN idf USING (gene_id) WHERE s.cell_id % 100 = 0 GROUP BY 1, 2""", "documents")
+def rare_overlap(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    seeds = s.counts.where("cell_id % 100 = 0").select(F.col("cell_id").alias("seed_id"), "gene_id", "cnt")
+    return ranking.rare_overlap(seeds, s.counts, ranking.idf(s.cluster_gene, "cluster_id")).withColumn("overlap", _r("overlap", 5))
+
+
+@_query(_with("""
+, ci AS (SELECT gene_id, ln(((SELECT count(DISTINCT cell_id) FROM counts) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY 1),
+top AS (SELECT cell_id, gene_id, w FROM (SELECT cell_id, gene_id, cnt * idf AS w, row_number() OVER (PARTITION BY cell_id ORDER BY round(cnt * idf, 9) DESC, gene_id) AS r FROM counts JOIN ci USING (gene_id)) WHERE r <= 24 AND w > 0),
+pr AS (SELECT a.cell_id AS src, b.cell_id AS dst, sum(least(a.w, b.w)) AS w FROM top a JOIN top b ON a.gene_id = b.gene_id AND a.cell_id <> b.cell_id GROUP BY 1, 2),
+k1 AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 7) DESC, dst) AS r FROM pr) WHERE r <= 15),
+bo AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM k1 UNION ALL SELECT dst, src, w FROM k1) GROUP BY 1, 2)""",
+"SELECT src, dst, round(w, 5) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 7) DESC, dst) AS r FROM bo) WHERE r <= 15", "documents"), None)
+def overlap_graph_edges(spark, sf_dir):
+    return ranking.overlap_graph(tables.document_words(spark, sf_dir).counts).withColumn("w", _r("w", 5))
+
+
+def _labels(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents")
+    a = docs.select(F.col("doc_id").alias("cell_id"), F.col("source").alias("cluster_id"))
+    return a, docs.select(F.col("doc_id").alias("cell_id"), F.col("lang").alias("cluster_id"))
+
+
+@_query("SELECT source AS label_a, lang AS label_b, count(*) AS n FROM documents GROUP BY 1, 2", None)
+def contingency(spark, sf_dir):
+    return metrics.contingency(*_labels(spark, sf_dir))
+
+
+@_query("""WITH t AS (SELECT count(*) AS n FROM documents GROUP BY source, lang), a AS (SELECT count(*) AS n FROM documents GROUP BY source), b AS (SELECT count(*) AS n FROM documents GROUP BY lang),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS t, (SELECT sum(n * (n - 1) / 2) FROM a) AS p, (SELECT sum(n * (n - 1) / 2) FROM b) AS q, (SELECT count(*) FROM documents) AS n)
+SELECT n, round((n * (n - 1) / 2 + 2 * t - p - q) / (n * (n - 1) / 2), 8) AS rand_index, round((t - p * q / (n * (n - 1) / 2)) / ((p + q) / 2 - p * q / (n * (n - 1) / 2)), 8) AS ari, round(t / sqrt(p * q), 8) AS fms FROM s""", None)
+def label_agreement(spark, sf_dir):
+    got = metrics.agreement(metrics.contingency(*_labels(spark, sf_dir)))
+    return got.select("n", *[_r(c, 8).alias(c) for c in ("rand_index", "ari", "fms")])
+
+
+@_query("SELECT cell_id, CAST(dense_rank() OVER (ORDER BY cluster_id) - 1 AS BIGINT) AS cluster_id FROM (SELECT cell_id, cluster_id * 7 + 3 AS cluster_id FROM assign)", "documents")
+def relabel_consecutive(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    return Partition(s.counts, s.assign.select("cell_id", (F.col("cluster_id") * 7 + 3).alias("cluster_id"))).relabelled().assign
+
+
+@_query("SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS row FROM documents WHERE false", None)
+def state_validate(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    moved = s.merge(s.assign.sparkSession.createDataFrame([(0, 1)], "cluster_a long, cluster_b long"))
+    return moved.violations(moved.cluster_gene, moved.cluster_stat)
+
+
+@_query("SELECT cell_id, CASE WHEN cluster_id % 2 = 1 AND cluster_id - 1 IN (SELECT cluster_id FROM assign) THEN cluster_id - 1 ELSE cluster_id END AS cluster_id FROM assign", "documents")
+def merged_clusters(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    ids = s.assign.select("cluster_id").distinct()
+    pairs = ids.where("cluster_id % 2 = 1").select((F.col("cluster_id") - 1).alias("cluster_a"), F.col("cluster_id").alias("cluster_b"))
+    return s.merge(pairs.join(ids.withColumnRenamed("cluster_id", "cluster_a"), "cluster_a", "left_semi")).assign
+
+
+@_query("""SELECT label_a AS cluster_id, label_b AS reference, round(n / size, 8) AS purity FROM (SELECT *, sum(n) OVER (PARTITION BY label_a) AS size, row_number() OVER (PARTITION BY label_a ORDER BY n DESC, label_b) AS r FROM (SELECT source AS label_a, lang AS label_b, count(*) AS n FROM documents GROUP BY 1, 2)) WHERE r = 1 AND n / size >= 0.6""", None)
+def majority_reference(spark, sf_dir):
+    return metrics.majority(*_labels(spark, sf_dir)).withColumn("purity", _r("purity", 8))
+
+
+@_query(None)
+def nonconflicting_moves(spark, sf_dir):
+    """Merges of groups of users by gain, accepted greedily; tests hold it against the sequential choice."""
+    g = _Given(tables.user_events(spark, sf_dir))
+    scored = L.merge_deltas(*g.model).select(F.concat_ws("-", "cluster_a", "cluster_b").alias("id"), "delta", F.array("cluster_a", "cluster_b").alias("touch"))
+    from .search import saved
+
+    return selection.nonconflicting(scored, saved)
+
+
+LOO_SQL = """,
+lo AS (SELECT cluster_id, cell_id, x.total AS n, sum(lgamma(g.cnt + psi) - lgamma(g.cnt - c.cnt + psi)) AS body FROM counts c JOIN cells x USING (cell_id) JOIN cg g USING (cluster_id, gene_id) JOIN prior p ON p.gene_id = c.gene_id GROUP BY 1, 2, 3),
+loo AS (SELECT s.cluster_id, coalesce(sum(lgamma(s.total - n + psi0) - lgamma(s.total + psi0) + body), 0) AS l_self FROM cs s LEFT JOIN lo USING (cluster_id), z GROUP BY 1)"""
+SCORE_SQL = """,
+ps AS (SELECT t.cluster_id AS target, p.cluster_id AS parent, coalesce((SELECT sum(x.cnt * ln((coalesce(g.cnt, 0) + psi) / (p.total + psi0))) FROM cg x LEFT JOIN cg g ON g.gene_id = x.gene_id AND g.cluster_id = p.cluster_id JOIN prior r ON r.gene_id = x.gene_id WHERE x.cluster_id = t.cluster_id), 0) AS score FROM cs t JOIN cs p ON t.cluster_id <> p.cluster_id, z)"""
+
+
+@_query(_with(LOO_SQL, "SELECT cluster_id, round(l_self, 3) AS l_self FROM loo"), None)
+def self_loo(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    return A.self_loo(g.state, *g.model).withColumn("l_self", _r("l_self", 3))
+
+
+@_query(_with(SCORE_SQL, "SELECT target, parent, round(score, 3) AS score FROM ps"), None)
+def parent_scores(spark, sf_dir):
+    return A.parent_scores(*_supplier(spark, sf_dir).model).withColumn("score", _r("score", 3))
+
+
+TOP_M = 6
+PAIR_SQL = LOO_SQL + SCORE_SQL + f""",
+cand AS (SELECT target, parent FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, parent) AS r FROM ps) WHERE r <= {TOP_M}),
+pairs0 AS (SELECT a.target, a.parent AS a, b.parent AS b FROM cand a JOIN cand b ON a.target = b.target AND a.parent < b.parent),
+tot AS (SELECT sum(n_cells) AS nt FROM cs),
+pairs1 AS (SELECT p.*, 2 * (x.n_cells / nt) * (y.n_cells / nt) AS coll, nt FROM pairs0 p JOIN cs x ON x.cluster_id = a JOIN cs y ON y.cluster_id = b, tot),
+pairs AS (SELECT *, ln(greatest(coll, 2.2250738585072014e-308)) - ln(sum(greatest(coll, 2.2250738585072014e-308)) OVER (PARTITION BY target)) AS pair_prior FROM pairs1),
+sz0 AS (SELECT t.cluster_id AS target, t.n_cells AS nc, (SELECT avg(n_cells) FROM cs o WHERE o.cluster_id <> t.cluster_id AND n_cells > 1) AS m, (SELECT var_samp(n_cells) FROM cs o WHERE o.cluster_id <> t.cluster_id AND n_cells > 1) AS v FROM cs t),
+sz AS (SELECT target, nc, m, least(greatest(CASE WHEN v <= m THEN 100 ELSE m * m / (v - m) END, 0.5), 100) AS ph FROM sz0),
+ab AS (SELECT p.*, nc, m, ph, nt * 0.05 * coll AS e FROM pairs p JOIN sz USING (target)),
+abund AS (SELECT target, a, b, pair_prior, lgamma(nc + 2) - lgamma(2.0) + 2 * ln(2 / (2 + e)) + nc * ln(e / (2 + e)) - (lgamma(nc + ph) - lgamma(ph) + ph * ln(ph / (ph + m)) + nc * ln(m / (ph + m))) AS abundance FROM ab)"""
+
+
+@_query(_with(PAIR_SQL, "SELECT target, a, b, round(pair_prior, 6) AS pair_prior, round(abundance, 4) AS abundance FROM abund"), None)
+def pair_prior_and_abundance(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    pairs = A.parent_pairs(A.candidates(A.parent_scores(*g.model), TOP_M))
+    got = A.abundance(A.pair_priors(pairs, g.cs), g.cs)
+    return got.select("target", "a", "b", _r("pair_prior", 6).alias("pair_prior"), _r("abundance").alias("abundance"))
+
+
+@_query(_with(PAIR_SQL, "SELECT target, round(greatest(m, 1e-6), 6) AS mean, round(ph, 6) AS phi FROM sz"), None)
+def size_prior_nb(spark, sf_dir):
+    return A.size_priors(_supplier(spark, sf_dir).cs).select("target", _r("mean", 6).alias("mean"), _r("phi", 6).alias("phi"))
+
+
+MIX_SQL = PAIR_SQL + """,
+q AS (SELECT c.target, c.parent, x.gene_id, x.cnt AS x, (coalesce(g.cnt, 0) + psi) / (p.total + psi0) AS q FROM cand c JOIN cg x ON x.cluster_id = c.target LEFT JOIN cg g ON g.cluster_id = c.parent AND g.gene_id = x.gene_id JOIN prior r ON r.gene_id = x.gene_id JOIN cs p ON p.cluster_id = c.parent, z),
+lam AS (SELECT i / 100.0::DOUBLE AS l FROM generate_series(1, 99) t(i)),
+tm AS (SELECT p.target, p.a, p.b, l, sum(qa.x * ln(l * qa.q + (1 - l) * qb.q)) + ln(l) + ln(1 - l) - (lgamma(2.0) + lgamma(2.0) - lgamma(4.0)) AS t FROM pairs p JOIN q qa ON qa.target = p.target AND qa.parent = p.a JOIN q qb ON qb.target = p.target AND qb.parent = p.b AND qb.gene_id = qa.gene_id, lam GROUP BY 1, 2, 3, l),
+tx AS (SELECT *, max(t) OVER (PARTITION BY target, a, b) AS top FROM tm),
+mx AS (SELECT target, a, b, max(top) + ln(sum(exp(t - top))) - ln(100) AS l_mix, min(l) FILTER (t = top) AS lambda_map, sum(l * exp(t - top)) / sum(exp(t - top)) AS lambda_mean FROM tx GROUP BY 1, 2, 3)"""
+
+
+@_query(_with(MIX_SQL, "SELECT target, a, b, round(l_mix, 3) AS l_mix, lambda_map, round(lambda_mean, 5) AS lambda_mean FROM mx"), None)
+def mixture_scores(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    chosen = A.candidates(A.parent_scores(*g.model), TOP_M)
+    got = A.mixtures(A.parent_pairs(chosen), chosen, *g.model)
+    return got.select("target", "a", "b", _r("l_mix", 3).alias("l_mix"), "lambda_map", _r("lambda_mean", 5).alias("lambda_mean"))
+
+
+@_query(_with(MIX_SQL, """, full0 AS (SELECT s.cluster_id, s.n_cells, s.total, m.a, m.b, lambda_map, lambda_mean, l_self, l_mix, abundance, l_mix - l_self + abundance + pair_prior AS tlo, count(*) OVER (PARTITION BY m.target) AS np, row_number() OVER (PARTITION BY m.target ORDER BY l_mix - l_self + abundance + pair_prior DESC, m.a, m.b) AS r FROM cs s JOIN mx m ON m.target = s.cluster_id JOIN abund u ON u.target = m.target AND u.a = m.a AND u.b = m.b JOIN loo o ON o.cluster_id = s.cluster_id),
+one_p AS (SELECT target, max_by(parent, score) AS parent, max(score) AS score FROM ps GROUP BY 1),
+f AS (SELECT *, l_mix - l_self AS ebf, l_mix - score AS gain FROM full0 JOIN one_p ON target = cluster_id WHERE r = 1)
+SELECT cluster_id, n_cells, CAST(total AS DOUBLE) AS n_umi, a AS best_parent_a, b AS best_parent_b, lambda_map, round(lambda_mean, 5) AS lambda_mean, round(l_self, 3) AS L_self_LOO, round(l_mix, 3) AS L_mix_best, parent AS best_single_parent, round(score, 3) AS L_best_single_parent,
+round(ebf, 3) AS expr_logBF_doublet_vs_self, round(gain, 3) AS expr_gain_vs_best_parent, round(ebf / greatest(1, total), 6) AS expr_logBF_per_UMI, round(gain / greatest(1, total), 6) AS parent_gain_per_UMI, round(abundance, 4) AS abundance_logBF, round(tlo, 3) AS total_log_odds, round(tlo - ln(greatest(1, np)), 3) AS total_log_odds_minus_search_penalty, np AS n_pairs_tested,
+CASE WHEN n_cells <= 1 THEN 'singleton_low_confidence' WHEN n_cells < 3 OR total < 10 THEN 'small_cluster_low_confidence' ELSE 'ok' END AS confidence_flag,
+CASE WHEN gain > 5 AND ebf > 0 AND lambda_map BETWEEN 0.05 AND 0.95 THEN CASE WHEN tlo - ln(greatest(1, np)) > 10 AND gain / greatest(1, total) > 1e-4 AND n_cells >= 3 AND total >= 10 THEN 'likely_doublet' ELSE 'possible_doublet' END ELSE 'likely_simplet' END AS call FROM f"""), None)
+def audit_table(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    got = A.audit(g.state, g.prior, top_m=TOP_M)
+    digits = {"lambda_mean": 5, "expr_logBF_per_UMI": 6, "parent_gain_per_UMI": 6, "abundance_logBF": 4, **dict.fromkeys(["L_self_LOO", "L_mix_best", "L_best_single_parent", "expr_logBF_doublet_vs_self", "expr_gain_vs_best_parent", "total_log_odds", "total_log_odds_minus_search_penalty"], 3)}
+    return got.select(*[_r(c, digits[c]).alias(c) if c in digits else F.col(c) for c in got.columns])
+
+
+@_query(_with(MIX_SQL, """, bp AS (SELECT target, min(a) AS a, min(b) AS b FROM (SELECT target, a, b, row_number() OVER (PARTITION BY target ORDER BY a, b) AS r FROM pairs) WHERE r = 1 GROUP BY 1),
+g2 AS (SELECT i / 100.0::DOUBLE AS l, i FROM generate_series(0, 100) t(i)),
+cl AS (SELECT p.target, c.cell_id, l, i, sum(c.cnt * ln(greatest(l * (coalesce(ga.cnt, 0) + psi) / (sa.total + psi0) + (1 - l) * (coalesce(gb.cnt, 0) + psi) / (sb.total + psi0), 2.2250738585072014e-308))) AS t FROM bp p JOIN assign x ON x.cluster_id = p.target JOIN counts c USING (cell_id) JOIN prior r ON r.gene_id = c.gene_id LEFT JOIN cg ga ON ga.cluster_id = p.a AND ga.gene_id = c.gene_id LEFT JOIN cg gb ON gb.cluster_id = p.b AND gb.gene_id = c.gene_id JOIN cs sa ON sa.cluster_id = p.a JOIN cs sb ON sb.cluster_id = p.b, g2, z GROUP BY 1, 2, 3, 4)
+SELECT target, cell_id, min_by(l, (-round(t, 7), i)) AS lambda FROM cl GROUP BY 1, 2"""), None)
+def cell_lambda_maps(spark, sf_dir):
+    g = _supplier(spark, sf_dir)
+    pairs = A.parent_pairs(A.candidates(A.parent_scores(*g.model), TOP_M))
+    first = pairs.groupBy("target").agg(F.min(F.struct("a", "b")).alias("p")).select("target", "p.a", "p.b")
+    return A.cell_lambdas(g.state, first, *g.model)
+
+
+@_query(None)
+def fit_labels(spark, sf_dir):
+    """Two rounds of the search over users; tests hold it against invariants."""
+    from .search import fit
+
+    s = tables.user_events(spark, sf_dir)
+    return fit(s.counts, s.assign.select("cell_id"), TAU, init=s.assign, max_rounds=2).labels
+
+
+@_query(None)
+def initial_partitions(spark, sf_dir):
+    """Every deterministic or seeded start over users, by name."""
+    s = tables.user_events(spark, sf_dir)
+    out = None
+    for name in ("singletons", "one_cluster", "random", "random_online"):
+        got = initial(s.counts, s.assign, name, 8, 3).assign.select(F.lit(name).alias("init"), "cell_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+        out = got if out is None else out.unionByName(got)
+    return out
