@@ -10,7 +10,11 @@ Dealing out is exact. Two sets within the threshold differ in at most d tokens,
 token hashes of a set are cut into more than d ranges, so some ranges are the same in both, and sets that
 share a range (its signature) are candidates. More ranges than needed are taken so that ranges without a
 token need not count; the few sets with more empty ranges than that, and all small sets, meet by pairs of
-tokens of their prefixes instead, which is exact too. Sets are graded by size, so that d is known; a set
+tokens of their prefixes instead, which is exact too. Tokens that many sets hold (shared passages) would make
+candidates of unlike sets, and leaving the same tokens out of all sets cannot make two sets differ in more; so
+signatures are taken without them, except for sets that consist of them to a good part (groups of many near
+copies), which are signed whole. Two sets within the threshold always share a way of signing. Which tokens count
+as common changes the cost only, never the result. Sets are graded by size, so that d is known; a set
 near the lower end of its grade also takes part in the grade below. Signatures travel packed, a few bytes
 each. Candidates that hang together form a block, and a set goes to its block once.
 
@@ -69,7 +73,7 @@ def ranges(lo: int, percent: int) -> tuple[int, int]:
     spare = 1
     for _ in range(8):
         m = d + 1 + spare
-        empty = m * exp(-lo / m)
+        empty = m * exp(-0.85 * lo / m)
         spare = max(spare, min(ceil(empty + 3.5 * sqrt(empty)), d + 8))
     return d + 1 + spare, spare
 
@@ -79,23 +83,43 @@ def _edges(m: int) -> np.ndarray:
     return np.array([((1 << 64) * i + m - 1) // m for i in range(1, m)], U)
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
+#: A set with at least this share of tokens that are not common is signed without the common ones only.
+COLD = 0.75
+
+
+def least_cold(percent: int) -> float:
+    """Share of tokens not common that a set has at least if it is within the threshold of one with a share of ``COLD``.
+
+    With sizes a and b and r = a / b, the other set keeps (COLD - 1) a of them and the overlap, t / (1 + t) (a + b).
+    """
+    t = percent / 100
+    slope = COLD - 1 + t / (1 + t)
+    return slope * (t if slope > 0 else 1 / t) + t / (1 + t) - 1e-9
+
+
+def signatures(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     """64-bit signatures of a sorted set; two sets that reach the threshold and differ share one at least."""
     n = len(tokens)
     if n < 2:
         return np.zeros(0, U)
     found, by_pairs = [], n < SMALL or n * percent < 100 * SMALL
     if n >= SMALL:
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(mix64(tokens ^ U(0xA5A5A5A5A5A5A5A5)))))
+        cold = tokens
+        if len(common):
+            cold = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens]
+        ways = [(tokens, 1)] if len(cold) < COLD * n else []
+        ways += [(cold, 2)] if len(cold) >= least_cold(percent) * n else []
         own = grade(n, percent)
         below = grade(ceil(n * percent / 100), percent) if n * percent >= 100 * SMALL else own
-        for lo in {own, below}:
-            m, spare = ranges(lo, percent)
-            cut = np.concatenate(([0], np.searchsorted(tokens, _edges(m)), [n]))
-            part = sums[cut[1:]] - sums[cut[:-1]]
-            full = cut[1:] > cut[:-1]
-            found.append(mix64(part[full] ^ mix64(np.flatnonzero(full).astype(U) + U(m << 20)))) 
-            by_pairs |= bool(len(full) - full.sum() > spare)
+        for held, way in ways:
+            sums = np.concatenate((np.zeros(1, U), np.cumsum(mix64(held ^ U(0xA5A5A5A5A5A5A5A5)))))
+            for lo in {own, below}:
+                m, spare = ranges(lo, percent)
+                cut = np.concatenate(([0], np.searchsorted(held, _edges(m)), [len(held)]))
+                part = sums[cut[1:]] - sums[cut[:-1]]
+                full = cut[1:] > cut[:-1]
+                found.append(mix64(part[full] ^ mix64(np.flatnonzero(full).astype(U) + U((m << 24) + (way << 20)))))
+                by_pairs |= bool(len(full) - full.sum() > spare)
     if by_pairs:
         head = tokens[: n - ceil(n * percent / 100) + 2]
         i, j = np.triu_indices(len(head), 1)
@@ -103,7 +127,27 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _first_pass(k: int, percent: int, buckets: int):
+def _frequent(k: int):
+    """Tokens that two documents of a batch hold, with how many do."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [tokens for _, tokens in shingle_sets(batch.column(0), k)]
+            token, n = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
+
+    return run
+
+
+def common_tokens(docs: DataFrame, k: int, least: int, most: int = 1_000_000) -> np.ndarray:
+    """Sorted tokens that about ``least`` documents or more hold; the bar is raised until at most ``most`` (8 MB) are left."""
+    rows = save(docs.select("text").mapInArrow(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
+    while rows.where(F.col("n") >= least).count() > most:
+        least *= 2
+    got = rows.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64)
+    return np.sort(got.view(U))
+
+
+def _first_pass(k: int, percent: int, buckets: int, common):
     """Batches of (doc_id, text) -> a row per document with its set's size and key, and packed signatures per bucket."""
     names = ["bucket", "doc_id", "n", "k1", "k2", "sigs", "docs"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -139,7 +183,7 @@ def _first_pass(k: int, percent: int, buckets: int):
                 if key in seen or not ids[i].is_valid:
                     continue
                 seen.add(key)
-                s = signatures(tokens, percent)
+                s = signatures(tokens, percent, common.value)
                 if len(s):
                     sig.append(s)
                     doc.append(np.full(len(s), ids[i].as_py(), np.int64))
@@ -329,7 +373,7 @@ def links(members: DataFrame, percent: int, leaf: int) -> DataFrame:
     return searched if edges is None else edges.unionByName(searched)
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80, leaf: int = 48, bucket_signatures: int = 400_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80, leaf: int = 48, bucket_signatures: int = 400_000, common_from: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked where 100 * overlap >= percent * union of their ``k``-word shingles."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -339,7 +383,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent:
     expected = per_set[0] * max(8.0, (per_set[1] or 0) / 6 * (100 - percent) / 50)
     buckets = 64 * max(1, round(expected / bucket_signatures / 64))
     types = "bucket int, doc_id long, n long, k1 long, k2 long, sigs binary, docs binary"
-    first = save(docs.mapInArrow(_first_pass(k, percent, buckets), types), "sets")
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, k, common_from))
+    first = save(docs.mapInArrow(_first_pass(k, percent, buckets, common), types), "sets")
     narrow = first.where("bucket = -1").select("doc_id", "n", "k1", "k2")
     classes = save(narrow.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # candidates between documents, then between the least documents of equal sets
