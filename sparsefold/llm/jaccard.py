@@ -35,11 +35,11 @@ from math import ceil, exp, floor, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import save, ship
+from .store import drop, save, ship
 from .tokens import U, mix64, shingle_sets
 
 SMALL = 40
@@ -350,30 +350,30 @@ def links(members: DataFrame, percent: int, leaf: int) -> DataFrame:
     if joined is None:
         units = members.select("id", F.col("id").alias("joined"), F.lit(0).alias("side"), "tokens", F.col("block").alias("u1"), F.lit(0).alias("u2"), F.lit(0).alias("u3"))
     else:
-        known = members.select("id", "block").join(_hinted(sizes, BROADCAST_IDS), "block", "left").join(_hinted(joined, BROADCAST_IDS), "id", "left")
+        known = members.select("id", "block", F.size("tokens").alias("n")).join(_hinted(sizes, BROADCAST_IDS), "block", "left").join(_hinted(joined, BROADCAST_IDS), "id", "left")
         known = known.withColumn("joined", F.coalesce("joined", "id"))
         main = known.where("size is not null").groupBy("block", "joined").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max(F.struct("c", F.col("joined"))).alias("m"))
         main = save(main.select("block", F.col("m.joined").alias("main")), "main")
         known = known.join(_hinted(main, BROADCAST_IDS), "block", "left").withColumn("settled", F.coalesce(F.col("joined") == F.col("main"), F.lit(False)))
-        counts = known.groupBy("block", "settled").agg(F.count(F.lit(1)).alias("c"))
-        counts = save(counts.select("block", "settled", F.ceil(F.col("c") / leaf).cast("int").alias("leaves")), "counts")
-        known = known.join(_hinted(counts, BROADCAST_IDS), ["block", "settled"]).select("id", "block", "joined", "settled", F.pmod(F.xxhash64("id", F.lit(99)), F.col("leaves")).cast("int").alias("leaf"))
-        known = save(known, "known")
-        free = counts.where("not settled").select("block", F.col("leaves").alias("nf"))
-        both = free.join(counts.where("settled").select("block", F.col("leaves").alias("ns")), "block", "left")
-        # pairs of leaves: free with free (each once), and free with settled
-        pairs = both.select("block", "nf", F.coalesce("ns", F.lit(0)).alias("ns"), F.explode(F.expr("sequence(0, nf - 1)")).alias("u2")).select(
-            "block", "nf", "u2", F.explode(F.expr("sequence(u2, nf + ns - 1)")).alias("u3"))
-        one = pairs.select("block", F.lit(False).alias("settled"), F.col("u2").alias("leaf"), "u2", "u3", F.lit(0).alias("side"))
-        two = pairs.where("u2 <> u3").select("block", (F.col("u3") >= F.col("nf")).alias("settled"), F.when(F.col("u3") >= F.col("nf"), F.col("u3") - F.col("nf")).otherwise(F.col("u3")).alias("leaf"), "u2", "u3", F.lit(1).alias("side"))
-        roles = one.unionByName(two)
-        units = known.join(roles, ["block", "settled", "leaf"]).select("id", "joined", "side", F.col("block").alias("u1"), "u2", "u3")
+        # leaves in the order of size, by counts per size; a leaf is known by twice its number, plus one if settled
+        per_size = known.groupBy("block", "settled", "n").agg(F.count(F.lit(1)).alias("c"))
+        along = Window.partitionBy("block", "settled").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        per_size = save(per_size.withColumn("before", F.coalesce(F.sum("c").over(along), F.lit(0))), "per-size")
+        at = F.floor((F.col("before") + F.pmod(F.xxhash64("id", F.lit(99)), F.col("c"))) / leaf) * 2 + F.col("settled").cast("int")
+        known = save(known.join(_hinted(per_size, BROADCAST_IDS), ["block", "settled", "n"]).select("id", "block", "joined", "n", at.cast("long").alias("leaf")), "known")
+        leaves = save(known.groupBy("block", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "leaves")
+        free = leaves.where("leaf % 2 = 0").select("block", F.col("leaf").alias("u2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        # pairs of leaves whose sizes can reach the threshold: free with free (each once), and free with settled
+        pairs = free.join(leaves.withColumnRenamed("leaf", "u3"), "block").where("u3 % 2 = 1 or u2 <= u3").where(100 * F.least("hi", "hi2") >= percent * F.greatest("lo", "lo2"))
+        pairs = save(pairs.select("block", "u2", "u3"), "pairs")
+        roles = pairs.select("block", F.col("u2").alias("leaf"), "u2", "u3", F.lit(0).alias("side")).unionByName(pairs.where("u2 <> u3").select("block", F.col("u3").alias("leaf"), "u2", "u3", F.lit(1).alias("side")))
+        units = known.join(roles, ["block", "leaf"]).select("id", "joined", "side", F.col("block").alias("u1"), "u2", "u3")
         units = members.select("id", "tokens").join(units, "id").select("id", "joined", "side", "tokens", "u1", "u2", "u3")
     searched = units.groupBy("u1", "u2", "u3").applyInPandas(_searched(percent), "a long, b long")
     return searched if edges is None else edges.unionByName(searched)
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80, leaf: int = 48, bucket_signatures: int = 400_000, common_from: int = 16) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80, leaf: int = 128, bucket_signatures: int = 400_000, common_from: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked where 100 * overlap >= percent * union of their ``k``-word shingles."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -385,10 +385,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent:
     types = "bucket int, doc_id long, n long, k1 long, k2 long, sigs binary, docs binary"
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, k, common_from))
     first = save(docs.mapInArrow(_first_pass(k, percent, buckets, common), types), "sets")
-    narrow = first.where("bucket = -1").select("doc_id", "n", "k1", "k2")
+    narrow = save(first.where("bucket = -1").select("doc_id", "n", "k1", "k2"), "narrow")
     classes = save(narrow.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # candidates between documents, then between the least documents of equal sets
     found = save(candidates(first).distinct(), "candidates")
+    drop(first)
     ids = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
     reps = save(narrow.join(_hinted(save(ids, "ids"), BROADCAST_IDS), "doc_id").where("n > 0").join(classes, ["k1", "k2", "n"]).select("doc_id", "rep").distinct(), "reps")
     by_rep = found.join(reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
