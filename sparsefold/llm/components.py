@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from .store import drop, save
 
+#: Rows of a task that writes a step's table, and the least number of such tasks.
+TASK_ROWS = 100_000
+LEAST_TASKS = 16
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
+
+def _star(edges: DataFrame, both: bool, tasks: int) -> DataFrame:
     """One star step over edges with a > b: neighbours (larger ones, or with ``both`` false the smaller) are linked to the least of them."""
     if both:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = save(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
+    least = save(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks), "star")
     met = around.join(least, "u")
     if both:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    out = save(out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    out = save(out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks), "edges")
     drop(least)
     return out
 
@@ -36,12 +40,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of whole numbers -> (node, component): the least node reachable, for every node that has an edge to another.
 
     Nulls and loops are left out. A hub's edges are aggregated before the shuffle, and the join that deals
-    them out reads written tables, so Spark can split its key.
+    them out reads written tables, so Spark can split its key. Steps are written by as many tasks as the edges
+    ask for, as there are many steps and small edge tables would be cut into a file per shuffle partition.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    tasks = max(LEAST_TASKS, now.count() // TASK_ROWS)
     while _unfinished(now):
-        large = _star(now, True)
+        large = _star(now, True, tasks)
         drop(now)
-        now = _star(large, False)
+        now = _star(large, False, tasks)
         drop(large)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
