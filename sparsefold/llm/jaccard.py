@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import drop, save, ship
+from .store import delete, drop, noted, save, ship
 from .tokens import U, mix64, shingle_sets
 
 SMALL = 40
@@ -144,6 +144,7 @@ def common_tokens(docs: DataFrame, k: int, least: int, most: int = 1_000_000) ->
     while rows.where(F.col("n") >= least).count() > most:
         least *= 2
     got = rows.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64)
+    drop(rows)
     return np.sort(got.view(U))
 
 
@@ -377,8 +378,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent:
     """(doc_id, n_shingles, component_id): documents linked where 100 * overlap >= percent * union of their ``k``-word shingles."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
+    ship(spark)
+    with noted() as made:
+        out = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), k, percent, leaf, bucket_signatures, common_from)
+        out = save(out, "components")
+    delete(spark, made[:-1])
+    return out
+
+
+def _components(docs: DataFrame, k: int, percent: int, leaf: int, bucket_signatures: int, common_from: int) -> DataFrame:
+    """The result from tables that may be deleted once it is written."""
     per_set = docs.agg(F.count(F.lit(1)), F.avg(F.length("text"))).first()
     expected = per_set[0] * max(8.0, (per_set[1] or 0) / 6 * (100 - percent) / 50)
     buckets = 64 * max(1, round(expected / bucket_signatures / 64))
@@ -397,7 +407,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", k: int = 5, percent:
     # each candidate's set goes to its block once
     near = docs.join(_hinted(block.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), BROADCAST_IDS), "doc_id")
     members = save(near.select("doc_id", "block", "text").mapInArrow(_sets(k), "id long, block long, tokens array<long>").where("size(tokens) > 0"), "members")
-    joined = components(save(links(members, percent, leaf), "links"))
+    for used in (found, reps, block):
+        drop(used)
+    linked_to = save(links(members, percent, leaf), "links")
+    drop(members)
+    joined = components(linked_to)
     joined = joined.select(F.col("node").alias("rep"), "component")
     classes = classes.join(joined, "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = narrow.join(classes.withColumnsRenamed({"k1": "c1", "k2": "c2", "n": "cn"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,22 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Inside, the folders of tables that :func:`save` writes are noted in the list given, also by callers further out."""
+    _noted.append(made := [])
+    try:
+        yield made
+    finally:
+        _noted[:] = [x for x in _noted if x is not made]
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for made in _noted:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`save` once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of tables made by :func:`save`, as far as they are still there."""
+    for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table made by :func:`save` once nothing reads it any more."""
+    delete(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
