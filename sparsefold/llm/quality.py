@@ -28,6 +28,8 @@ MEASURES = {
     "word_length": (0.75, True),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+#: Groups whose thresholds may be broadcast (under 200 bytes each); with more, Spark joins by a shuffle.
+BROADCAST_GROUPS = 100_000
 #: Words covered by 8-word windows whose hash occurs twice or more. ``w`` is bound once by the outer
 #: transform; the sort is done only for texts in which a window repeats.
 REPEATS = """
@@ -124,7 +126,9 @@ def quality_rules(docs: DataFrame, text: str = "text", fence: float = 3.0, least
     if carry is not None:
         measured = measured.select(*dict.fromkeys([*carry, "lang", "source", *BASE, *MEASURES]))
     measured = save(measured, "quality")
-    limits = thresholds(sketches(measured), fence, least_rows)
+    limits = save(thresholds(sketches(measured), fence, least_rows), "limits")
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     inside = F.coalesce(F.col("t_known"), F.lit(False))
     for m, (_, both) in MEASURES.items():
