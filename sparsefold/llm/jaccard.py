@@ -48,6 +48,7 @@ BITS = 4096
 #: Rows of a side that may be broadcast; beyond it, the join is by a shuffle.
 BROADCAST_IDS = 1_000_000
 BROADCAST_SETS = 2_000
+BROADCAST_UNITS = 500_000
 PIVOTS = 8
 ROUNDS = 3
 
@@ -369,7 +370,8 @@ def links(members: DataFrame, percent: int, leaf: int) -> DataFrame:
         pairs = save(pairs.select("block", "u2", "u3"), "pairs")
         roles = pairs.select("block", F.col("u2").alias("leaf"), "u2", "u3", F.lit(0).alias("side")).unionByName(pairs.where("u2 <> u3").select("block", F.col("u3").alias("leaf"), "u2", "u3", F.lit(1).alias("side")))
         units = known.join(roles, ["block", "leaf"]).select("id", "joined", "side", F.col("block").alias("u1"), "u2", "u3")
-        units = members.select("id", "tokens").join(units, "id").select("id", "joined", "side", "tokens", "u1", "u2", "u3")
+        # token sets are shuffled once, to their leaves
+        units = members.select("id", "tokens").join(_hinted(save(units, "units"), BROADCAST_UNITS), "id").select("id", "joined", "side", "tokens", "u1", "u2", "u3")
     searched = units.groupBy("u1", "u2", "u3").applyInPandas(_searched(percent), "a long, b long")
     return searched if edges is None else edges.unionByName(searched)
 
