@@ -18,6 +18,10 @@ from .likelihood import psi0_of
 from .model import Partition
 
 
+#: Candidate parents of a cluster.
+TOP_M = 50
+
+
 @dataclass(frozen=True)
 class Thresholds:
     total: float = 10.0
@@ -50,7 +54,7 @@ def parent_scores(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataF
     return pairs.join(shared, ["target", "parent"], "left").select("target", "parent", score.alias("score"))
 
 
-def candidates(scores: DataFrame, top_m: int = 50, provided: DataFrame | None = None) -> DataFrame:
+def candidates(scores: DataFrame, top_m: int = TOP_M, provided: DataFrame | None = None) -> DataFrame:
     """(target, parent): the ``top_m`` best parents, or those ``provided``."""
     if provided is not None:
         return scores.join(provided, ["target", "parent"] if "target" in provided.columns else ["parent"], "left_semi").select("target", "parent")
@@ -155,7 +159,7 @@ def cell_lambdas(state: Partition, best: DataFrame, cluster_gene: DataFrame, clu
     return items.select("target", "cell_id", ((F.array_position("terms", F.array_max("terms")) - 1) / (grid_size - 1)).alias("lambda"))
 
 
-def audit(state: Partition, prior: DataFrame, rate: float = 0.05, top_m: int = 50, grid_size: int = 101, beta=(2.0, 2.0), abundance_weight: float = 1.0, log_prior_odds: float = 0.0, phi: float = 2.0, pair_prior_mode: str | None = "collision_normalized", provided: DataFrame | None = None, homotypic: bool = False, cell_diagnostics: bool = False, thresholds: Thresholds = Thresholds()) -> DataFrame:
+def audit(state: Partition, prior: DataFrame, rate: float = 0.05, top_m: int = TOP_M, grid_size: int = 101, beta=(2.0, 2.0), abundance_weight: float = 1.0, log_prior_odds: float = 0.0, phi: float = 2.0, pair_prior_mode: str | None = "collision_normalized", provided: DataFrame | None = None, homotypic: bool = False, cell_diagnostics: bool = False, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """One row per cluster with its best pair of parents, scores and call."""
     if not 0.0 < rate < 1.0:
         raise ValueError("the doublet rate must be between 0 and 1")

@@ -376,6 +376,7 @@ def parent_scores(spark, sf_dir):
     return A.parent_scores(*_supplier(spark, sf_dir).model).withColumn("score", _r("score", 3))
 
 
+#: Parents that the SQL below is limited to; the queries named ``_top50`` take the operator's own number and have no SQL.
 TOP_M = 6
 PAIR_SQL = LOO_SQL + SCORE_SQL + f""",
 cand AS (SELECT target, parent FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, parent) AS r FROM ps) WHERE r <= {TOP_M}),
@@ -391,12 +392,20 @@ abund AS (SELECT target, a, b, pair_prior, lgamma(nc + 2) - lgamma(2.0) + 2 * ln
 
 @_query(_with(PAIR_SQL, "SELECT target, a, b, round(pair_prior, 6) AS pair_prior, round(abundance, 4) AS abundance FROM abund"), None)
 def pair_prior_and_abundance(spark, sf_dir):
-    g = _supplier(spark, sf_dir)
-    pairs = A.parent_pairs(A.candidates(A.parent_scores(*g.model), TOP_M))
+    return _pair_prior_and_abundance(_supplier(spark, sf_dir), TOP_M)
+
+
+def _pair_prior_and_abundance(g: _Given, top_m: int) -> DataFrame:
+    pairs = A.parent_pairs(A.candidates(A.parent_scores(*g.model), top_m))
     got = A.abundance(A.pair_priors(pairs, g.cs), g.cs)
     return got.select("target", "a", "b", _r("pair_prior", 6).alias("pair_prior"), _r("abundance").alias("abundance"))
 
 
+@_query(None)
+def pair_prior_and_abundance_top50(spark, sf_dir):
+    return _pair_prior_and_abundance(_supplier(spark, sf_dir), A.TOP_M)
+
+
 @_query(_with(PAIR_SQL, "SELECT target, round(greatest(m, 1e-6), 6) AS mean, round(ph, 6) AS phi FROM sz"), None)
 def size_prior_nb(spark, sf_dir):
     return A.size_priors(_supplier(spark, sf_dir).cs).select("target", _r("mean", 6).alias("mean"), _r("phi", 6).alias("phi"))
@@ -412,12 +421,20 @@ mx AS (SELECT target, a, b, max(top) + ln(sum(exp(t - top))) - ln(100) AS l_mix,
 
 @_query(_with(MIX_SQL, "SELECT target, a, b, round(l_mix, 3) AS l_mix, lambda_map, round(lambda_mean, 5) AS lambda_mean FROM mx"), None)
 def mixture_scores(spark, sf_dir):
-    g = _supplier(spark, sf_dir)
-    chosen = A.candidates(A.parent_scores(*g.model), TOP_M)
+    return _mixture_scores(_supplier(spark, sf_dir), TOP_M)
+
+
+def _mixture_scores(g: _Given, top_m: int) -> DataFrame:
+    chosen = A.candidates(A.parent_scores(*g.model), top_m)
     got = A.mixtures(A.parent_pairs(chosen), chosen, *g.model)
     return got.select("target", "a", "b", _r("l_mix", 3).alias("l_mix"), "lambda_map", _r("lambda_mean", 5).alias("lambda_mean"))
 
 
+@_query(None)
+def mixture_scores_top50(spark, sf_dir):
+    return _mixture_scores(_supplier(spark, sf_dir), A.TOP_M)
+
+
 @_query(_with(MIX_SQL, """, full0 AS (SELECT s.cluster_id, s.n_cells, s.total, m.a, m.b, lambda_map, lambda_mean, l_self, l_mix, abundance, l_mix - l_self + abundance + pair_prior AS tlo, count(*) OVER (PARTITION BY m.target) AS np, row_number() OVER (PARTITION BY m.target ORDER BY l_mix - l_self + abundance + pair_prior DESC, m.a, m.b) AS r FROM cs s JOIN mx m ON m.target = s.cluster_id JOIN abund u ON u.target = m.target AND u.a = m.a AND u.b = m.b JOIN loo o ON o.cluster_id = s.cluster_id),
 one_p AS (SELECT target, max_by(parent, score) AS parent, max(score) AS score FROM ps GROUP BY 1),
 f AS (SELECT *, l_mix - l_self AS ebf, l_mix - score AS gain FROM full0 JOIN one_p ON target = cluster_id WHERE r = 1)
@@ -426,23 +443,39 @@ round(ebf, 3) AS expr_logBF_doublet_vs_self, round(gain, 3) AS expr_gain_vs_best
 CASE WHEN n_cells <= 1 THEN 'singleton_low_confidence' WHEN n_cells < 3 OR total < 10 THEN 'small_cluster_low_confidence' ELSE 'ok' END AS confidence_flag,
 CASE WHEN gain > 5 AND ebf > 0 AND lambda_map BETWEEN 0.05 AND 0.95 THEN CASE WHEN tlo - ln(greatest(1, np)) > 10 AND gain / greatest(1, total) > 1e-4 AND n_cells >= 3 AND total >= 10 THEN 'likely_doublet' ELSE 'possible_doublet' END ELSE 'likely_simplet' END AS call FROM f"""), None)
 def audit_table(spark, sf_dir):
-    g = _supplier(spark, sf_dir)
-    got = A.audit(g.state, g.prior, top_m=TOP_M)
+    return _audit_table(_supplier(spark, sf_dir), TOP_M)
+
+
+def _audit_table(g: _Given, top_m: int) -> DataFrame:
+    got = A.audit(g.state, g.prior, top_m=top_m)
     digits = {"lambda_mean": 5, "expr_logBF_per_UMI": 6, "parent_gain_per_UMI": 6, "abundance_logBF": 4, **dict.fromkeys(["L_self_LOO", "L_mix_best", "L_best_single_parent", "expr_logBF_doublet_vs_self", "expr_gain_vs_best_parent", "total_log_odds", "total_log_odds_minus_search_penalty"], 3)}
     return got.select(*[_r(c, digits[c]).alias(c) if c in digits else F.col(c) for c in got.columns])
 
 
+@_query(None)
+def audit_table_top50(spark, sf_dir):
+    return _audit_table(_supplier(spark, sf_dir), A.TOP_M)
+
+
 @_query(_with(MIX_SQL, """, bp AS (SELECT target, min(a) AS a, min(b) AS b FROM (SELECT target, a, b, row_number() OVER (PARTITION BY target ORDER BY a, b) AS r FROM pairs) WHERE r = 1 GROUP BY 1),
 g2 AS (SELECT i / 100.0::DOUBLE AS l, i FROM generate_series(0, 100) t(i)),
 cl AS (SELECT p.target, c.cell_id, l, i, sum(c.cnt * ln(greatest(l * (coalesce(ga.cnt, 0) + psi) / (sa.total + psi0) + (1 - l) * (coalesce(gb.cnt, 0) + psi) / (sb.total + psi0), 2.2250738585072014e-308))) AS t FROM bp p JOIN assign x ON x.cluster_id = p.target JOIN counts c USING (cell_id) JOIN prior r ON r.gene_id = c.gene_id LEFT JOIN cg ga ON ga.cluster_id = p.a AND ga.gene_id = c.gene_id LEFT JOIN cg gb ON gb.cluster_id = p.b AND gb.gene_id = c.gene_id JOIN cs sa ON sa.cluster_id = p.a JOIN cs sb ON sb.cluster_id = p.b, g2, z GROUP BY 1, 2, 3, 4)
 SELECT target, cell_id, min_by(l, (-round(t, 7), i)) AS lambda FROM cl GROUP BY 1, 2"""), None)
 def cell_lambda_maps(spark, sf_dir):
-    g = _supplier(spark, sf_dir)
-    pairs = A.parent_pairs(A.candidates(A.parent_scores(*g.model), TOP_M))
+    return _cell_lambda_maps(_supplier(spark, sf_dir), TOP_M)
+
+
+def _cell_lambda_maps(g: _Given, top_m: int) -> DataFrame:
+    pairs = A.parent_pairs(A.candidates(A.parent_scores(*g.model), top_m))
     first = pairs.groupBy("target").agg(F.min(F.struct("a", "b")).alias("p")).select("target", "p.a", "p.b")
     return A.cell_lambdas(g.state, first, *g.model)
 
 
+@_query(None)
+def cell_lambda_maps_top50(spark, sf_dir):
+    return _cell_lambda_maps(_supplier(spark, sf_dir), A.TOP_M)
+
+
 @_query(None)
 def fit_labels(spark, sf_dir):
     """Two rounds of the search over users; tests hold it against invariants."""

@@ -1,5 +1,6 @@
 import json
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from sparsefold.operators import likelihood as L
 from sparsefold.operators import metrics, selection
 from sparsefold.operators import prior as P
 from sparsefold.operators.model import Partition, cell_totals, initial, normalise_counts
-from sparsefold.plans import search
+from sparsefold.plans import registry, search
 from sparsefold.sources import files
 
 M = np.array([[4, 0, 0, 0], [3, 1, 0, 0], [0, 0, 4, 0], [0, 0, 3, 1]])
@@ -165,6 +166,40 @@ def test_audit_finds_the_mixture(spark):
         A.audit(s, prior, rate=1.5)
 
 
+def test_registered_audit_tests_all_pairs_of_fifty_parents(spark, monkeypatch):
+    """Nine clusters have 28 pairs of parents each; with six parents only 15 of them."""
+    rng = np.random.default_rng(5)
+    z = np.repeat(np.arange(9), 3)
+    m = np.array([rng.multinomial(60, rng.dirichlet(np.ones(5) * 0.5)) for _ in z])
+    s = made(spark, m, z)
+    given = registry._Given(s, 1.0)
+    monkeypatch.setattr(registry, "_supplier", lambda *_: given)
+    psi = m.sum(0) / m.sum()
+    c = np.array([m[z == k].sum(0) for k in range(9)])
+    q = (c + psi) / (c.sum(1, keepdims=True) + 1.0)
+    pairs = [(t, a, b) for t in range(9) for a, b in combinations([k for k in range(9) if k != t], 2)]
+    lam = np.arange(1, 100) / 100
+    mix = {}
+    for t, a, b in pairs:
+        terms = (c[t] * np.log(lam[:, None] * q[a] + (1 - lam[:, None]) * q[b])).sum(1) + np.log(lam) + np.log(1 - lam) + math.log(6)
+        mix[t, a, b] = terms.max() + math.log(np.exp(terms - terms.max()).sum()) - math.log(100)
+    got = {(r.target, r.a, r.b): r.l_mix for r in registry.QUERIES["mixture_scores_top50"](spark, "").collect()}
+    assert set(got) == set(pairs) and all(abs(got[p] - mix[p]) < 2e-3 for p in pairs)
+    prior = registry.QUERIES["pair_prior_and_abundance_top50"](spark, "").collect()
+    assert len(prior) == len(pairs) and all(r.pair_prior == pytest.approx(-math.log(28), abs=1e-5) for r in prior)
+    # clusters of one size: the prior and the abundance are the same for all pairs of a target
+    audit = {r.cluster_id: r for r in registry.QUERIES["audit_table_top50"](spark, "").collect()}
+    for t in range(9):
+        best = max((p for p in pairs if p[0] == t), key=mix.get)
+        assert (audit[t].best_parent_a, audit[t].best_parent_b) == best[1:] and audit[t].n_pairs_tested == 28
+    first = {t: min(p[1:] for p in pairs if p[0] == t) for t in range(9)}
+    grid = np.arange(101) / 100
+    with np.errstate(divide="ignore"):
+        terms = {i: (m[i] * np.log(np.maximum(grid[:, None] * q[first[k][0]] + (1 - grid[:, None]) * q[first[k][1]], 1e-300))).sum(1) for i, k in enumerate(z.tolist())}
+    lambdas = registry.QUERIES["cell_lambda_maps_top50"](spark, "").collect()
+    assert len(lambdas) == 27 and all(terms[r.cell_id].max() - terms[r.cell_id][round(r["lambda"] * 100)] < 1e-6 for r in lambdas)
+
+
 def test_fit_splits_and_never_falls(spark):
     m = np.array([[18, 2, 0, 0], [19, 1, 0, 0], [17, 3, 0, 0], [0, 0, 18, 2], [0, 0, 19, 1], [0, 0, 17, 3]])
     s = made(spark, m)
