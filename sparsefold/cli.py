@@ -34,7 +34,7 @@ def run_fit(spark, args) -> dict:
     counts = files.read_counts(spark, args.input).persist()
     cells = _cells(counts)
     init = files.read_labels(spark, args.init_labels) if args.init_labels else args.init
-    got = search.fit(counts, cells, args.tau, init, preset=args.preset, backend=args.backend, seed=args.seed, update_tau=args.update_tau)
+    got = search.fit(counts, cells, args.tau, init, max_rounds=args.max_rounds, preset=args.preset, backend=args.backend, seed=args.seed, update_tau=args.update_tau)
     files.write_labels(got.labels, args.output)
     summary = {"n_cells": cells.count(), "n_genes": counts.select("gene_id").distinct().count(), "n_clusters": got.labels.select("cluster_id").distinct().count(), "log_likelihood": got.ll, "tau": got.tau, "stop_reason": got.stop_reason, "rounds": len(got.history), "preset": args.preset, "backend": args.backend, "seed": args.seed, "history": got.history}
     files.write_summary(summary, args.output + ".json")
@@ -67,6 +67,7 @@ def build_parser() -> argparse.ArgumentParser:
     f.add_argument("--init-labels")
     f.add_argument("--tau", type=float)
     f.add_argument("--update-tau", type=int, default=0)
+    f.add_argument("--max-rounds", type=int, default=0, help="0: until no round gains")
     f.add_argument("--seed", type=int, default=0)
     a = sub.add_parser("audit-doublets", help="which clusters look like mixtures")
     a.add_argument("input"), a.add_argument("labels"), a.add_argument("output")

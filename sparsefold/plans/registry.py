@@ -478,11 +478,11 @@ def cell_lambda_maps_top50(spark, sf_dir):
 
 @_query(None)
 def fit_labels(spark, sf_dir):
-    """Two rounds of the search over users; tests hold it against invariants."""
+    """The search over users, from their groups until no round gains; tests hold it against invariants."""
     from .search import fit
 
     s = tables.user_events(spark, sf_dir)
-    return fit(s.counts, s.assign.select("cell_id"), TAU, init=s.assign, max_rounds=2).labels
+    return fit(s.counts, s.assign.select("cell_id"), TAU, init=s.assign).labels
 
 
 @_query(None)

@@ -214,6 +214,15 @@ def test_fit_splits_and_never_falls(spark):
         search.resolve_preset("none")
 
 
+def test_registered_search_runs_until_gains_end(spark, monkeypatch):
+    """Six kinds of cells in one cluster: one change a round, so two rounds leave it unfinished."""
+    s = made(spark, 20 * np.eye(6, dtype=int), [0] * 6)
+    monkeypatch.setattr(registry.tables, "user_events", lambda *_: s)
+    labels = registry.QUERIES["fit_labels"](spark, "")
+    assert labels.select("cluster_id").distinct().count() == 6
+    assert cli.build_parser().parse_args(["fit", "in", "out"]).max_rounds == 0 and not any("max_rounds" in o for o in search.PRESETS.values())
+
+
 def test_files_and_commands(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("GeneID\tA\tB\nG1\t1\t0\nG0\t\t0\nG2\t0\t2\n")
     out = cli.main(["convert", str(tmp_path / "m.tsv"), str(tmp_path / "m.npz")])
