@@ -150,6 +150,40 @@ def test_nonconflicting_equals_greedy(spark):
     assert got == want
 
 
+def test_nonconflicting_does_not_stop_early(spark):
+    """A chain in which every round settles one move only."""
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = spark.range(132).selectExpr("id", "double(1000 - id) AS delta", "array(id, id + 1) AS touch")
+        assert {r.id for r in selection.nonconflicting(rows, search.saved).collect()} == set(range(0, 132, 2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_best_move_among_many_clusters(spark):
+    """Of 70 clusters that hold a cell's gene, its best target is the smallest one, outside the postings of 24."""
+    m = np.zeros((71, 71), int)
+    m[:70, 0], m[range(69), range(1, 70)] = range(140, 70, -1), 400
+    m[70, 0] = 30
+    z = [*range(70), 5]
+    s = made(spark, m, z)
+    prior, psi0 = flat(spark, 71, 0.5), 35.5
+    moves = search.cell_moves(s, s.cluster_gene, s.cluster_stat, prior, psi0).where("id = 'move-70'").collect()
+    assert [r.target for r in moves] == [69]
+    assert moves[0].delta == pytest.approx(ll(m, [*range(70), 69], 0.5) - ll(m, z, 0.5))
+
+
+def test_ranked_moves_without_gain_are_no_end(spark, monkeypatch):
+    """Cells of no shared gene rank no targets; merging them all still gains under a strong prior."""
+    monkeypatch.setattr(search, "EXHAUSTIVE", 1)
+    monkeypatch.setattr(search, "merge_moves", lambda *a, f=search.merge_moves: f(*a) if a[-1] is None else f(*a).where("false"))
+    monkeypatch.setattr(search, "cell_moves", lambda *a, f=search.cell_moves: f(*a).where("false"))
+    s = made(spark, np.array([[9, 1], [9, 1]]))
+    got = search.fit(s.counts, s.assign, 2.0, init="singletons")
+    assert got.labels.select("cluster_id").distinct().count() == 1
+
+
 def test_audit_finds_the_mixture(spark):
     rng = np.random.default_rng(0)
     profiles = [(0.82, 0.12, 0.03, 0.03), (0.03, 0.03, 0.12, 0.82), (0.42, 0.08, 0.08, 0.42), (0.05, 0.80, 0.10, 0.05)]
