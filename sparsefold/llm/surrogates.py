@@ -8,6 +8,9 @@ list of one gender and script. Two entities of one format can therefore never ge
 
 What is left to check goes over the table of distinct entities, by joins: a surrogate must not be an entity that
 occurs in the texts, nor one that another attempt gave out. Those that fail get the next attempt until none does.
+Entities left after ``MOST_ATTEMPTS``, whose format is too full, and values without a character that could change
+get one of a wider format of their type: more classes of characters and, where the type allows it, more of them,
+which grow with the attempts.
 Given names from the lists are only permuted, as their lists are closed.
 
 Only entities that needed another attempt have to be looked up when texts are rewritten. They are broadcast up to
@@ -22,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +38,9 @@ from .store import save, ship, without
 OUTPUT = {"n_entities": "int", "entity_types": "string", "spans": "array<struct<start:int,end:int,type:string>>"}
 #: Exceptions that may be broadcast.
 BROADCAST_EXCEPTIONS = 100_000
+#: Attempts within the format of an entity; those from ``WIDE`` on leave it.
 MOST_ATTEMPTS = 64
+WIDE = 1 << 16
 
 #: Forms of address and their gender (f, m).
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Господин": "m", "Госпожа": "f"}
@@ -91,8 +98,65 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+@cache
+def _letters(script: str, category: str) -> str:
+    return "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == category and unicodedata.name(c, "").split(" ")[0] == script and unicodedata.normalize("NFKC", c) == c)
+
+
+def alphabet(c: str) -> str:
+    """The class of ``c``; of a letter outside ``CLASSES``, the letters of its script and case."""
+    if c in _CLASS:
+        return _CLASS[c]
+    if unicodedata.category(c) not in ("Lu", "Ll", "Lo"):
+        return ""
+    script = unicodedata.name(c, "").split(" ")[0]
+    plain = {"LATIN": 1, "CYRILLIC": 3, "GREEK": 5}.get(script)
+    if plain is not None and c.lower() != c.upper():
+        return CLASSES[plain + c.isupper()]
+    return _letters(script, unicodedata.category(c))
+
+
+def wider(kind: str, value: str, key: bytes, attempt: int) -> str:
+    """A keyed draw from a wider format of the type, larger with every eighth attempt; joins check that it is free."""
+    extra = 1 + attempt // 8
+
+    def drawn(places: list[str]) -> str:
+        seed = hashlib.blake2b(f"wide|{kind}|{attempt}|{value}".encode(), key=key[:64]).digest()
+        stream = hashlib.shake_256(seed).digest(8 * len(places))
+        return "".join(a[int.from_bytes(stream[8 * i : 8 * i + 8], "big") % len(a)] for i, a in enumerate(places))
+
+    digits, lower, upper = CLASSES[:3]
+    if kind == "email":
+        local, _, domain = value.rpartition("@")
+        name, _, top = domain.rpartition(".")
+        return drawn([*([lower + digits if c.isalnum() else c for c in local]), *[lower] * extra]) + "@" + same_format(name, key, "domain") + "." + top
+    if kind == "ip":
+        octets = drawn([_run(chr(0), chr(255))] * 4)
+        return ".".join(str(ord(c)) for c in octets)
+    if kind == "card":
+        inner = drawn([digits] * (len(value) - 1))
+        return inner + str(luhn(inner))
+    if kind == "iban":
+        rest = drawn([digits if c.isdigit() else upper for c in value[4:]])
+        return value[:2] + iban_check(value[:2], rest) + rest
+    if kind == "phone":  # a longer number behind the country code
+        cut = len(value) - 10 if len(value) > 10 else 0
+        return value[:cut] + drawn([digits] * (len(value) - cut + extra))
+    if kind in ("account", "ssn"):
+        return drawn([digits] * len(value))
+    if kind == "access_key":
+        return value[:4] + drawn([upper + digits] * (len(value) - 4))
+    if kind == "secret":
+        return drawn([HEX if set(value) <= set(HEX) else lower + upper + digits] * (len(value) + extra))
+    places = [alphabet(c) or c for c in value]
+    tail = next((alphabet(c.lower() if len(c.lower()) == 1 else c) for c in reversed(value) if alphabet(c)), "") or lower
+    return drawn([*places, *[tail] * extra])
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of an entity: a permutation of its format for each attempt."""
+    """The surrogate of an entity: a permutation of its format for each attempt, one of a wider format from ``WIDE`` on."""
+    if kind not in GIVEN and attempt >= WIDE:
+        return wider(kind, value, key, attempt - WIDE)
     tweak = f"{kind}|{attempt}"
     if kind in GIVEN:
         # one keyed cycle through the list, so no name stays
@@ -199,11 +263,14 @@ def laid(mention: str, kind: str, new: str) -> str:
     """A surrogate in the format of a mention."""
     if kind in ("card", "account", "phone", "ssn"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "iban":
         chars = iter(new)
         return "".join(c if c == " " else next(chars) for c in mention)
     if kind == "email":
+        local = mention.rpartition("@")[0]
+        if len(new) > len(mention):  # letters behind the local part
+            mention = local + " " * (len(new) - len(mention)) + mention[len(local) :]
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new))
     return new
 
@@ -225,14 +292,14 @@ def _named(key: bytes):
     return run
 
 
-def assign(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, key: bytes, text: str = "text", attempts: int = MOST_ATTEMPTS) -> DataFrame:
     """(kind, value, attempt, new) for every distinct entity; all of ``new`` differ from each other and from every value, by kind."""
     schema = "kind string, value string, attempt int, new string"
     found = save(docs.select(text).mapInArrow(_detected, "kind string, value string").distinct(), "entities")
     now = save(found.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(_named(key), schema), "surrogates")
     closed = F.col("kind").isin(list(GIVEN))
     taken = found.select(F.col("kind").alias("k"), F.col("value").alias("v"))
-    for _ in range(MOST_ATTEMPTS):
+    while True:
         real = now.where(~closed).join(taken, (F.col("kind") == F.col("k")) & (F.col("new") == F.col("v")), "left_semi").select("kind", "value")
         # of several entities with one surrogate, the one that had it first keeps it
         order = F.struct("attempt", "value")
@@ -241,10 +308,10 @@ def assign(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
         again = save(real.unionByName(several).distinct(), "again")
         if not again.limit(1).count():
             break
-        next_try = now.join(again, ["kind", "value"], "left_semi").select("kind", "value", F.col("attempt") + 1)
+        # a value that its permutations leave as it is has no character that could change
+        tried = F.when((F.col("attempt") + 1 < attempts) & ((F.col("attempt") < 3) | (F.col("new") != F.col("value"))), F.col("attempt") + 1)
+        next_try = now.join(again, ["kind", "value"], "left_semi").select("kind", "value", F.coalesce(tried, F.greatest(F.col("attempt") + 1, F.lit(WIDE))).alias("attempt"))
         now = save(now.join(again, ["kind", "value"], "left_anti").unionByName(next_try.mapInArrow(_named(key), schema)), "surrogates")
-    else:
-        raise ValueError(f"no free surrogates after {MOST_ATTEMPTS} attempts: the formats are too small for their entities")
     return now
 
 

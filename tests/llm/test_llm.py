@@ -420,6 +420,22 @@ def test_surrogates_are_distinct_and_new(spark):
     assert len(values) == 40 and len(set(new)) == 40 and not values & set(new)
 
 
+def test_surrogates_of_full_formats(spark):
+    """20 of 26 initials, and names without a character of a class, get longer names of their script."""
+    names = [*"ABCDEFGHIJKLMNOPQRST", "Šč", "Ё", "Ար"]
+    df = spark.createDataFrame([(i, f"by Mr. {n}, today") for i, n in enumerate(names)], "doc_id long, text string")
+    table = {r.value: r.new for r in surrogates.assign(df, b"k", attempts=4).collect()}
+    assert set(table) == set(names) and len(set(table.values())) == len(names) and not set(names) & set(table.values())
+    assert all(len(table[n]) > len(n) and table[n][0].isupper() for n in ("Šč", "Ё", "Ար"))
+    assert "а" <= table["Ё"][0].lower() <= "я" and all("\u0530" < c < "\u0590" for c in table["Ար"])
+    for kind, value in (("email", "a@b.de"), ("ip", "1.1.1.1"), ("card", "4035065943088454"), ("iban", "DE89370400440532013000"), ("phone", "14155550123"), ("secret", "________"), ("access_key", "AKIA" + "A" * 16), ("ssn", "123456789")):
+        new = surrogates.wider(kind, value, b"k", 9)
+        assert new != value and new == surrogates.surrogate(kind, value, b"k", surrogates.WIDE + 9)
+        text = {"phone": "+1 " + new[1:4] + " " + new[4:7] + " " + new[7:], "secret": f"password={new}", "ssn": f"{new[:3]}-{new[3:5]}-{new[5:]}"}.get(kind, new)
+        assert [x[2:] for x in surrogates.mentions(text)] == [(kind, new)]
+    assert surrogates.laid("A.b@x.com", "email", "q.wz@r.com") == "Q.wz@r.com" and surrogates.laid("+1 2 34", "phone", "12345") == "+1 2 345"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("0123456789abcXYZжЖé-", min_size=1, max_size=12))
 def test_format_is_kept(value):
