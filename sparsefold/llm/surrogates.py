@@ -13,6 +13,11 @@ get one of a wider format of their type: more classes of characters and, where t
 which grow with the attempts.
 Given names from the lists are only permuted, as their lists are closed.
 
+Names of persons are found behind a form of address in ``TITLES``: initials, a given name and a surname that begin with
+capitals. Their words are then found in the whole of that text, also without a title. Not found are names that no
+title precedes in their text, those behind other titles (Dr, Prof), further words of longer names, and names in
+scripts without capitals.
+
 Only entities that needed another attempt have to be looked up when texts are rewritten. They are broadcast up to
 a bound; beyond it, they are joined to the documents that mention them.
 
@@ -28,6 +33,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -200,7 +206,10 @@ _ACCESS = re.compile(r"A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(r"[=:]\s*[\"']?([A-Za-z0-9+/_\-]{8,})")
 _SECRET = re.compile(r"(?:password|passwd|pwd|token|secret|api[_ -]?key)[\"']?\s*$", re.IGNORECASE)
 _LONG_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])")
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([^\W\d_]+(?:-[^\W\d_]+)?)(?: ([^\W\d_]+(?:-[^\W\d_]+)?))?")
+_WORD, _INITIAL = r"[^\W\d_]+(?:-[^\W\d_]+)?", r"[^\W\d_]\. ?"
+_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?:((?:{_INITIAL})+)({_WORD})|({_WORD})(?: ((?:{_INITIAL})*)({_WORD}))?)")
+_BARE = re.compile(rf"(?<!\w){_WORD}(?!\w)")
+_SHORT = re.compile(rf"(?:{_INITIAL})+({_WORD})(?!\w)")
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -225,6 +234,36 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
                     at += 1
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names behind a title, and all mentions of their words in the same text; an initial counts only before such a word."""
+    found, own, initials = [], {}, {}
+    for m in _NAME.finditer(text):
+        spans = []
+        for i in (2, 3) if m[2] else (4, 5, 6):
+            if m[i]:
+                spans += [(j, j + 1) for j in range(*m.span(i)) if text[j] not in ". "] if i in (2, 5) else [m.span(i)]
+        spans = list(takewhile(lambda s: text[s[0]].isupper(), spans))
+        for n, (a, b) in enumerate(spans):
+            word = text[a:b]
+            listed = f"given_{TITLES[m[1]]}_{'cyrillic' if 'а' <= word[0].lower() <= 'я' else 'latin'}"
+            kind = listed if n == 0 and word in GIVEN[listed] else "family" if n == len(spans) - 1 else "given"
+            # one word has one surrogate in a text
+            found.append((a, b, (own if b - a > 1 else initials).setdefault(word, kind), word))
+    for m in _BARE.finditer(text) if own else ():
+        word, at = m[0], m.start()
+        if len(word) == 1:
+            if word in initials and (rest := _SHORT.match(text, at)) and rest[1] in own:
+                found.append((at, at + 1, initials[word], word))
+        elif word in own:
+            found.append((at, m.end(), own[word], word))
+        else:
+            for part in word.split("-"):
+                if part in own:
+                    found.append((at, at + len(part), own[part], part))
+                at += len(part) + 1
+    return found
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) of every mention, in order, without overlaps."""
     found = []
@@ -242,15 +281,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         if iban_check(bare[:2], bare[4:]) == bare[2:4]:
             found.append((*m.span(), "iban", bare))
     if any(t in text for t in TITLES):
-        for m in _NAME.finditer(text):
-            words = [i for i in (2, 3) if m[i] and m[i][0].isupper()]
-            if not words or words[0] != 2:
-                continue
-            script = "cyrillic" if "а" <= m[2][0].lower() <= "я" else "latin"
-            for i in words:
-                kind = f"given_{TITLES[m[1]]}_{script}"
-                known = i == 2 and m[i] in GIVEN[kind]
-                found.append((*m.span(i), kind if known else "given" if i == 2 and len(words) == 2 else "family", m[i]))
+        found += _names(text)
     out, upto = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= upto:

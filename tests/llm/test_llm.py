@@ -420,6 +420,17 @@ def test_surrogates_are_distinct_and_new(spark):
     assert len(values) == 40 and len(set(new)) == 40 and not values & set(new)
 
 
+def test_names_are_found_again_without_title(spark):
+    text = "Mr. Peter Schmidt came. Schmidt said so; Peter's and Schmidt-Meier's, not Schmidts. Ms. J. R. Smith and J. Smith; J. stays. Mrs Eva K. Lund, Herr X."
+    found = surrogates.mentions(text)
+    assert [text[a:b] for a, b, _, _ in found] == "Peter Schmidt Schmidt Peter Schmidt J R Smith J Smith Eva K Lund X".split()
+    assert {(k, v) for _, _, k, v in found} == {("given_m_latin", "Peter"), ("family", "Schmidt"), *(("given", x) for x in ("J", "R", "Eva", "K")), *(("family", x) for x in ("Smith", "Lund", "X"))}
+    new = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first().text
+    a, b = re.match(r"Mr. (\w+) (\w+) came. (?=\w)", new).groups()
+    assert new.startswith(f"Mr. {a} {b} came. {b} said so; {a}'s and {b}-Meier's, not Schmidts.") and "Smith" not in new
+    assert surrogates.mentions("Schmidt said so, and J. Smith") == []
+
+
 def test_surrogates_of_full_formats(spark):
     """20 of 26 initials, and names without a character of a class, get longer names of their script."""
     names = [*"ABCDEFGHIJKLMNOPQRST", "Šč", "Ё", "Ար"]
