@@ -223,6 +223,16 @@ def test_repeats_equal_brute_force(spark, docs, hot):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("most", [0, 5])
+def test_repeats_raise_the_bar_of_hot_anchors(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST_HOT", most)
+    passages = [" ".join(str(i * 7919 + j * 104_729) for j in range(40)) for i in range(6)]
+    rows = [(i, f"{i * 7919} before {passages[j]} {i} after") for j in range(6) for i in range(100 * j, 100 * j + 2 + 2 * j)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, hot=2).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_odd(spark, odd):
     got = repeats.remove_repeats(odd).collect()
     assert len(got) == len(ODD) and {r.doc_id: r.n_removed for r in got}[4] == 0
