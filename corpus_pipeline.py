@@ -50,7 +50,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @after("quality_stage")
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the least doc_id; documents without words are no copies."""
+    """One row of each group stays, that with the least doc_id; documents without words are no copies.
+
+    Where rows repeat a doc_id or have none, each row is a document of its own: they are numbered by doc_id, those
+    without one last, then by the hash of their text, and the first of a group stays.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+        rows = save(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        found = jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+        copies = save(found.where("component_id < doc_id").select(F.col("doc_id").alias("_row")), "copies")
+        return rows.join(copies, "_row", "left_anti").select(*COLUMNS)
     joined = save(jaccard.jaccard_components(docs, k=5, percent=80).where("component_id < doc_id").select("doc_id").distinct(), "copies")
     if joined.count() <= BROADCAST_IDS:
         joined = F.broadcast(joined)

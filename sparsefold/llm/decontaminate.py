@@ -137,7 +137,8 @@ def _marked(items: Items, threshold: float, schema: pa.Schema, text_at: int):
                 for r, hits in near.items():
                     i = first + r
                     for item, share, n in items.tiled(words[bounds[r] : bounds[r + 1]], hits, threshold):
-                        if (-share, items.ids[item]) < (-cover[i], best[i] if best[i] is not None else 1 << 63):
+                        mine, old = (1 << 63 if x is None else x for x in (items.ids[item], best[i]))
+                        if (-share, mine) < (-cover[i], old):
                             cover[i], best[i], n_tiles[i] = share, items.ids[item], n
                         if share >= threshold:
                             bad[i], n_items[i] = True, n_items[i] + 1
@@ -150,7 +151,8 @@ def _marked(items: Items, threshold: float, schema: pa.Schema, text_at: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", tile: int = 5, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``contaminated``, the best item's ``coverage``, ``item_id`` and ``n_tiles``, and ``n_items`` (at or over the threshold).
 
-    Items whose coverage is certainly under the threshold are not tiled and leave coverage 0.
+    An item without item_id counts like any other, and after those with one of equal coverage; as the best item its
+    ``item_id`` is null. Items without text are left out. Items whose coverage is certainly under the threshold are not tiled and leave coverage 0.
     """
     ship(docs.sparkSession)
     docs = without(docs, OUTPUT)
@@ -162,7 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", til
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // (2 * BLOCK_WORDS)
     for b in range(blocks):  # a fixed number of words at a time; usually one block
-        rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").collect()
+        rows = benchmark.where(F.col("text").isNotNull()).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").collect()
         ids, words = [r[0] for r in rows], []
         for _, _, h, bounds in word_hashes(pa.array([r[1] for r in rows], pa.string())) if rows else ():
             words += [h[x:y] for x, y in zip(bounds[:-1], bounds[1:])]

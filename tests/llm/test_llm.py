@@ -489,6 +489,21 @@ def test_words_and_hashes(texts):
     assert got == [WORD.findall(t) for t in texts]
 
 
+def test_repeated_rows_and_missing_ids(spark):
+    passage = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(7, passage), (7, passage), (None, passage), (9, passage), (None, other), (None, other), (3, "alone in the world with its own words"), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    corpus_pipeline._left.clear()
+    got = corpus_pipeline.near_duplicate_stage(spark, df, DATA).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in got], key=key)[:2] == [(3, rows[6][1]), (7, passage)]
+    assert sorted((r.text or "" for r in got if r.doc_id is None)) == ["", "", other]
+    items = spark.createDataFrame([(None, passage), (4, None)], "item_id long, text string")
+    found = decontaminate.decontaminate(df, items).collect()
+    assert all(r.contaminated == (r.text == passage) for r in found) and all(r.coverage == 1.0 and r.item_id is None for r in found if r.contaminated)
+
+
 def test_pipeline_stages(spark, docs):
     kept = {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()}
     one = store.save(corpus_pipeline.quality_stage(spark, docs, DATA), "t")
