@@ -522,3 +522,28 @@ def test_pipeline_stages(spark, docs):
     assert {r.doc_id for r in four.collect()} == left
     five = corpus_pipeline.sharding_stage(spark, four, DATA)
     assert five.count() == four.count() and set(five.columns) == {*corpus_pipeline.COLUMNS, "shard", "slot"}
+
+
+def test_long_conversation(spark):
+    """A conversation of over 10 MB in 100,000 turns, cut at marks, has the tokens of one encoding; rows without conv_id stand alone."""
+    turns = spark.range(100_000).selectExpr("5L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat(repeat('word <| ', 13), id) AS text")
+    odd = spark.createDataFrame([(None, 0, "assistant", "a"), (None, 1, "user", "b")], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.formatted_chars): r for r in chat.digest(chat.format_conversations(turns.unionByName(odd))).collect()}
+    long = next(r for (c, _), r in got.items() if c == 5)
+    texts = ["word <| " * 13 + str(i) for i in range(100_000)]
+    assert sorted(c is None for c, _ in got) == [False, True, True]
+    assert long.n_turns == 100_000 and long.formatted_chars > 10_000_000
+    assert long.turns_sha256 == hashlib.sha256("".join(f"{'user' if i % 2 == 0 else 'assistant'}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
+    assert long.loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+
+
+def test_pieces_have_the_tokens_of_one_encoding(monkeypatch):
+    with open(chat.TOKENIZER, encoding="utf-8") as f:
+        encoder = chat._encoder(f.read())
+    text, spans = chat.render([("user", f"héllo {i} <|turn|> 𝄞 \n  x") for i in range(40)])
+    whole = chat.encoded(encoder, text, spans)
+    monkeypatch.setattr(chat, "PIECE", 100)
+    for a, b in zip(whole, chat.encoded(encoder, text, spans)):
+        assert a.tolist() == b.tolist()
+    mask = chat.masked(whole[1], whole[2], spans)
+    assert "".join(text[a:b] for a, b, m in zip(whole[1], whole[2], mask) if m).isascii() is False and mask.any() and not mask.all()
