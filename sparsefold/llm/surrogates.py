@@ -2,21 +2,21 @@
 
 Mentions are found in the whole text and normalised to entities (type, value): a phone number is its digits, an
 e-mail address its lower case, so that all mentions of an entity get one surrogate, laid into the format of each
-mention. A surrogate is a keyed permutation of the values of one format: digits stay digits, letters keep case and
-script, addresses stay valid, card numbers and IBANs keep a right check digit, and given names permute within a
-list of one gender and script. Two entities of one format can therefore never get one surrogate.
+mention. A surrogate is a keyed permutation of the values of one format, whatever its length: digits stay digits,
+letters keep case and script, addresses stay valid, card numbers and IBANs keep a right check digit. Names in Latin,
+Cyrillic and Greek letters are built anew from syllables, with endings of their gender, about as long and written as
+the name; other scripts permute their letters, and initials go round their alphabet.
 
 What is left to check goes over the table of distinct entities, by joins: a surrogate must not be an entity that
-occurs in the texts, nor one that another attempt gave out. Those that fail get the next attempt until none does.
-Entities left after ``MOST_ATTEMPTS``, whose format is too full, and values without a character that could change
-get one of a wider format of their type: more classes of characters and, where the type allows it, more of them,
-which grow with the attempts.
-Given names from the lists are only permuted, as their lists are closed.
+occurs in the texts, nor one that another entity has. Those that fail get the next attempt until none does; names get
+more syllables on the way. Entities left after ``MOST_ATTEMPTS``, whose format is too full, and values without a
+character that could change get one of a wider format of their type: more classes of characters and, where the type
+allows it, more of them, which grow with the attempts. Only initials are not checked, as every letter is one.
 
 Names of persons are found behind a form of address in ``TITLES``: initials, a given name and a surname that begin with
-capitals. Their words are then found in the whole of that text, also without a title. Not found are names that no
-title precedes in their text, those behind other titles (Dr, Prof), further words of longer names, and names in
-scripts without capitals.
+capitals; and, without one, where a given name of ``GIVEN`` comes before a word with a capital. Their words are then
+found in the whole of that text. Not found are other names that no title precedes in their text, those behind other
+titles (Dr, Prof), further words of longer names, and names in scripts without capitals.
 
 Only entities that needed another attempt have to be looked up when texts are rewritten. They are broadcast up to
 a bound; beyond it, they are joined to the documents that mention them.
@@ -57,30 +57,30 @@ GIVEN = {
     "given_f_cyrillic": ["Анна", "Вера", "Елена", "Ирина", "Мария", "Ольга", "София", "Юлия"],
     "given_m_cyrillic": ["Антон", "Борис", "Виктор", "Денис", "Иван", "Олег", "Павел", "Сергей"],
 }
-_PLACE = {name: (kind, i) for kind, names in GIVEN.items() for i, name in enumerate(names)}
 _run = lambda a, b: "".join(map(chr, range(ord(a), ord(b) + 1)))
 CLASSES = [_run("0", "9"), _run("a", "z"), _run("A", "Z"), _run("а", "я"), _run("А", "Я"), _run("α", "ρ") + _run("σ", "ω"), _run("Α", "Ρ") + _run("Σ", "Ω"), _run("à", "ö"), _run("ø", "ÿ"), _run("À", "Ö"), _run("Ø", "Þ")]
 _CLASS = {c: alphabet for alphabet in CLASSES for c in alphabet}
 HEX = "0123456789abcdef"
 
 
+def _mac(key: bytes, text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), key=hashlib.blake2b(key).digest()).digest()
+
+
 def permuted(value: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of the numbers with the given radices: six rounds between their two halves."""
+    """A keyed permutation of the numbers with the given radices.
+
+    Six rounds: each adds to one half, place by place, a key stream that depends on the whole other half.
+    """
     half = len(radices) // 2
-    sides, sizes = [0, 0], [1, 1]
-    for i, (v, r) in enumerate(zip(value, radices)):
-        s = int(i >= half)
-        sides[s], sizes[s] = sides[s] * r + v, sizes[s] * r
+    sides, sizes = [list(value[:half]), list(value[half:])], [radices[:half], radices[half:]]
+    head = _mac(key, f"{tweak}|{','.join(map(str, radices))}")
     for turn in range(6):
         s = turn % 2
-        mac = hashlib.blake2b(f"{tweak}|{radices}|{turn}|{sides[1 - s]}".encode(), key=key[:64], digest_size=32 + sizes[s].bit_length() // 8 if sizes[s].bit_length() < 256 else 64).digest()
-        sides[s] = (sides[s] + int.from_bytes(mac, "big")) % sizes[s]
-    out = []
-    for i in reversed(range(len(radices))):
-        s = int(i >= half)
-        sides[s], v = divmod(sides[s], radices[i])
-        out.append(v)
-    return out[::-1]
+        other = b"".join(v.to_bytes(4, "big") for v in sides[1 - s])
+        stream = hashlib.shake_256(head + bytes([turn]) + other).digest(8 * len(sizes[s]))
+        sides[s] = [(v + int.from_bytes(stream[8 * i : 8 * i + 8], "big")) % r for i, (v, r) in enumerate(zip(sides[s], sizes[s]))]
+    return sides[0] + sides[1]
 
 
 def same_format(value: str, key: bytes, tweak: str, alphabets: list[str] | None = None) -> str:
@@ -127,8 +127,7 @@ def wider(kind: str, value: str, key: bytes, attempt: int) -> str:
     extra = 1 + attempt // 8
 
     def drawn(places: list[str]) -> str:
-        seed = hashlib.blake2b(f"wide|{kind}|{attempt}|{value}".encode(), key=key[:64]).digest()
-        stream = hashlib.shake_256(seed).digest(8 * len(places))
+        stream = hashlib.shake_256(_mac(key, f"wide|{kind}|{attempt}|{value}")).digest(8 * len(places))
         return "".join(a[int.from_bytes(stream[8 * i : 8 * i + 8], "big") % len(a)] for i, a in enumerate(places))
 
     digits, lower, upper = CLASSES[:3]
@@ -159,15 +158,45 @@ def wider(kind: str, value: str, key: bytes, attempt: int) -> str:
     return drawn([*places, *[tail] * extra])
 
 
+#: Letters that syllables of a script are built from (first, middle), and endings by kind.
+SYLLABLES = {
+    "LATIN": ("bdfghklmnprstvz", "aeiou", {"given_f": ["a", "ia", "ina", "ella", "ine"], "given_m": ["o", "us", "an", "ert", "in"], "family": ["er", "en", "ov", "ard", "es"]}),
+    "CYRILLIC": ("бвгдзклмнпрстх", "аеиоу", {"given_f": ["а", "ия", "ина", "ена"], "given_m": ["ан", "ор", "ий", "им"], "family": ["енко", "ук", "ич", "ян"]}),
+    "GREEK": ("βγδζκλμνπρστφχ", "αειου", {"given_f": ["α", "η", "ινα"], "given_m": ["ος", "ης", "ιας"], "family": ["ου", "ακης", "ιδης"]}),
+}
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+def name_like(kind: str, value: str, key: bytes, attempt: int) -> str:
+    """A keyed name of the gender, script, rough length and capitals of ``value``, with more syllables after every fourth attempt."""
+    made = []
+    for i, part in enumerate(value.split("-")):
+        first, middle, endings = SYLLABLES[_script(value[0])]
+        n = max(1, (len(part) - 2) // 2) + attempt // 4
+        draw = iter(hashlib.shake_256(_mac(key, f"name|{kind}|{attempt}|{i}|{value}")).digest(4 * (2 * n + 2)))
+        pick = lambda of: of[sum(next(draw) << 8 * j for j in range(4)) % len(of)]
+        new = "".join(pick(first) + pick(middle) for _ in range(n)) + pick(first) + pick(endings[kind])
+        made.append(new.upper() if part.isupper() and len(part) > 1 else new.capitalize() if part[:1].isupper() else new)
+    return "-".join(made)
+
+
+NAMES = ("given_f", "given_m", "family")
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of an entity: a permutation of its format for each attempt, one of a wider format from ``WIDE`` on."""
-    if kind not in GIVEN and attempt >= WIDE:
+    """The surrogate of an entity: one of its format for each attempt, one of a wider format from ``WIDE`` on."""
+    if kind == "initial":  # one keyed cycle through the letters, so none stays
+        letters = alphabet(value) or value
+        cycle = sorted(letters, key=lambda c: _mac(key, f"initial|{c}"))
+        return cycle[(cycle.index(value) + 1) % len(cycle)] if value in cycle else cycle[0]
+    if attempt >= WIDE:
         return wider(kind, value, key, attempt - WIDE)
     tweak = f"{kind}|{attempt}"
-    if kind in GIVEN:
-        # one keyed cycle through the list, so no name stays
-        cycle = sorted(GIVEN[kind], key=lambda name: hashlib.blake2b(name.encode(), key=key[:64]).digest())
-        return cycle[(cycle.index(value) + 1) % len(cycle)]
+    if kind in NAMES and len(value) > 1 and _script(value[0]) in SYLLABLES:
+        return name_like(kind, value, key, attempt)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         name, _, top = domain.rpartition(".")
@@ -194,7 +223,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
 
 
 _EMAIL = re.compile(r"@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
+_LOCAL = frozenset(CLASSES[0] + CLASSES[1] + CLASSES[2] + "._%+-")
 _NUMBER = re.compile(r"\+?\(?\d[\d ().\-]{4,}\d")
 _IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}")
@@ -204,10 +233,12 @@ _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCESS = re.compile(r"A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(r"[=:]\s*[\"']?([A-Za-z0-9+/_\-]{8,})")
-_SECRET = re.compile(r"(?:password|passwd|pwd|token|secret|api[_ -]?key)[\"']?\s*$", re.IGNORECASE)
+_SECRET = re.compile(r"(?:password|passwd|pwd|token|secret|api[_ -]?key)$", re.IGNORECASE)
 _LONG_HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])")
 _WORD, _INITIAL = r"[^\W\d_]+(?:-[^\W\d_]+)?", r"[^\W\d_]\. ?"
 _NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?:((?:{_INITIAL})+)({_WORD})|({_WORD})(?: ((?:{_INITIAL})*)({_WORD}))?)")
+_KNOWN = {name: kind[:7] for kind, names in GIVEN.items() for name in names}
+_UNTITLED = re.compile(rf"(?<!\w)({'|'.join(_KNOWN)}) ((?:{_INITIAL})*)({_WORD})(?!\w)")
 _BARE = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 _SHORT = re.compile(rf"(?:{_INITIAL})+({_WORD})(?!\w)")
 
@@ -235,8 +266,13 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def _names(text: str) -> list[tuple[int, int, str, str]]:
-    """Names behind a title, and all mentions of their words in the same text; an initial counts only before such a word."""
+    """Names behind a title or a known given name, and all mentions of their words in the same text; an initial counts only before such a word."""
     found, own, initials = [], {}, {}
+
+    def add(a: int, b: int, kind: str) -> None:
+        # one word has one surrogate in a text
+        found.append((a, b, (own if b - a > 1 else initials).setdefault(text[a:b], kind), text[a:b]))
+
     for m in _NAME.finditer(text):
         spans = []
         for i in (2, 3) if m[2] else (4, 5, 6):
@@ -244,11 +280,16 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
                 spans += [(j, j + 1) for j in range(*m.span(i)) if text[j] not in ". "] if i in (2, 5) else [m.span(i)]
         spans = list(takewhile(lambda s: text[s[0]].isupper(), spans))
         for n, (a, b) in enumerate(spans):
-            word = text[a:b]
-            listed = f"given_{TITLES[m[1]]}_{'cyrillic' if 'а' <= word[0].lower() <= 'я' else 'latin'}"
-            kind = listed if n == 0 and word in GIVEN[listed] else "family" if n == len(spans) - 1 else "given"
-            # one word has one surrogate in a text
-            found.append((a, b, (own if b - a > 1 else initials).setdefault(word, kind), word))
+            given = f"given_{TITLES[m[1]]}"
+            last = n == len(spans) - 1 and not (n == 0 and text[a:b] in _KNOWN)
+            add(a, b, "family" if last else given if b - a > 1 else "initial")
+    for m in _UNTITLED.finditer(text):
+        if m[3][0].isupper():
+            add(*m.span(1), _KNOWN[m[1]])
+            for j in range(*m.span(2)):
+                if text[j] not in ". ":
+                    add(j, j + 1, "initial")
+            add(*m.span(3), "family")
     for m in _BARE.finditer(text) if own else ():
         word, at = m[0], m.start()
         if len(word) == 1:
@@ -268,19 +309,26 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) of every mention, in order, without overlaps."""
     found = []
     for m in _EMAIL.finditer(text):
-        if local := _LOCAL.search(text, max(0, m.start() - 64), m.start()):
-            found.append((local.start(), m.end(), "email", text[local.start() : m.end()].lower()))
+        at = m.start()
+        while at and text[at - 1] in _LOCAL:
+            at -= 1
+        if at < m.start():
+            found.append((at, m.end(), "email", text[at : m.end()].lower()))
     found += _numbers(text)
     found += [(*m.span(), "access_key", m[0]) for m in _ACCESS.finditer(text) if not (m.start() and text[m.start() - 1].isalnum())]
     for m in _ASSIGNED.finditer(text):
-        if _SECRET.search(text, max(0, m.start() - 24), m.start()):
+        at = m.start()
+        while at and text[at - 1].isspace():
+            at -= 1
+        at -= bool(at) and text[at - 1] in "\"'"
+        if _SECRET.search(text[max(0, at - 16) : at]):  # its words are shorter
             found.append((*m.span(1), "secret", m[1]))
     found += [(*m.span(), "secret", m[0]) for m in _LONG_HEX.finditer(text)]
     for m in _IBAN.finditer(text):
         bare = m[0].replace(" ", "")
         if iban_check(bare[:2], bare[4:]) == bare[2:4]:
             found.append((*m.span(), "iban", bare))
-    if any(t in text for t in TITLES):
+    if any(t in text for t in TITLES) or any(n in text for n in _KNOWN):
         found += _names(text)
     out, upto = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -328,7 +376,7 @@ def assign(docs: DataFrame, key: bytes, text: str = "text", attempts: int = MOST
     schema = "kind string, value string, attempt int, new string"
     found = save(docs.select(text).mapInArrow(_detected, "kind string, value string").distinct(), "entities")
     now = save(found.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(_named(key), schema), "surrogates")
-    closed = F.col("kind").isin(list(GIVEN))
+    closed = F.col("kind") == "initial"
     taken = found.select(F.col("kind").alias("k"), F.col("value").alias("v"))
     while True:
         real = now.where(~closed).join(taken, (F.col("kind") == F.col("k")) & (F.col("new") == F.col("v")), "left_semi").select("kind", "value")
