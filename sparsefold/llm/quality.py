@@ -1,20 +1,25 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Base measures come from every whole text. For documents that pass the base rule, mergeable KLL
-quantile sketches are built per (lang, source); the sketches of a language are merged for sources
-with few rows, and all are merged for languages with few rows. A document is kept unless a measure
+Base measures come from every whole text. For documents that pass the base rule, mergeable quantile
+sketches are built per (lang, source): counts per bin of fixed edges, for shares bins of a thousandth, for
+the word length bins of one per cent of the value, so a quartile is off by half a bin at most and does not
+depend on the order of rows. The sketches of a language are merged (added) for sources with few rows, and all
+are merged for languages with few rows. A document is kept unless a measure
 lies above its group's fence ``q75 + fence * max(q75 - q25, least spread)``, or its mean word length
-outside both fences. Everything is DataFrame code: sketches are partial aggregates, so a hot source
-costs one small sketch per task, and the join back is on (lang, source) with a table of one row per group.
+outside both fences. Everything is DataFrame code: sketches are partial aggregates of one row per bin, so a
+hot source costs a few thousand rows per task, and the join back is on (lang, source) with a table of one row
+per group.
 
 Defined cases: null or empty text has no words and fails the base rule; null lang or source is a group
-of its own; repeated rows are judged alike; an empty table gives no rows; input columns named like an
-output give way to it.
+of its own; repeated rows are judged alike; a very long text is one row and is measured whole; an empty
+table gives no rows; input columns named like an output give way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import BLANKS, extended, save, words
@@ -27,6 +32,9 @@ MEASURES = {
     "upper_share": (0.10, False),
     "word_length": (0.75, True),
 }
+#: Bins of the sketches: of a share, per whole; of the word length, the ratio of a bin's ends.
+SHARE_BINS = 1000
+LENGTH_RATIO = 1.01
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 #: Groups whose thresholds may be broadcast (under 200 bytes each); with more, Spark joins by a shuffle.
 BROADCAST_GROUPS = 100_000
@@ -85,35 +93,54 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_upper", "n_lines")
 
 
-def sketches(measured: DataFrame, k: int = 4096) -> DataFrame:
-    """One row per (lang, source) with a KLL sketch of each measure over documents that pass the base rule."""
-    return (
-        measured.where(~F.col("base_failed"))
-        .groupBy("lang", "source")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in MEASURES])
-    )
+def _bin(measure: str):
+    c = F.col(measure)
+    binned = F.log(F.greatest(c, F.lit(1e-9))) / F.lit(math.log(LENGTH_RATIO)) if measure == "word_length" else c * SHARE_BINS
+    return F.floor(binned).cast("long")
+
+
+def _middle(measure, at):
+    """The value in the middle of a bin."""
+    length = F.exp((at + 0.5) * F.lit(math.log(LENGTH_RATIO)))
+    return F.when(measure == "word_length", length).otherwise((at + 0.5) / SHARE_BINS)
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, measure, bin, n): documents that pass the base rule, counted per bin of each measure; sketches merge by adding ``n``."""
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), _bin(m).alias("bin")) for m in MEASURES])
+    rows = measured.where(~F.col("base_failed")).select("lang", "source", F.inline(each))
+    return rows.groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, n, q25, q75) of sketches merged by ``keys``; a quartile is the middle of the first bin that holds its rank."""
+    merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("c"))
+    w = Window.partitionBy(*keys, "measure")
+    upto = F.sum("c").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    run = merged.withColumn("upto", upto).withColumn("n", F.sum("c").over(w))
+    got = run.groupBy(*keys, "measure", "n").agg(*[F.min(F.when(4 * F.col("upto") >= k * F.col("n"), F.col("bin"))).alias(f"b{k}") for k in (1, 3)])
+    return got.select(*keys, "measure", "n", _middle(F.col("measure"), F.col("b1")).alias("q25"), _middle(F.col("measure"), F.col("b3")).alias("q75"))
 
 
 def thresholds(own: DataFrame, fence: float = 3.0, least_rows: int = 30) -> DataFrame:
     """Fences of each (lang, source): from its own sketch, or from those merged per language or over all rows if it has under ``least_rows``."""
 
-    def merged(*keys):
-        return own.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
-
     def named(df, prefix):
         return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
-    by_lang, overall = named(merged("lang"), "l_"), named(merged(), "a_")
-    wide = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(overall), F.lit(True), "left")
-    out = [F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.lit(True).alias("t_known")]
+    by_lang, overall = named(quartiles(own, "lang"), "l_"), named(quartiles(own), "a_")
+    wide = quartiles(own, "lang", "source").join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")), "left")
+    wide = wide.join(F.broadcast(overall), F.col("measure") == F.col("a_measure"))  # five rows
+    q25, q75 = (F.when(F.col("n") >= least_rows, F.col(q)).when(F.col("l_n") >= least_rows, F.col("l_" + q)).otherwise(F.col("a_" + q)) for q in ("q25", "q75"))
+    wide = wide.select("lang", "source", "measure", q25.alias("lo"), q75.alias("hi"))
+    out = []
     for m, (spread, both) in MEASURES.items():
-        sketch = F.when(F.col("n") >= least_rows, F.col(m)).when(F.col("l_n") >= least_rows, F.col("l_" + m)).otherwise(F.col("a_" + m))
-        lo, hi = F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75))
-        reach = fence * F.greatest(hi - lo, F.lit(spread))
-        out.append((hi + reach).alias("hi_" + m))
+        reach = fence * F.greatest(F.col("hi") - F.col("lo"), F.lit(spread))
+        out.append(F.max(F.when(F.col("measure") == m, F.col("hi") + reach)).alias("hi_" + m))
         if both:
-            out.append((lo - reach).alias("lo_" + m))
-    return wide.select(*out)
+            out.append(F.max(F.when(F.col("measure") == m, F.col("lo") - reach)).alias("lo_" + m))
+    fences = wide.groupBy("lang", "source").agg(*out)
+    return fences.withColumnsRenamed({"lang": "t_lang", "source": "t_source"}).withColumn("t_known", F.lit(True))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", fence: float = 3.0, least_rows: int = 30, carry: list[str] | None = None) -> DataFrame:
@@ -136,3 +163,44 @@ def quality_rules(docs: DataFrame, text: str = "text", fence: float = 3.0, least
         if both:
             inside &= F.col(m) >= F.col("lo_" + m)
     return extended(joined, {"kept": F.when(F.col("base_failed"), F.lit(False)).otherwise(inside)}).drop(*limits.columns)
+
+
+def _sql(fence: float = 3.0, least_rows: int = 30) -> str:
+    """The registered query in SQL."""
+    ratio, blank = repr(math.log(LENGTH_RATIO)), "[\\x20\\x09-\\x0D]"
+    binned = " UNION ALL ".join(
+        f"SELECT lang, source, '{m}' AS measure, CAST(floor({f'ln(greatest({m}, 1e-9)) / {ratio}' if m == 'word_length' else f'{m} * {SHARE_BINS}'}) AS BIGINT) AS bin FROM m WHERE NOT base_failed"
+        for m in MEASURES
+    )
+
+    def quartile(name, keys):
+        k = "".join(f"{x}, " for x in keys)
+        middle = lambda b: f"CASE WHEN measure = 'word_length' THEN exp(({b} + 0.5::DOUBLE) * {ratio}) ELSE ({b} + 0.5::DOUBLE) / {SHARE_BINS} END"
+        return f"""{name}0 AS (SELECT {k}measure, bin, sum(count(*)) OVER (PARTITION BY {k}measure ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY {k}measure) AS n FROM b GROUP BY {k}measure, bin),
+{name}1 AS (SELECT {k}measure, n, min(bin) FILTER (4 * upto >= n) AS b1, min(bin) FILTER (4 * upto >= 3 * n) AS b3 FROM {name}0 GROUP BY {k}measure, n),
+{name} AS (SELECT {k}measure, n, {middle("b1")} AS q25, {middle("b3")} AS q75 FROM {name}1)"""
+
+    pick = lambda q: f"CASE WHEN o.n >= {least_rows} THEN o.{q} WHEN l.n >= {least_rows} THEN l.{q} ELSE a.{q} END"
+    spread = "CASE f.measure " + " ".join(f"WHEN '{m}' THEN {s}::DOUBLE" for m, (s, _) in MEASURES.items()) + " END"
+    value = "CASE f.measure " + " ".join(f"WHEN '{m}' THEN m.{m}" for m in MEASURES) + " END"
+    lower = "CASE WHEN f.measure IN (" + ", ".join(f"'{m}'" for m, (_, both) in MEASURES.items() if both) + ") THEN lo - reach END"
+    return f"""
+WITH d AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, list_slice(w, i, i + 7) AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+h AS (SELECT rid, unnest(list(i)) AS i FROM g GROUP BY rid, gram HAVING count(*) > 1),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM h) GROUP BY rid),
+c AS (SELECT doc_id, lang, source, rid, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{blank}', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS upper FROM d LEFT JOIN r USING (rid)),
+m AS (SELECT *, CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share,
+  (len(ln) - len(list_distinct(ln))) / greatest(len(ln), 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_share, upper / greatest(word_chars, 1) AS upper_share, word_chars / greatest(n_words, 1) AS word_length FROM c),
+b AS ({binned}),
+{quartile("o", ["lang", "source"])},
+{quartile("l", ["lang"])},
+{quartile("a", [])},
+p AS (SELECT o.lang, o.source, o.measure, {pick("q25")} AS lo, {pick("q75")} AS hi FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN a ON a.measure = o.measure),
+f AS (SELECT *, {fence} * greatest(hi - lo, {spread.replace('f.measure', 'measure')}) AS reach FROM p),
+v AS (SELECT rid, bool_and({value} <= hi + reach AND coalesce({value} >= {lower}, true)) AS inside FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source GROUP BY rid)
+SELECT doc_id, {', '.join(BASE)}, CASE WHEN base_failed THEN false ELSE coalesce(inside, false) END AS kept, {', '.join(MEASURES)} FROM m LEFT JOIN v USING (rid)"""
+
+
+ORACLE_SQL = _sql()
