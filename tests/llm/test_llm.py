@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -62,6 +63,40 @@ def test_keyed_permutation(spark, m):
     assert got == list(range(m))
 
 
+def test_matrix_of_groups(spark, monkeypatch):
+    """Many partitions are drawn group by group; what they send follows the hypergeometric law."""
+    monkeypatch.setattr(sharding, "GROUP_PARTS", 8)
+    rows = [(i, 40 + i % 3) for i in range(150)]
+    got = sharding.matrix(spark.createDataFrame(rows, "part long, rows long"), 4, 3).collect()
+    sends = np.array([r.sends for r in sorted(got, key=lambda r: r.part)])
+    assert sends.sum(1).tolist() == [n for _, n in rows] and sends.sum(0).tolist() == got[0].sizes
+    starts = {tuple(x) for x in zip(*[np.sort([r.starts[j] for r in got]) for j in range(4)])}
+    assert len(starts) > 140
+    for j in range(4):  # places of partitions in a shard are gapless
+        held = sorted((r.starts[j], r.sends[j]) for r in got)
+        assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:]))
+    want = np.outer(sends.sum(1), sends.sum(0)) / sends.sum()
+    chi = ((sends - want) ** 2 / want).sum()
+    assert abs(chi - 149 * 3) < 5 * np.sqrt(2 * 149 * 3)
+
+
+def test_shuffle_is_uniform(spark):
+    """One file of many runs of rows: each tenth of the rows is spread evenly over shards and over tenths of their slots, and neighbours part."""
+    rows = store.save(spark.range(0, 20_000, 1, 1), "rows")
+    got = sharding.shard(rows, 4, part_rows=1000).toPandas().sort_values("id")
+    for value, kinds in ((got.shard, 4), (got.slot * 10 // 5000, 10)):
+        table = np.zeros((10, kinds))
+        np.add.at(table, (got.id.to_numpy() // 2000, value.to_numpy()), 1)
+        chi = ((table - 2000 / kinds) ** 2 / (2000 / kinds)).sum()
+        free = 9 * (kinds - 1)
+        assert abs(chi - free) < 5 * np.sqrt(2 * free)
+    near = np.abs(np.diff(got.shard * 5000 + got.slot))
+    assert abs(near.mean() - 20_000 / 3) < 200
+    assert sharding._plain(rows.select("id")) and not sharding._plain(rows.where("rand() < 2")) and not sharding._plain(rows.withColumn("r", F.rand()))
+    part = sharding.shard(rows.where("id % 3 = 0"), 4).toPandas()
+    assert sorted(part.id) == list(range(0, 20_000, 3)) and sorted(part.groupby("shard").size()) == [1666, 1667, 1667, 1667]
+
+
 def test_shards(spark, docs, odd):
     for df in (docs, odd, docs.limit(0)):
         rows = [(r["shard"], r["slot"]) for r in sharding.shard(df, 16).collect()]
@@ -92,14 +127,28 @@ def test_quality_base_and_verdict(spark, docs, odd):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
-def test_quality_fences_from_exact_quantiles(spark, docs):
-    """With few rows the sketches hold all values, so fences equal those of sorted values."""
-    m = quality.measure(docs).where("not base_failed").select("lang", "source", "word_length").toPandas()
-    limits = {(r.t_lang, r.t_source): r.hi_word_length for r in quality.thresholds(quality.sketches(quality.measure(docs)), least_rows=1).collect()}
-    for key, v in m.groupby(["lang", "source"]).word_length:
-        v = np.sort(v)
-        q = lambda p: v[max(int(np.ceil(p * len(v))) - 1, 0)]
-        assert limits[key] == pytest.approx(q(0.75) + 3 * max(q(0.75) - q(0.25), 0.75))
+@pytest.mark.parametrize("least_rows", [1, 30])
+def test_quality_verdict_equals_brute_force(spark, docs, odd, least_rows):
+    """Fences from sorted bins of each group, its language or all; the order and the partitions of rows do not matter."""
+    for df in (docs, odd.select("doc_id", "text", "lang", "source")):
+        rows = [r.asDict() for r in quality.quality_rules(df.repartition(5), least_rows=least_rows).collect()]
+        passed = [r for r in rows if not r["base_failed"]]
+
+        def quartile(group, m, p):
+            v = sorted(math.floor(math.log(max(r[m], 1e-9)) / math.log(1.01)) if m == "word_length" else math.floor(r[m] * 1000) for r in group)
+            b = v[max(math.ceil(p * len(v)) - 1, 0)]
+            return math.exp((b + 0.5) * math.log(1.01)) if m == "word_length" else (b + 0.5) / 1000
+
+        for r in rows:
+            own = [x for x in passed if (x["lang"], x["source"]) == (r["lang"], r["source"])]
+            lang = [x for x in passed if x["lang"] == r["lang"]]
+            group = own if len(own) >= least_rows else lang if len(lang) >= least_rows else passed
+            keep = not r["base_failed"]
+            for m, (spread, both) in quality.MEASURES.items() if keep else ():
+                lo, hi = quartile(group, m, 0.25), quartile(group, m, 0.75)
+                reach = 3 * max(hi - lo, spread)
+                keep &= r[m] <= hi + reach and (not both or r[m] >= lo - reach)
+            assert r["kept"] == keep
 
 
 # --- n-gram Jaccard join
@@ -311,6 +360,48 @@ def test_mixture(spark, docs, odd):
     assert mixing.mix(odd, max_repeats=2.0).where("doc_id = 3").count() >= 2 and mixing.mix(odd.limit(0), max_repeats=2.0).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [1.5, 3.3])
+def test_mixture_equals_brute_force(spark, docs, repeats):
+    """Every draw of every epoch, from sorted blocks and documents."""
+    got = Counter((r.doc_id, r.epoch) for r in mixing.mix(docs, max_repeats=repeats, blocks=8).collect())
+    place = F.xxhash64(F.lit(7), "doc_id", "text")
+    keyed = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(store.WORD)).alias("n"), place.alias("p"), F.pmod(F.xxhash64(F.lit(8), place), F.lit(8)).alias("b"))
+    rows = keyed.withColumn("o", F.xxhash64(F.lit(9), "source", "b")).collect()
+    totals = Counter()
+    for r in rows:
+        totals[r.source] += r.n
+    frame = spark.createDataFrame(list(totals.items()), "s string, tokens long")
+    alpha, spent = mixing.exponent(frame, max_repeats=repeats)
+    z = sum(t**alpha for t in totals.values())
+    want = Counter()
+    for source, t in totals.items():
+        quota = t**alpha / z * spent / t
+        full, mine = math.floor(quota + 1e-9), [r for r in rows if r.source == source]
+        rest = max(0.0, (quota - full) * t)
+        for r in mine:
+            want.update((r.doc_id, e) for e in range(full))
+        for _, block in sorted({(r.o, r.b) for r in mine}) if quota > full + 1e-9 else ():
+            held = sorted((r for r in mine if r.b == block), key=lambda r: r.p)
+            size = sum(r.n for r in held)
+            upto = 0
+            for r in held:
+                upto += r.n
+                if size <= rest or upto <= rest:
+                    want[r.doc_id, full] += 1
+            if size > rest:
+                break
+            rest -= size
+    assert got == want
+
+
+def test_targets_out_of_reach_raise(spark):
+    totals = spark.createDataFrame([("a", 8000), ("b", 1000)], "s string, tokens long")
+    for bad in ({"entropy": 0.70}, {"entropy": -0.1}, {"max_repeats": 0.5}, {"max_repeats": 2.0, "budget": 20_000.0}):
+        with pytest.raises(ValueError):
+            mixing.exponent(totals, **bad)
+    assert mixing.exponent(totals, entropy=math.log(2))[0] < 1e-6 and mixing.exponent(totals, max_repeats=2.0, budget=18_000.0)[0] == pytest.approx(1.0, abs=1e-6)
+
+
 def test_exponent_meets_its_target(spark):
     totals = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 500), ("d", 0)], "s string, tokens long")
     p = np.array([8000, 1000, 500]) / 9500
