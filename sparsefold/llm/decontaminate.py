@@ -1,21 +1,26 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words (letters and digits, lower-cased) are hashed. A document and a benchmark item that share a seed, a run of
-``tile`` words, are tiled: running Karp-Rabin finds the longest matches of runs not yet marked, longest first,
-marks them in both, and goes on with shorter lengths down to ``tile``. The share of the item's words in tiles is
-its coverage, so a passage that was reordered in pieces is caught like a verbatim one. A document is
-contaminated when an item's coverage reaches ``threshold``.
-
-Benchmark items are the queries: they go to the tasks in blocks of bounded size, one pass over the documents per
-block, each adding to what the passes before found. Documents are not shuffled and whole texts are read.
-
-Defined cases: null or empty texts share no seed; an item without words matches nothing; an item of under ``tile``
-words is matched as one run; repeated items count once per row; ties between items go to the smallest item_id; an
-empty benchmark leaves every document clean; input columns named like an output give way.
+Words are runs of letters, marks and digits of any script, lower-cased and hashed. The runs of ``tile`` words of all
+texts, their seeds, are joined to those of the benchmark items by a running Karp-Rabin hash. A text and an item whose
+shared seeds cover enough of the item to reach the threshold are tiled: the longest match of words not yet marked is
+marked in both, again and again, until none of ``tile`` words is left. The share of the item's words in tiles is its
+coverage, so a passage that was reordered in pieces is caught like a verbatim one. A document is contaminated when an
+item's coverage reaches ``threshold``.
+
+Texts are known by two 64-bit hashes, so equal texts are tiled once. Seeds of the benchmark are few: up to a bound they
+go to the tasks, which then send on only seeds that an item has; beyond it, all seeds are joined by a shuffle. Only texts
+that share enough seeds are moved, and the result is joined to the documents by the hashes of their texts.
+
+Defined cases: null or empty texts share no seed; a very long text is worked on whole; an item without words matches
+nothing, nor does one of under ``tile`` words, as it would mark common phrases; an item without item_id counts like any
+other, and after those with one of equal coverage; repeated items count once per row; ties between items go to the
+smallest item_id; repeated rows get equal results; an empty benchmark leaves every document clean; input columns named
+like an output give way.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +29,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ship, without
-from .tokens import ALNUM_BYTES, U, chunks, mix64, powers, span_hashes, word_spans
+from .store import save, ship, without
+from .tokens import U, chunks, mix64, powers, span_hashes, word_spans
 
 OUTPUT = {"contaminated": "boolean", "coverage": "double", "item_id": "long", "n_items": "int", "n_tiles": "int"}
-#: Words of benchmark items in a block (8 bytes each).
-BLOCK_WORDS = 1_000_000
+#: Seeds of the benchmark (8 bytes each) and rows that may be broadcast.
+BROADCAST_SEEDS = 4_000_000
+BROADCAST_ROWS = 200_000
+#: Pairs of equal seeds that are held at once.
+PAIRS = 1 << 20
+APART = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, end row, word hashes and row bounds in them."""
-    for first, end, data, offsets in chunks(pc.utf8_lower(column)):
-        starts, ends, row = word_spans(data, offsets, ALNUM_BYTES)
+    bare = pc.replace_substring_regex(pc.utf8_lower(column), pattern=APART, replacement=" ")
+    for first, end, data, offsets in chunks(bare):
+        starts, ends, row = word_spans(data, offsets)
         yield first, end, span_hashes(data, starts, ends), np.searchsorted(row, np.arange(end - first + 1))
 
 
@@ -49,126 +59,157 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix64((total[k:] - total[:-k]) * inverse[:n])
 
 
+def _starts(test: np.ndarray, text: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Where matches of ``least`` words or more begin."""
+    ha, hb = runs(test, least), runs(text, least)
+    order = np.argsort(ha, kind="stable")
+    lo, hi = np.searchsorted(ha[order], hb, "left"), np.searchsorted(ha[order], hb, "right")
+    near = np.flatnonzero(hi > lo)
+    upto = np.cumsum(hi[near] - lo[near])
+    at = 0
+    while at < len(near):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        j = np.repeat(near[at:end], hi[near[at:end]] - lo[near[at:end]])
+        within = np.arange(len(j)) - np.repeat(np.append(0, upto[at:end][:-1] - (upto[at - 1] if at else 0)), hi[near[at:end]] - lo[near[at:end]])
+        i = order[lo[j] + within]
+        inner = (i > 0) & (j > 0) & (test[np.maximum(i, 1) - 1] == text[np.maximum(j, 1) - 1])
+        yield from zip(i[~inner].tolist(), j[~inner].tolist())
+        at = end
+
+
 def tiles(test: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in test, place in text, length) of non-overlapping matches, longest first."""
+    """Greedy string tiling: (place in test, place in text, length) of non-overlapping matches, longest first.
+
+    Matches wait in a heap; one that has been marked in part goes back with the runs that are left of it.
+    """
     marked_a, marked_b = np.zeros(len(test), bool), np.zeros(len(text), bool)
-    found, size = [], len(test)
-    while size >= least:
-        matches = []
-        open_a = np.concatenate(([0], np.cumsum(marked_a)))
-        open_b = np.concatenate(([0], np.cumsum(marked_b)))
-        ha, hb = runs(test, size), runs(text, size)
-        free_a = np.flatnonzero(open_a[size:] == open_a[:-size]) if len(ha) else []
-        table: dict[int, list[int]] = {}
-        for i in free_a:
-            table.setdefault(int(ha[i]), []).append(int(i))
-        keys = np.array(sorted(table), U)
-        near = np.flatnonzero((open_b[size:] == open_b[:-size]) & np.isin(hb, keys)) if len(hb) and len(keys) else []
-        for j in near:
-            for i in table[int(hb[j])]:
-                if i and j and test[i - 1] == text[j - 1] and not marked_a[i - 1] and not marked_b[j - 1]:
-                    continue  # inside a match that begins earlier
-                n = size
-                while i + n < len(test) and j + n < len(text) and test[i + n] == text[j + n] and not marked_a[i + n] and not marked_b[j + n]:
-                    n += 1
-                matches.append((n, i, int(j)))
-        again = False
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if marked_a[i : i + n].any() or marked_b[j : j + n].any():
-                again = True  # what is left of it may still be a match of this length
-                continue
-            if not (test[i : i + n] == text[j : j + n]).all():
-                continue
+    waiting = []
+    for i, j in _starts(test, text, least):
+        most = min(len(test) - i, len(text) - j)
+        apart = np.flatnonzero(test[i : i + most] != text[j : j + most])
+        n = int(apart[0]) if len(apart) else most
+        if n >= least:
+            waiting.append((-n, i, j))
+    heapq.heapify(waiting)
+    found = []
+    while waiting:
+        n, i, j = heapq.heappop(waiting)
+        n = -n
+        taken = marked_a[i : i + n] | marked_b[j : j + n]
+        if not taken.any():
             marked_a[i : i + n] = marked_b[j : j + n] = True
             found.append((i, j, n))
-        if not again:
-            size = size // 2 if size // 2 > least else (least if size > least else 0)
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= least:
+                heapq.heappush(waiting, (-(b - a), i + a, j + b - (b - a)))
     return found
 
 
-class Items:
-    """One block of benchmark items with an index of their seeds."""
-
-    def __init__(self, ids: list[int], words: list[np.ndarray], tile: int):
-        self.ids, self.words, self.tile = ids, words, tile
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted({min(tile, len(w)) for w in words if len(w)}):
-            mine = [i for i, w in enumerate(words) if min(tile, len(w)) == k]
-            h = np.concatenate([runs(words[i], k) for i in mine])
-            item = np.concatenate([np.full(len(words[i]) - k + 1, i) for i in mine])
-            at = np.concatenate([np.arange(len(words[i]) - k + 1) for i in mine])
-            order = np.argsort(h, kind="stable")
-            self.seeds[k] = h[order], item[order], at[order]
-
-    def tiled(self, text: np.ndarray, hits: list[tuple[int, np.ndarray]], threshold: float) -> list[tuple[int, float, int]]:
-        """(item, coverage, tiles) of items that may reach the threshold; ``hits``: per seed length, seeds of the document."""
-        out = []
-        for k, hashes in hits:
-            h, item, at = self.seeds[k]
-            lo, hi = np.searchsorted(h, hashes, "left"), np.searchsorted(h, hashes, "right")
-            rows = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)]))
-            for i in np.unique(item[rows]):
-                words, places = self.words[i], at[rows[item[rows] == i]]
-                may = np.zeros(len(words) + 1, np.int64)
-                np.add.at(may, places, 1)
-                np.add.at(may, places + k, -1)
-                if (np.cumsum(may[:-1]) > 0).sum() < threshold * len(words):
-                    continue  # even all its seeds in the document cover too little
-                got = tiles(words, text, k)
-                out.append((int(i), sum(n for _, _, n in got) / len(words), len(got)))
-        return out
-
-
-def _marked(items: Items, threshold: float, schema: pa.Schema, text_at: int):
+def _item_seeds(tile: int):
+    """(key, text) -> (key, n_words, place, seed) of each seed of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, words, bounds in word_hashes(batch.column(1)):
+                for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    h = runs(words[a:b], tile)
+                    n = len(h)
+                    columns = [pa.array([batch.column(0)[first + r].as_py()] * n, pa.int64()), pa.array(np.full(n, b - a, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "n_words", "place", "seed"])
+
+    return run
+
+
+def _text_seeds(tile: int, known):
+    """(h1, h2, text) -> (h1, h2, seed) of each distinct seed of a text, of those in ``known`` if that is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad, cover, best, n_items, n_tiles = (batch.column(schema.get_field_index(c)).to_pylist() for c in OUTPUT)
-            for first, end, words, bounds in word_hashes(batch.column(text_at)):
-                near: dict[int, list[tuple[int, np.ndarray]]] = {}
-                for k, (h, _, _) in items.seeds.items():
-                    mine = runs(words, k)
-                    at = np.flatnonzero(np.isin(mine, h))
-                    row = np.searchsorted(bounds, at, "right") - 1
-                    ok = at + k <= bounds[row + 1]
-                    at, row = at[ok], row[ok]
-                    cut = np.flatnonzero(np.concatenate((np.diff(row, prepend=-1) != 0, [True]))) if len(at) else []
-                    for a, b in zip(cut[:-1], cut[1:]):
-                        near.setdefault(int(row[a]), []).append((k, np.unique(mine[at[a:b]])))
-                for r, hits in near.items():
-                    i = first + r
-                    for item, share, n in items.tiled(words[bounds[r] : bounds[r + 1]], hits, threshold):
-                        mine, old = (1 << 63 if x is None else x for x in (items.ids[item], best[i]))
-                        if (-share, mine) < (-cover[i], old):
-                            cover[i], best[i], n_tiles[i] = share, items.ids[item], n
-                        if share >= threshold:
-                            bad[i], n_items[i] = True, n_items[i] + 1
-            made = dict(zip(OUTPUT, (bad, cover, best, n_items, n_tiles)))
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(j) for j, f in enumerate(schema)], schema=schema)
+            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, _, words, bounds in word_hashes(batch.column(2)):
+                seed = runs(words, tile).view(np.int64)
+                if known is not None:
+                    held = known.value
+                    at = np.minimum(np.searchsorted(held, seed), len(held) - 1)
+                    place = np.flatnonzero(held[at] == seed)
+                else:
+                    place = np.arange(len(seed))
+                row = np.searchsorted(bounds, place, "right") - 1
+                ok = place + tile <= bounds[row + 1]
+                row, seed = row[ok], seed[place[ok]]
+                order = np.lexsort((seed, row))
+                row, seed = row[order], seed[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (seed[1:] != seed[:-1])
+                row, seed = first + row[new], seed[new]
+                yield pa.RecordBatch.from_arrays([pa.array(h1[row]), pa.array(h2[row]), pa.array(seed)], names=["h1", "h2", "seed"])
 
     return run
 
 
+def _tiled(tile: int):
+    """(h1, h2, item_id, times, item_text, text) -> coverage and number of tiles of the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cover, n = [], []
+            for r in range(len(batch)):
+                pair = [np.concatenate([w for _, _, w, _ in word_hashes(batch.column(c).slice(r, 1))]) for c in (4, 5)]
+                got = tiles(*pair, tile)
+                cover.append(sum(m for _, _, m in got) / len(pair[0]))
+                n.append(len(got))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cover, pa.float64()), pa.array(n, pa.int32())], names=["h1", "h2", "item_id", "times", "coverage", "n_tiles"])
+
+    return run
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, tile: int, threshold: float) -> DataFrame:
+    """docs (h1, h2, text), benchmark (item_id, text) -> (h1, h2, item_id, times, coverage, n_tiles) of pairs that may reach the threshold."""
+    spark = docs.sparkSession
+    items = benchmark.where("text is not null").groupBy(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    items = save(items.withColumn("item", F.xxhash64("item_id", "item_text")), "items")
+    seeds = save(items.select("item", "item_text").mapInArrow(_item_seeds(tile), "item long, n_words int, place int, seed long"), "seeds")
+    known, side = None, seeds
+    if seeds.count() <= BROADCAST_SEEDS:
+        known = spark.sparkContext.broadcast(np.sort(seeds.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)))
+        side = F.broadcast(seeds)
+        if not len(known.value):
+            return spark.createDataFrame([], "h1 long, h2 long, item_id long, times int, coverage double, n_tiles int")
+    hits = docs.mapInArrow(_text_seeds(tile, known), "h1 long, h2 long, seed long")
+    pairs = hits.join(side, "seed").groupBy("h1", "h2", "item", "n_words").agg(F.collect_set("place").alias("places"))  # at most an item's places
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + tile - 1)))))
+    pairs = save(pairs.where(covered >= threshold * F.col("n_words")).select("h1", "h2", "item"), "seeded")
+    texts = docs.join(_few(pairs.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    met = texts.join(pairs, ["h1", "h2"]).join(_few(items), "item").select("h1", "h2", "item_id", "times", "item_text", "text")
+    return save(met.mapInArrow(_tiled(tile), "h1 long, h2 long, item_id long, times int, coverage double, n_tiles int"), "tiled")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", tile: int = 5, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``contaminated``, the best item's ``coverage``, ``item_id`` and ``n_tiles``, and ``n_items`` (at or over the threshold).
 
-    An item without item_id counts like any other, and after those with one of equal coverage; as the best item its
-    ``item_id`` is null. Items without text are left out. Items whose coverage is certainly under the threshold are not tiled and leave coverage 0.
+    A pair whose seeds alone show that its coverage is under the threshold is not tiled: where a document has no other,
+    its ``coverage`` is 0 and it has no best item.
     """
     ship(docs.sparkSession)
     docs = without(docs, OUTPUT)
-    first = {"contaminated": F.lit(False), "coverage": F.lit(0.0), "item_id": F.lit(None), "n_items": F.lit(0), "n_tiles": F.lit(0)}
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.cast(OUTPUT[k]).alias(k) for k, v in first.items()])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema, place = to_arrow_schema(out.schema), docs.columns.index(text)
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + total // (2 * BLOCK_WORDS)
-    for b in range(blocks):  # a fixed number of words at a time; usually one block
-        rows = benchmark.where(F.col("text").isNotNull()).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").collect()
-        ids, words = [r[0] for r in rows], []
-        for _, _, h, bounds in word_hashes(pa.array([r[1] for r in rows], pa.string())) if rows else ():
-            words += [h[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-        items = Items(ids, words, tile)
-        if items.seeds:
-            out = out.mapInArrow(_marked(items, threshold, schema, place), out.schema)
-    return out
+    h1, h2 = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
+    named = docs.where(F.col(text).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text"))
+    pairs = matches(named, benchmark, tile, threshold)
+    over = F.col("coverage") >= threshold
+    best = F.max_by(F.struct("coverage", "item_id", "n_tiles"), F.struct("coverage", -F.coalesce("item_id", F.lit((1 << 63) - 1))))
+    by_text = pairs.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.max(over).alias("_bad"), best.alias("_best"), F.sum(F.when(over, F.col("times")).otherwise(0)).cast("int").alias("_n"))
+    joined = docs.join(_few(save(by_text, "contaminated")), (h1 == F.col("_h1")) & (h2 == F.col("_h2")) & F.col(text).isNotNull(), "left")
+    made = {
+        "contaminated": F.coalesce("_bad", F.lit(False)),
+        "coverage": F.coalesce("_best.coverage", F.lit(0.0)),
+        "item_id": F.col("_best.item_id"),
+        "n_items": F.coalesce("_n", F.lit(0)),
+        "n_tiles": F.coalesce("_best.n_tiles", F.lit(0)),
+    }
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in made.items()])
