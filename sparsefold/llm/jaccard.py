@@ -419,3 +419,20 @@ def _components(docs: DataFrame, k: int, percent: int, leaf: int, bucket_signatu
     out = narrow.join(classes.withColumnsRenamed({"k1": "c1", "k2": "c2", "n": "cn"}), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
+
+
+def _sql(k: int, percent: int) -> str:
+    """The components in SQL, by all pairs of documents that share a shingle; equal sets are one node."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(list_slice(w, i, i + {k - 1}), ' ')))) END AS sh FROM d),
+c AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+t AS (SELECT rep, n, unnest(sh) AS g FROM c),
+p AS (SELECT a.rep AS x, b.rep AS y FROM t a JOIN t b ON a.g = b.g AND a.rep < b.rep AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node WHERE r.root < e.y),
+q AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(q.root, doc_id) AS component_id FROM s LEFT JOIN c USING (sh) LEFT JOIN q ON q.node = c.rep"""
+
+
+ORACLE_SQL = _sql(3, 90)

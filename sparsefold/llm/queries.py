@@ -62,4 +62,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_surrogates, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op7_quality_rules, op8_licenses, op9_repeats, op10_chat)}
-ORACLES = {"op7_quality_rules": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
+ORACLES = {"op6_jaccard": jaccard.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL, "op9_repeats": repeats.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
