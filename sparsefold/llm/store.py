@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,25 +21,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where none is (tests on one machine)."""
+    """The folder in ``spark.checkpoint.dir``. Where none is set, a local session gets a temporary one; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-_noted: list[list[str]] = []
+#: Lists that take the folders of tables written in this context (a thread or task has its own).
+_noted: ContextVar[tuple[list[str], ...]] = ContextVar("_noted", default=())
 
 
 @contextmanager
 def noted() -> Iterator[list[str]]:
     """Inside, the folders of tables that :func:`save` writes are noted in the list given, also by callers further out."""
-    _noted.append(made := [])
+    token = _noted.set((*_noted.get(), made := []))
     try:
         yield made
     finally:
-        _noted[:] = [x for x in _noted if x is not made]
+        _noted.reset(token)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +50,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    for made in _noted:
+    for made in _noted.get():
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

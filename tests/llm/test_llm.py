@@ -340,6 +340,7 @@ def brute_tiles(a, b, least):
 def test_tiles_do_not_overlap_and_are_maximal(a, b):
     x, y = tokens.mix64(np.array(a, np.uint64)), tokens.mix64(np.array(b, np.uint64))
     got = decontaminate.tiles(x, y, 3)
+    assert sum(n for _, _, n in got) == brute_tiles(a, b, 3)
     used_a = [i + d for i, _, n in got for d in range(n)]
     used_b = [j + d for _, j, n in got for d in range(n)]
     assert len(set(used_a)) == len(used_a) and len(set(used_b)) == len(used_b)
@@ -348,6 +349,43 @@ def test_tiles_do_not_overlap_and_are_maximal(a, b):
     assert not any(None not in left_a[i : i + 3] and left_a[i : i + 3] == left_b[j : j + 3] for i in range(len(a) - 2) for j in range(len(b) - 2))
 
 
+@pytest.mark.parametrize("seeds", [4_000_000, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, seeds):
+    """Coverage of the best item from every pair's tiles, with seeds broadcast and joined by a shuffle."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", seeds)
+    rng = random.Random(1)
+    items = [[f"q{rng.randrange(12)}" for _ in range(rng.choice([3, 5, 8, 20]))] for _ in range(12)] + [["a"] * 9]
+    texts = [["z"] * 6, ["a"] * 400, []]
+    for _ in range(30):
+        words = [f"z{rng.randrange(50)}" for _ in range(30)]
+        for _ in range(3):
+            item, at = rng.choice(items), rng.randrange(30)
+            cut = rng.randrange(len(item))
+            words[at:at] = item[cut:] + item[:cut] if rng.random() < 0.5 else item
+        texts.append(words)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, threshold=0.6).collect()}
+    assert len(got) == len(texts) + 1 and not got[99].contaminated
+    for d, t in enumerate(texts):
+        cover = {i: brute_tiles(x, t, 5) / len(x) for i, x in enumerate(items)}
+        hit = sorted((-c, i) for i, c in cover.items() if c >= 0.6)
+        assert (got[d].contaminated, got[d].n_items) == (bool(hit), len(hit))
+        if hit:
+            assert (got[d].coverage, got[d].item_id) == (-hit[0][0], hit[0][1])
+
+
+def test_decontamination_words(spark):
+    """Dashes and quotes of any kind part words, short items mark nothing, letters of all scripts count, long texts are read whole."""
+    item = "the “quick” brown—fox jumps over the lazy dog again"
+    texts = ["x the quick brown fox jumps over the lazy dog again y", "she says yes once", "z " * 300_000 + item.upper(), "क्या यह एक प्रश्न है जो यहाँ है"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "Yes"), (3, "क्या यह एक प्रश्न है जो यहाँ है"), (4, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert [got[i].item_id for i in range(4)] == [1, None, 1, 3] and got[0].coverage == 1.0
+
+
 # --- mixing
 
 
@@ -431,6 +469,33 @@ def test_license_places(spark, odd):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("literals", [5_000, 0])
+def test_whole_licenses_and_many_templates(spark, monkeypatch, literals):
+    """A whole license with a changed and a missing word; with the templates' hashes in the expression and joined."""
+    monkeypatch.setattr(licenses, "MOST_LITERALS", literals)
+    text = next(t for t, label in licenses.LICENSES.items() if label == "isc").split()
+    del text[50]
+    text[20] = "other"
+    rows = [(1, "x " * 5000 + " ".join(text).upper()), (2, " ".join(text[:30])), (3, "license"), (4, "apache apache license license")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "isc" and 0.8 < got[1].score < 1 and got[2].labels == "" and got[3].n_words == 1
+    assert (got[4].n_base, got[4].first_word, got[4].labels) == (1, 1, "apache")
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 7])
+def test_rolling_hash(spark, k):
+    """Equal runs of words have equal hashes wherever they stand, and only they."""
+    rng = random.Random(k)
+    w = [rng.choice("abc") for _ in range(60)]
+    got = spark.createDataFrame([(w,)], "w array<string>").select(F.expr(licenses._rolled("w", k)).alias("r")).first().r
+    seen = {}
+    assert len(got) == 60 - k + 1
+    for i, h in enumerate(got):
+        assert seen.setdefault(h, w[i : i + k]) == w[i : i + k]
+    assert len(seen) == len({tuple(w[i : i + k]) for i in range(60 - k + 1)})
+    assert spark.sql(f"SELECT {licenses._rolled('array()', k)} AS r").first().r == []
+
+
 # --- token counts
 
 
@@ -634,7 +699,6 @@ def test_repeated_rows_and_missing_ids(spark):
     other = " ".join(f"other{i}" for i in range(40))
     rows = [(7, passage), (7, passage), (None, passage), (9, passage), (None, other), (None, other), (3, "alone in the world with its own words"), (None, None), (None, "")]
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
-    corpus_pipeline._left.clear()
     got = corpus_pipeline.near_duplicate_stage(spark, df, DATA).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
     assert sorted([(r.doc_id, r.text) for r in got], key=key)[:2] == [(3, rows[6][1]), (7, passage)]
@@ -687,3 +751,45 @@ def test_pieces_have_the_tokens_of_one_encoding(monkeypatch):
         assert a.tolist() == b.tolist()
     mask = chat.masked(whole[1], whole[2], spans)
     assert "".join(text[a:b] for a, b, m in zip(whole[1], whole[2], mask) if m).isascii() is False and mask.any() and not mask.all()
+
+
+def test_pipeline_run(spark, docs, tmp_path):
+    """The whole run on a small table with nulls, blank and very long texts, repeated rows and columns of clashing names."""
+    rows = [r.asDict() for r in docs.limit(60).collect()]
+    rows += [dict(rows[0]), {**rows[1], "doc_id": None}, {**rows[2], "text": None}, {**rows[3], "text": ""}, {**rows[4], "doc_id": 90_001, "lang": None, "source": None}]
+    rows += [{"doc_id": 90_002, "text": " ".join(f"{'lorem ipsum dolor sit amet'.split()[i % 5]}{i}" for i in range(60_000)), "lang": "en", "source": rows[0]["source"], "n_chars": 1}]
+    given = spark.createDataFrame([tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in rows], DOCS).withColumns({c: F.lit("x") for c in ("shard", "slot", "kept", "epoch", "_row", "h1")})
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs_in = given.select(*corpus_pipeline.COLUMNS)
+    kept = [r for r in quality.quality_rules(docs_in).collect() if r.kept]
+    one_each = brute_components([(i, r.text) for i, r in enumerate(kept)], 5, 80)
+    texts = [kept[i].text for i, (_, c) in one_each.items() if i == c]
+    bench = [re.findall(r"[^\W_]+", r.text.lower()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    clean = 0
+    for t in texts:
+        w = re.findall(r"[^\W_]+", t.lower())
+        seeds = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        near = [b for b in bench if len(b) >= 5 and sum(tuple(b[i : i + 5]) in seeds for i in range(len(b) - 4)) * 5 >= 0.5 * len(b)]
+        clean += not any(brute_tiles(b, w[:3000], 5) >= 0.5 * len(b) for b in near)
+    assert len({r.text for r in got}) == clean and all(0 <= r.shard < 16 for r in got)
+    n = Counter(r.shard for r in got)
+    assert max(n.values()) - min(n.get(i, 0) for i in range(16)) <= 1 and sorted((r.shard, r.slot) for r in got) == [(s, i) for s in sorted(n) for i in range(n[s])]
+    assert set(got[0].asDict()) == {*corpus_pipeline.COLUMNS, "shard", "slot"}
+    given.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_runs_do_not_share_state(spark, docs):
+    """Two runs side by side: the second deletes nothing that the first still reads."""
+    first = corpus_pipeline.quality_stage(spark, docs, DATA)
+    n = first.count()
+    corpus_pipeline.near_duplicate_stage(spark, store.save(corpus_pipeline.quality_stage(spark, docs, DATA), "t"), DATA)
+    assert first.count() == n
+    with store.noted() as a:
+        store.save(docs.limit(1), "t")
+        with store.noted() as b:
+            store.save(docs.limit(1), "t")
+    assert len(a) == 2 and a[1:] == b and store._noted.get() == ()
