@@ -1,60 +1,40 @@
 """Corpus pipeline: quality rules, near-duplicate join, decontamination, source mixing, sharding.
 
 Each stage takes what its predecessor kept, written and read again, and returns the columns of ``documents``; the
-last adds the shard and slot of each row. Tables that a stage leaves for its result are deleted when the next begins. Mixing reads every document once and those of small sources up to 1.5 times, so rows may
-repeat from there on.
+last adds the shard and slot of each row. Mixing reads every document once and those of small sources up to 1.5 times,
+so rows may repeat from there on. Stages hold no state: the tables that one writes for its result lie in the shared
+folder, and ``run`` deletes them once that result is written.
+
+Defined cases, by stage: documents without text or words fail the quality rules; null languages and sources are
+groups of their own; rows that repeat a doc_id or have none are documents of their own where copies are sought;
+an empty table or benchmark gives an empty result or leaves all; very long texts are read whole; columns beyond
+those of ``documents`` are not carried, so none can clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsefold.llm import decontaminate, jaccard, mixing, quality, sharding
-from sparsefold.llm.store import delete, drop, noted, save, table
+from sparsefold.llm.store import delete, noted, save, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_IDS = 1_000_000
 
 
-#: Stage -> folders of the tables that its result reads.
-_left: dict[str, list[str]] = {}
-
-
-def after(before: str | None) -> Callable:
-    """A stage that begins when the result of the stage ``before`` is written; what that one left goes."""
-
-    def of(stage: Callable) -> Callable:
-        @wraps(stage)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            if before:
-                delete(spark, _left.pop(before, []))
-            with noted() as made:
-                out = stage(spark, docs, sf_dir)
-            _left[stage.__name__] = made
-            return out
-
-        return run_stage
-
-    return of
-
-
-@after(None)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the fences of their language and source reject go."""
-    return quality.quality_rules(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
+    return quality.quality_rules(docs.select(*COLUMNS), carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
-@after("quality_stage")
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that with the least doc_id; documents without words are no copies.
 
     Where rows repeat a doc_id or have none, each row is a document of its own: they are numbered by doc_id, those
     without one last, then by the hash of their text, and the first of a group stays.
     """
+    docs = docs.select(*COLUMNS)
     if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
         ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
         rows = save(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -67,22 +47,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(joined, "doc_id", "left_anti").select(*COLUMNS)
 
 
-@after("near_duplicate_stage")
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item in tiles of five words or more go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*COLUMNS)
+    return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).where("not contaminated").select(*COLUMNS)
 
 
-@after("decontamination_stage")
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The draws of a mixture that repeats no source over 1.5 times and reads all at least once."""
-    return mixing.mix(docs, max_repeats=1.5).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS), max_repeats=1.5).select(*COLUMNS)
 
 
-@after("mixing_stage")
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with their shard (0 to 15) and slot."""
-    return sharding.shard(docs, shards=16)
+    return sharding.shard(docs.select(*COLUMNS), shards=16)
 
 
 STAGES = [
@@ -98,10 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written to the shared folder and read again."""
-    docs, written = table(spark, sf_dir, "documents"), None
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        if written is not None:
-            drop(written)
-        written = docs
+        with noted() as made:
+            docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        delete(spark, before + made[:-1])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
