@@ -49,3 +49,9 @@ def rank01(order: list[Column], group: list[str]) -> Column:
 def power_of_two(ratio: Column) -> Column:
     """2 to the rounded (half to even) binary logarithm; 1 where there is nothing."""
     return F.when(ratio <= 0, 1.0).otherwise(F.pow(F.lit(2.0), F.rint(F.log2(F.greatest(ratio, F.lit(1e-12))))))
+
+
+def uniform(seed: int, purpose: str, *keys) -> Column:
+    """A number in 0 .. 1 (below 1) from the first 52 bits of an MD5 digest."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *[F.col(k).cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

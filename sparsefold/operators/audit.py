@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import TINY, lgamma, nb_logpmf
-from .likelihood import psi0_of
+from ..sources.shared import saved
+from .likelihood import few, psi0_of
 from .model import Partition
 
 
@@ -49,7 +50,7 @@ def parent_scores(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataF
     base = cluster_stat.select(F.col("cluster_id").alias("target"), F.col("total").alias("n_t")).join(t.groupBy("target").agg(F.sum(F.col("x") * F.log("psi")).alias("base")), "target", "left")
     p = cluster_gene.select(F.col("cluster_id").alias("parent"), "gene_id", F.col("cnt").alias("c"))
     shared = t.join(p, "gene_id").where("target <> parent").groupBy("target", "parent").agg(F.sum(F.col("x") * (F.log(F.col("c") + F.col("psi")) - F.log("psi"))).alias("extra"))
-    pairs = base.join(F.broadcast(cluster_stat.select(F.col("cluster_id").alias("parent"), F.col("total").alias("n_p"))), F.col("target") != F.col("parent"))
+    pairs = base.join(few(cluster_stat.select(F.col("cluster_id").alias("parent"), F.col("total").alias("n_p"))), F.col("target") != F.col("parent"))
     score = F.coalesce("base", F.lit(0.0)) - F.col("n_t") * F.log(F.col("n_p") + F.lit(psi0)) + F.coalesce("extra", F.lit(0.0))
     return pairs.join(shared, ["target", "parent"], "left").select("target", "parent", score.alias("score"))
 
@@ -72,7 +73,7 @@ def pair_priors(pairs: DataFrame, cluster_stat: DataFrame, mode: str | None = "c
     if mode not in ("collision_normalized", "none", None):
         raise ValueError("pair prior mode must be collision_normalized or none")
     s = cluster_stat.select("cluster_id", "n_cells")
-    out = pairs.join(F.broadcast(s.select(F.col("cluster_id").alias("a"), F.col("n_cells").alias("n_a"))), "a").join(F.broadcast(s.select(F.col("cluster_id").alias("b"), F.col("n_cells").alias("n_b"))), "b")
+    out = pairs.join(few(s.select(F.col("cluster_id").alias("a"), F.col("n_cells").alias("n_a"))), "a").join(few(s.select(F.col("cluster_id").alias("b"), F.col("n_cells").alias("n_b"))), "b")
     out = out.join(F.broadcast(s.agg(F.sum("n_cells").alias("n_total"))), F.lit(True))
     total = F.greatest(F.col("n_total").cast("double"), F.lit(1.0))
     fa, fb = F.col("n_a") / total, F.col("n_b") / total
@@ -101,7 +102,7 @@ def size_priors(cluster_stat: DataFrame, least_phi: float = 0.5, most_phi: float
 def abundance(pairs: DataFrame, cluster_stat: DataFrame, rate: float = 0.05, phi: float = 2.0) -> DataFrame:
     """pairs (from :func:`pair_priors`) with abundance = NB(size; expected doublets) - NB(size; simplet sizes)."""
     size = cluster_stat.select(F.col("cluster_id").alias("target"), F.col("n_cells").alias("n_target"))
-    out = pairs.join(F.broadcast(size), "target").join(F.broadcast(size_priors(cluster_stat)), "target")
+    out = pairs.join(few(size), "target").join(few(size_priors(cluster_stat)), "target")
     expected = F.col("n_total") * F.lit(rate) * F.col("collision")
     return out.withColumn("abundance", nb_logpmf(F.col("n_target"), expected, F.lit(phi)) - nb_logpmf(F.col("n_target"), F.col("mean"), F.col("phi"))).drop("mean", "phi")
 
@@ -110,7 +111,7 @@ def _profiles(chosen: DataFrame, cluster_gene: DataFrame, cluster_stat: DataFram
     """(target, parent, q): the parent's probabilities of the target's genes, in the order of gene_id."""
     t = cluster_gene.select(F.col("cluster_id").alias("target"), "gene_id", F.col("cnt").alias("x"))
     p = cluster_gene.select(F.col("cluster_id").alias("parent"), "gene_id", F.col("cnt").alias("c"))
-    met = chosen.join(t, "target").join(p, ["parent", "gene_id"], "left").join(prior, "gene_id").join(F.broadcast(cluster_stat.select(F.col("cluster_id").alias("parent"), "total")), "parent")
+    met = chosen.join(t, "target").join(p, ["parent", "gene_id"], "left").join(prior, "gene_id").join(few(cluster_stat.select(F.col("cluster_id").alias("parent"), "total")), "parent")
     q = (F.coalesce("c", F.lit(0)) + F.col("psi")) / (F.col("total") + F.lit(psi0))
     return met.groupBy("target", "parent").agg(F.array_sort(F.collect_list(F.struct("gene_id", F.col("x").cast("double").alias("x"), q.alias("q")))).alias("items"))
 
@@ -146,17 +147,19 @@ def mixtures(pairs: DataFrame, chosen: DataFrame, cluster_gene: DataFrame, clust
 
 
 def cell_lambdas(state: Partition, best: DataFrame, cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFrame, psi0: float, grid_size: int = 101) -> DataFrame:
-    """best (target, a, b) -> (target, cell_id, lambda): the likeliest weight of each cell with counts; the first of equals."""
+    """best (target, a, b) -> (target, cell_id, lambda): the likeliest weight of each cell, the first of equals; NaN for a cell without counts."""
     grid = [i / (grid_size - 1) for i in range(grid_size)]
     q = lambda x: cluster_gene.select(F.col("cluster_id").alias(x), "gene_id", F.col("cnt").alias(f"c{x}"))
-    n = lambda x: F.broadcast(cluster_stat.select(F.col("cluster_id").alias(x), F.col("total").alias(f"n{x}")))
+    n = lambda x: few(cluster_stat.select(F.col("cluster_id").alias(x), F.col("total").alias(f"n{x}")))
     met = state.counts.join(state.assign.withColumnRenamed("cluster_id", "target"), "cell_id").join(best.select("target", "a", "b"), "target").join(prior, "gene_id")
     met = met.join(q("a"), ["a", "gene_id"], "left").join(q("b"), ["b", "gene_id"], "left").join(n("a"), "a").join(n("b"), "b")
     p = lambda x: (F.coalesce(f"c{x}", F.lit(0)) + F.col("psi")) / (F.col(f"n{x}") + F.lit(psi0))
     items = met.groupBy("target", "cell_id").agg(F.collect_list(F.struct(F.col("cnt").cast("double").alias("x"), p("a").alias("a"), p("b").alias("b"))).alias("items"))
     terms = F.transform(F.array(*[F.lit(l) for l in grid]), lambda l: F.aggregate("items", F.lit(0.0), lambda s, i: s + i["x"] * F.log(F.greatest(l * i["a"] + (1 - l) * i["b"], F.lit(TINY)))))
     items = items.withColumn("terms", terms)
-    return items.select("target", "cell_id", ((F.array_position("terms", F.array_max("terms")) - 1) / (grid_size - 1)).alias("lambda"))
+    found = items.select("target", "cell_id", ((F.array_position("terms", F.array_max("terms")) - 1) / (grid_size - 1)).alias("lambda"))
+    every = state.assign.select("cell_id", F.col("cluster_id").alias("target")).join(best.select("target"), "target", "left_semi")
+    return every.join(found, ["target", "cell_id"], "left").select("target", "cell_id", F.coalesce("lambda", F.lit(float("nan"))).alias("lambda"))
 
 
 def audit(state: Partition, prior: DataFrame, rate: float = 0.05, top_m: int = TOP_M, grid_size: int = 101, beta=(2.0, 2.0), abundance_weight: float = 1.0, log_prior_odds: float = 0.0, phi: float = 2.0, pair_prior_mode: str | None = "collision_normalized", provided: DataFrame | None = None, homotypic: bool = False, cell_diagnostics: bool = False, thresholds: Thresholds = Thresholds()) -> DataFrame:
@@ -164,13 +167,14 @@ def audit(state: Partition, prior: DataFrame, rate: float = 0.05, top_m: int = T
     if not 0.0 < rate < 1.0:
         raise ValueError("the doublet rate must be between 0 and 1")
     th, psi0 = thresholds, psi0_of(prior)
-    cg, stat = state.cluster_gene.persist(), state.cluster_stat.persist()
-    scores = parent_scores(cg, stat, prior, psi0)
-    chosen = candidates(scores, top_m, provided)
+    # each step is a table of its own: several later steps read it, and plans stay small
+    cg, stat = saved(state.cluster_gene), saved(state.cluster_stat)
+    scores = saved(parent_scores(cg, stat, prior, psi0))
+    chosen = saved(candidates(scores, top_m, provided))
     pairs = abundance(pair_priors(parent_pairs(chosen, homotypic), stat, pair_prior_mode), stat, rate, phi)
-    pairs = mixtures(pairs.select("target", "a", "b", "pair_prior", "abundance"), chosen, cg, stat, prior, psi0, grid_size, beta)
-    loo = self_loo(state, cg, stat, prior, psi0).withColumnRenamed("cluster_id", "target")
-    pairs = pairs.join(F.broadcast(loo), "target")
+    pairs = mixtures(saved(pairs.select("target", "a", "b", "pair_prior", "abundance")), chosen, cg, stat, prior, psi0, grid_size, beta)
+    loo = saved(self_loo(state, cg, stat, prior, psi0).withColumnRenamed("cluster_id", "target"))
+    pairs = pairs.join(few(loo), "target")
     total = F.col("l_mix") - F.col("l_self") + F.lit(abundance_weight) * F.col("abundance") + F.lit(log_prior_odds) + F.col("pair_prior")
     w = Window.partitionBy("target")
     best = pairs.withColumn("total_log_odds", total).withColumn("n_pairs_tested", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("total_log_odds"), "a", "b"))).where("r = 1").drop("l_self", "posterior", "r")
@@ -194,7 +198,7 @@ def audit(state: Partition, prior: DataFrame, rate: float = 0.05, top_m: int = T
     possible = above("expr_gain_vs_best_parent", th.parent_gain) & above("expr_logBF_doublet_vs_self", th.possible_expr) & inside
     likely = possible & above("total_log_odds_minus_search_penalty", th.total) & above("parent_gain_per_UMI", th.parent_gain_per_umi) & (F.col("confidence_flag") == "ok")
     if cell_diagnostics:
-        lam = cell_lambdas(state, best, cg, stat, prior, psi0, grid_size).groupBy(F.col("target").alias("cluster_id")).agg(
+        lam = cell_lambdas(state, saved(best.select("target", "a", "b")), cg, stat, prior, psi0, grid_size).where(~F.isnan("lambda")).groupBy(F.col("target").alias("cluster_id")).agg(
             F.percentile("lambda", F.lit(0.5)).alias("lambda_cell_median"), (F.percentile("lambda", F.lit(0.75)) - F.percentile("lambda", F.lit(0.25))).alias("lambda_cell_IQR"),
             F.avg(((F.col("lambda") <= th.edge) | (F.col("lambda") >= 1.0 - th.edge)).cast("double")).alias("frac_cells_lambda_extreme"))
         out = out.join(lam, "cluster_id", "left")

@@ -16,6 +16,15 @@ def psi0_of(prior: DataFrame) -> float:
     return float(prior.agg(F.sum("psi")).first()[0])
 
 
+#: Rows of a table per cluster that may be broadcast.
+BROADCAST_CLUSTERS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, with a hint to broadcast it if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_CLUSTERS + 1).count() <= BROADCAST_CLUSTERS else df
+
+
 def _head(total, psi0: float):
     """ln Gamma(psi0) - ln Gamma(total + psi0), exactly 0 for a total of 0."""
     z = F.lit(float(psi0))
@@ -39,10 +48,15 @@ def cell_ll(counts: DataFrame, totals: DataFrame, prior: DataFrame, psi0: float)
 
 def partition_ll(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFrame, psi0: float, scales: list[float] = (1.0,)) -> DataFrame:
     """(scale, ll): the whole likelihood with the prior times each scale, in one pass over the counts."""
-    body = cluster_gene.join(prior, "gene_id").agg(*[F.coalesce(F.sum(gain(F.col("cnt"), F.col("psi") * s)), F.lit(0.0)).alias(f"b{i}") for i, s in enumerate(scales)])
-    head = cluster_stat.agg(*[F.coalesce(F.sum(_head(F.col("total"), psi0 * s)), F.lit(0.0)).alias(f"h{i}") for i, s in enumerate(scales)])
-    rows = F.array(*[F.struct(F.lit(float(s)).alias("scale"), (F.col(f"b{i}") + F.col(f"h{i}")).alias("ll")) for i, s in enumerate(scales)])
-    return body.join(head, F.lit(True)).select(F.inline(rows))
+    grid = F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale")
+    scale = F.col("scale")
+    body = cluster_gene.join(prior, "gene_id").select("cnt", "psi", grid).groupBy("scale").agg(F.sum(gain(F.col("cnt"), F.col("psi") * scale)).alias("body"))
+    z = F.lit(float(psi0)) * scale
+    head = F.when(F.col("total") == 0, 0.0).otherwise(lgamma(z) - lgamma(F.col("total") + z))
+    head = cluster_stat.select("total", grid).groupBy("scale").agg(F.sum(head).alias("head"))
+    every = cluster_stat.sparkSession.range(1).select(grid)
+    got = every.join(body, "scale", "left").join(head, "scale", "left")
+    return got.select("scale", (F.coalesce("body", F.lit(0.0)) + F.coalesce("head", F.lit(0.0))).alias("ll"))
 
 
 def merge_deltas(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFrame, psi0: float, pairs: DataFrame | None = None) -> DataFrame:
@@ -107,7 +121,7 @@ def move_deltas(blocks: DataFrame, sources: DataFrame, cluster_gene: DataFrame,
     """(block_id, source, target, delta) for ``targets`` (block_id, target), or for every other cluster."""
     removed = remove_deltas(blocks, sources, cluster_gene, cluster_stat, prior, psi0)
     if targets is None:
-        pairs = sources.join(F.broadcast(cluster_stat.select(F.col("cluster_id").alias("target"))), F.col("source") != F.col("target"))
+        pairs = sources.join(few(cluster_stat.select(F.col("cluster_id").alias("target"))), F.col("source") != F.col("target"))
     else:
         pairs = targets.join(sources, "block_id").where("source <> target")
     added = add_deltas(blocks, pairs.select("block_id", "target", "n"), cluster_gene, cluster_stat, prior, psi0)

@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import uniform
+from ..sources.shared import saved
+
 
 def normalise_counts(rows: DataFrame) -> DataFrame:
     """Repeated (cell, gene) rows summed, zeros dropped, whole numbers as LONG; negative or fractional counts raise."""
@@ -31,6 +34,21 @@ def gene_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("gene_id").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("df"))
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the distinct values of a column numbered from 0 in their order.
+
+    They are sorted by ranges and written; a number is the place in its range plus what the ranges before it hold, so
+    no task sees more than its range.
+    """
+    ids = df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    ids = saved(ids.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    ids = ids.select(column, part.alias("_part"), place.alias("_place"))
+    held = ids.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row per range
+    before = held.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ids.join(F.broadcast(before), "_part").select(column, (F.col("_before") + F.col("_place")).alias(name))
+
+
 @dataclass(frozen=True)
 class Partition:
     """A hard partition: immutable, so a change makes a new one and bumps ``version``."""
@@ -63,27 +81,33 @@ class Partition:
         moved = self.assign.join(named, key, "left").select("cell_id", F.coalesce("_target", "cluster_id").alias("cluster_id"))
         return Partition(self.counts, moved, self.version + 1)
 
-    def merge(self, pairs: DataFrame) -> Partition:
-        """pairs (cluster_a, cluster_b), disjoint: b is absorbed into a."""
+    def merge(self, pairs: DataFrame, check: bool = True) -> Partition:
+        """pairs (cluster_a, cluster_b), disjoint: b is absorbed into a; equal or unknown clusters raise."""
+        ids = self.assign.select(F.col("cluster_id").alias("_id")).distinct()
+        each = pairs.select(F.col("cluster_a").alias("_id")).unionByName(pairs.select(F.col("cluster_b").alias("_id")))
+        if check and (pairs.where("cluster_a = cluster_b").limit(1).count() or each.join(ids, "_id", "left_anti").limit(1).count()):
+            raise ValueError("clusters to merge must be two that exist")
         return self._with(pairs.select(F.col("cluster_b").alias("cluster_id"), F.col("cluster_a").alias("target")), "cluster_id")
 
     def move(self, moves: DataFrame) -> Partition:
         """moves (cell_id, target): single cells or all cells of blocks; emptied clusters vanish."""
         return self._with(moves, "cell_id")
 
-    def peel(self, blocks: DataFrame) -> Partition:
-        """blocks (block_id, cell_id): each becomes a new cluster with an id above all others."""
+    def peel(self, blocks: DataFrame, check: bool = True) -> Partition:
+        """blocks (block_id, cell_id): each becomes a new cluster with an id above all others; a block that is its whole cluster raises."""
+        of = blocks.join(self.assign, "cell_id").groupBy("cluster_id").agg(F.count_distinct("block_id").alias("b"), F.count(F.lit(1)).alias("k"))
+        if check and of.where("b = 1").join(self.assign.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id").where("k = n").limit(1).count():
+            raise ValueError("a block must leave a cell in its cluster")
         top = self.assign.agg(F.max("cluster_id")).first()[0] or 0
-        numbered = blocks.withColumn("target", F.dense_rank().over(Window.orderBy("block_id")) + F.lit(top))
-        return self._with(numbered.select("cell_id", "target"), "cell_id")
+        ids = numbered(blocks, "block_id", "target").withColumn("target", F.col("target") + F.lit(top + 1))
+        return self._with(blocks.join(ids, "block_id").select("cell_id", "target"), "cell_id")
 
     def drop_cluster(self, cluster_id) -> Partition:
         return Partition(self.counts, self.assign.where(F.col("cluster_id") != F.lit(cluster_id)), self.version + 1)
 
     def relabelled(self) -> Partition:
         """Clusters numbered from 0 in the order of their ids."""
-        ids = self.assign.select("cluster_id").distinct()
-        ids = ids.withColumn("target", (F.dense_rank().over(Window.orderBy("cluster_id")) - 1).cast("long"))
+        ids = numbered(self.assign, "cluster_id", "target")
         joined = self.assign.join(ids, "cluster_id").select("cell_id", F.col("target").alias("cluster_id"))
         return Partition(self.counts, joined, self.version + 1)
 
@@ -97,6 +121,26 @@ class Partition:
         return both("gene", self.cluster_gene, cluster_gene, ["cluster_id", "gene_id", "cnt"]).unionByName(both("stat", self.cluster_stat, cluster_stat, ["cluster_id", "n_cells", "total"]))
 
 
+def urn_weights(n: int, seed: int) -> list[float]:
+    """Weights of clusters in the limit of an urn that adds to each in proportion to its size: exponential draws."""
+    return [-math.log((int.from_bytes(hashlib.sha256(f"{seed}|{k}".encode()).digest()[:6], "big") + 0.5) / (1 << 48)) for k in range(n)]
+
+
+def _alias(weights: list[float]) -> tuple[list[float], list[int]]:
+    """For a draw in constant time: each of n equal slots keeps its own number up to a share, and gives another beyond it."""
+    n, total = len(weights), sum(weights)
+    scaled = [w * n / total for w in weights]
+    keep, other = [1.0] * n, list(range(n))
+    low, high = [i for i, s in enumerate(scaled) if s < 1], [i for i, s in enumerate(scaled) if s >= 1]
+    while low and high:
+        i, j = low.pop(), high[-1]
+        keep[i], other[i] = scaled[i], j
+        scaled[j] -= 1 - scaled[i]
+        if scaled[j] < 1:
+            low.append(high.pop())
+    return keep, other
+
+
 def initial(counts: DataFrame, cells: DataFrame, init: str = "singletons", n_clusters: int = 1, seed: int = 0) -> Partition:
     """``singletons``, ``one_cluster``, ``random``, or ``random_online``: seeds, then cells in batches that double, in proportion to size + 1/2."""
     cells = cells.select("cell_id")
@@ -104,20 +148,16 @@ def initial(counts: DataFrame, cells: DataFrame, init: str = "singletons", n_clu
         return Partition(counts, cells.withColumn("cluster_id", F.col("cell_id"))).relabelled()
     if init == "one_cluster":
         return Partition(counts, cells.withColumn("cluster_id", F.lit(0).cast("long")))
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "cell_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = lambda k: uniform(seed, f"init{k}", "cell_id")
     if init == "random":
         return Partition(counts, cells.withColumn("cluster_id", F.floor(u(1) * n_clusters).cast("long")))
     if init == "random_online":
-        # an urn's limit: weights of clusters are gamma draws; cells choose by them, and n_clusters seeds keep each alive
-        weights = [(k, -math.log((int.from_bytes(hashlib.sha256(f"{seed}|{k}".encode()).digest()[:6], "big") + 0.5) / (1 << 48))) for k in range(n_clusters)]
-        total = sum(w for _, w in weights)
-        upto, choice = 0.0, F.lit(n_clusters - 1)
-        bounds = []
-        for k, w in weights:
-            upto += w / total
-            bounds.append((k, upto))
-        for k, b in reversed(bounds):
-            choice = F.when(u(2) < b, F.lit(k)).otherwise(choice)
+        # cells choose by the weights of the urn's limit, and n_clusters seeds keep each cluster alive
+        keep, other = _alias(urn_weights(n_clusters, seed))
+        at = u(2) * n_clusters
+        slot = (F.floor(at) + 1).cast("int")
+        keep, other = (F.element_at(F.array(*map(F.lit, x)), slot) for x in (keep, other))
+        choice = F.when(at - F.floor(at) < keep, slot - 1).otherwise(other)
         seeds = cells.orderBy(u(3), "cell_id").limit(n_clusters)
         seeds = seeds.withColumn("s", F.row_number().over(Window.orderBy(u(3), "cell_id")) - 1)
         return Partition(counts, cells.join(seeds, "cell_id", "left").select("cell_id", F.coalesce("s", choice).cast("long").alias("cluster_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import power_of_two
+from ..sources.shared import saved
 from .likelihood import partition_ll
 from .model import Partition
 
@@ -53,20 +54,19 @@ def auto_tau(counts: DataFrame, cells: DataFrame) -> DataFrame:
     return both.select("n_umis", "n_cells", F.when((F.col("n_umis") <= 0) | (F.col("n_cells") <= 0), 1.0).otherwise(power_of_two(F.col("n_umis") / F.col("n_cells"))).alias("tau"))
 
 
-def optimise_tau(state: Partition, prior: DataFrame, tau: float, factor: float = 1000.0, steps: int = 5, width: int = 9) -> tuple[float, float]:
-    """Maximise the likelihood over log tau within a factor of ``tau``: a grid per job, narrowed around its best."""
-    cluster_gene, stat = state.cluster_gene.persist(), state.cluster_stat.persist()
+def optimise_tau(state: Partition, prior: DataFrame, tau: float, factor: float = 1000.0, steps: int = 9, width: int = 17) -> tuple[float, float]:
+    """Maximise the likelihood over log tau within a factor of ``tau``: a grid per job, narrowed around its best by 8 each time, to 1e-7 of log tau."""
+    invalid = invalid_prior(prior).limit(1).count()
+    if invalid:
+        raise ValueError("the prior must be positive and finite")
+    cluster_gene, stat = saved(state.cluster_gene), saved(state.cluster_stat)
     lo, hi = math.log(tau / factor), math.log(tau * factor)
     best = (tau, -math.inf)
-    try:
-        for _ in range(steps):
-            grid = [lo + (hi - lo) * i / (width - 1) for i in range(width)]
-            rows = partition_ll(cluster_gene, stat, prior, tau, [math.exp(g) / tau for g in grid]).collect()
-            rows.sort(key=lambda r: r["scale"])
-            i = max(range(width), key=lambda j: rows[j]["ll"])
-            best = max(best, (math.exp(grid[i]), rows[i]["ll"]), key=lambda x: x[1])
-            lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, width - 1)]
-    finally:
-        cluster_gene.unpersist()
-        stat.unpersist()
+    for _ in range(steps):
+        grid = [lo + (hi - lo) * i / (width - 1) for i in range(width)]
+        rows = partition_ll(cluster_gene, stat, prior, tau, [math.exp(g) / tau for g in grid]).collect()
+        rows.sort(key=lambda r: r["scale"])
+        i = max(range(width), key=lambda j: rows[j]["ll"])
+        best = max(best, (math.exp(grid[i]), rows[i]["ll"]), key=lambda x: x[1])
+        lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, width - 1)]
     return best

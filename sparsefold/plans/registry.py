@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators import likelihood as L
 from ..operators import metrics, prior, ranking, selection
-from ..operators.model import Partition, cell_totals, gene_totals, initial
+from ..operators import proposals as R
+from ..operators.model import Partition, _alias, cell_totals, gene_totals, initial, urn_weights
 from ..functions.special import rank01
 from ..sources import tables
+from ..sources.shared import saved
 
 TAU = 64.0
 QUERIES: dict = {}
@@ -48,14 +50,19 @@ sll AS (SELECT c.cell_id, c.cluster_id, c.total, lgamma(psi0) - lgamma(c.total +
 idf AS (SELECT gene_id, count(*) AS df, ln(((SELECT count(*) FROM (SELECT DISTINCT cluster_id FROM cg)) + 1) / (count(*) + 1)) AS idf FROM cg GROUP BY 1)"""
 
 
+def _written(state: Partition) -> Partition:
+    """Counts and labels as tables, so that the texts they come from are read once."""
+    return Partition(saved(state.counts), saved(state.assign))
+
+
 class _Given:
-    """The tables that scorers share, derived once per query."""
+    """The tables that scorers share, written once per query."""
 
     def __init__(self, state: Partition, tau: float = TAU):
-        self.state = state
-        self.prior = prior.make_prior(state.counts, state.counts.select("gene_id").distinct(), tau).persist()
+        self.state = state = _written(state)
+        self.prior = saved(prior.make_prior(state.counts, state.counts.select("gene_id").distinct(), tau))
         self.psi0 = L.psi0_of(self.prior)
-        self.cg, self.cs = state.cluster_gene, state.cluster_stat
+        self.cg, self.cs = saved(state.cluster_gene), saved(state.cluster_stat)
         self.totals = cell_totals(state.counts, state.assign)
 
     @property
@@ -241,7 +248,7 @@ sig AS (SELECT * FROM (SELECT cluster_id, gene_id, cnt, CASE WHEN best > 0 THEN
 
 @_query(_with(SIG_SQL, "SELECT cluster_id, gene_id, CAST(cnt AS BIGINT) AS cnt, round(weight, 6) AS weight, rank FROM sig", "documents"), None)
 def cluster_signatures(spark, sf_dir):
-    return ranking.signatures(tables.document_words(spark, sf_dir).cluster_gene).withColumn("weight", _r("weight", 6))
+    return ranking.signatures(_written(tables.document_words(spark, sf_dir)).cluster_gene).withColumn("weight", _r("weight", 6))
 
 
 NEIGHBOUR_SQL = SIG_SQL + """,
@@ -252,13 +259,13 @@ nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
 
 @_query(_with(NEIGHBOUR_SQL, "SELECT source, target, round(score, 5) AS score, rank, round(score / sum(score) OVER (PARTITION BY source), 6) AS share FROM nb", "documents"), None)
 def merge_neighbors(spark, sf_dir):
-    got = ranking.merge_neighbours(tables.document_words(spark, sf_dir).cluster_gene)
+    got = ranking.merge_neighbours(_written(tables.document_words(spark, sf_dir)).cluster_gene)
     return got.select("source", "target", _r("score", 5).alias("score"), "rank", _r("share", 6).alias("share"))
 
 
 @_query(_with(NEIGHBOUR_SQL, "SELECT least(source, target) AS cluster_a, greatest(source, target) AS cluster_b, round(sum(score), 5) AS score FROM nb GROUP BY 1, 2", "documents"), None)
 def merge_pair_scores(spark, sf_dir):
-    return ranking.merge_pairs(ranking.merge_neighbours(tables.document_words(spark, sf_dir).cluster_gene)).withColumn("score", _r("score", 5))
+    return ranking.merge_pairs(ranking.merge_neighbours(_written(tables.document_words(spark, sf_dir)).cluster_gene)).withColumn("score", _r("score", 5))
 
 
 @_query(_with("""
@@ -266,7 +273,7 @@ def merge_pair_scores(spark, sf_dir):
 sc AS (SELECT x.cell_id, a.cluster_id AS source, p.cluster_id AS target, sum(least(x.cnt, p.cnt) * greatest(idf, 0)) AS score FROM counts x JOIN assign a USING (cell_id) JOIN post p ON p.gene_id = x.gene_id JOIN idf i ON i.gene_id = x.gene_id GROUP BY 1, 2, 3)""",
 "SELECT cell_id, source, target, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(score, 7) DESC, target) AS rank FROM sc WHERE score > 0 AND source <> target) WHERE rank <= 8", "documents"), None)
 def rank_targets(spark, sf_dir):
-    s = tables.document_words(spark, sf_dir)
+    s = _written(tables.document_words(spark, sf_dir))
     blocks, sources = L.cells_as_blocks(s.counts, cell_totals(s.counts, s.assign), s.assign)
     got = ranking.rank_targets(blocks, sources, s.cluster_gene)
     return got.select(F.col("block_id").alias("cell_id"), "source", "target", _r("score", 5).alias("score"), "rank")
@@ -274,7 +281,7 @@ def rank_targets(spark, sf_dir):
 
 @_query("""SELECT x.cell_id, round(sum(x.cnt * ln((g.cnt + 1) / (s.total + c.nnz))), 4) AS fit FROM counts x JOIN cells c USING (cell_id) JOIN cg g ON g.cluster_id = c.cluster_id AND g.gene_id = x.gene_id JOIN cs s ON s.cluster_id = c.cluster_id GROUP BY 1""", "documents")
 def cell_fit_score(spark, sf_dir):
-    s = tables.document_words(spark, sf_dir)
+    s = _written(tables.document_words(spark, sf_dir))
     return ranking.fit_scores(s.counts, s.assign, s.cluster_gene, s.cluster_stat).withColumn("fit", _r("fit"))
 
 
@@ -287,7 +294,7 @@ def rank01_of_totals(spark, sf_dir):
 
 @_query("""SELECT s.cell_id AS seed_id, x.cell_id, round(sum(least(x.cnt, s.cnt) * greatest(idf, 0)), 5) AS overlap FROM counts s JOIN counts x USING (gene_id) JOIN idf USING (gene_id) WHERE s.cell_id % 100 = 0 GROUP BY 1, 2""", "documents")
 def rare_overlap(spark, sf_dir):
-    s = tables.document_words(spark, sf_dir)
+    s = _written(tables.document_words(spark, sf_dir))
     seeds = s.counts.where("cell_id % 100 = 0").select(F.col("cell_id").alias("seed_id"), "gene_id", "cnt")
     return ranking.rare_overlap(seeds, s.counts, ranking.idf(s.cluster_gene, "cluster_id")).withColumn("overlap", _r("overlap", 5))
 
@@ -300,7 +307,7 @@ k1 AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src OR
 bo AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM k1 UNION ALL SELECT dst, src, w FROM k1) GROUP BY 1, 2)""",
 "SELECT src, dst, round(w, 5) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 7) DESC, dst) AS r FROM bo) WHERE r <= 15", "documents"), None)
 def overlap_graph_edges(spark, sf_dir):
-    return ranking.overlap_graph(tables.document_words(spark, sf_dir).counts).withColumn("w", _r("w", 5))
+    return ranking.overlap_graph(_written(tables.document_words(spark, sf_dir)).counts).withColumn("w", _r("w", 5))
 
 
 def _labels(spark, sf_dir):
@@ -328,11 +335,13 @@ def relabel_consecutive(spark, sf_dir):
     return Partition(s.counts, s.assign.select("cell_id", (F.col("cluster_id") * 7 + 3).alias("cluster_id"))).relabelled().assign
 
 
-@_query("SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS row FROM documents WHERE false", None)
+@_query("""SELECT 'gene' AS kind, '{"cluster_id":' || cluster_id || ',"gene_id":"' || gene_id || '","cnt":' || unnest([CAST(cnt AS BIGINT), CAST(cnt AS BIGINT) + 1]) || '}' AS row FROM cg WHERE gene_id LIKE 'a%'
+UNION ALL SELECT 'stat', '{"cluster_id":' || cluster_id || ',"n_cells":' || n_cells || ',"total":' || CAST(total AS BIGINT) || '}' FROM cs WHERE cluster_id % 5 = 0""", "documents")
 def state_validate(spark, sf_dir):
-    s = tables.document_words(spark, sf_dir)
-    moved = s.merge(s.assign.sparkSession.createDataFrame([(0, 1)], "cluster_a long, cluster_b long"))
-    return moved.violations(moved.cluster_gene, moved.cluster_stat)
+    """Kept aggregates with wrong counts of some genes and without some clusters: every row in which they differ from the right ones."""
+    s = _written(tables.document_words(spark, sf_dir))
+    cg, cs = saved(s.cluster_gene), saved(s.cluster_stat)
+    return s.violations(cg.withColumn("cnt", F.col("cnt") + F.col("gene_id").startswith("a").cast("long")), cs.where("cluster_id % 5 <> 0"))
 
 
 @_query("SELECT cell_id, CASE WHEN cluster_id % 2 = 1 AND cluster_id - 1 IN (SELECT cluster_id FROM assign) THEN cluster_id - 1 ELSE cluster_id END AS cluster_id FROM assign", "documents")
@@ -348,14 +357,215 @@ def majority_reference(spark, sf_dir):
     return metrics.majority(*_labels(spark, sf_dir)).withColumn("purity", _r("purity", 8))
 
 
-@_query(None)
+@_query(_with("""
+, mg AS (SELECT a.cluster_id AS a, b.cluster_id AS b, round(lgamma(psi0) - lgamma(a.total + b.total + psi0) + (SELECT sum(lgamma(c + psi) - lgamma(psi)) FROM (SELECT gene_id, sum(cnt) AS c FROM cg WHERE cluster_id IN (a.cluster_id, b.cluster_id) GROUP BY 1) JOIN prior USING (gene_id)) - a.ll - b.ll, 4) AS delta FROM cll a JOIN cll b ON a.cluster_id < b.cluster_id, z),
+od AS (SELECT *, row_number() OVER (ORDER BY delta DESC, a || '-' || b) AS r FROM mg WHERE delta > 0)""",
+"""SELECT id, cluster_a, cluster_b, delta FROM (WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS delta, false AS ok
+UNION ALL SELECT od.r, CASE WHEN list_has_any(used, [od.a, od.b]) THEN used ELSE list_concat(used, [od.a, od.b]) END, od.a, od.b, od.delta, NOT list_has_any(used, [od.a, od.b]) FROM g JOIN od ON od.r = g.r + 1)
+SELECT a || '-' || b AS id, a AS cluster_a, b AS cluster_b, delta FROM g WHERE ok)""", "events"), None)
 def nonconflicting_moves(spark, sf_dir):
-    """Merges of groups of users by gain, accepted greedily; tests hold it against the sequential choice."""
+    """Merges of groups of users by gain, accepted greedily from the best down."""
     g = _Given(tables.user_events(spark, sf_dir))
-    scored = L.merge_deltas(*g.model).select(F.concat_ws("-", "cluster_a", "cluster_b").alias("id"), "delta", F.array("cluster_a", "cluster_b").alias("touch"))
-    from .search import saved
+    scored = L.merge_deltas(*g.model).select(F.concat_ws("-", "cluster_a", "cluster_b").alias("id"), _r("delta").alias("delta"), F.array("cluster_a", "cluster_b").alias("touch"))
+    got = selection.nonconflicting(saved(scored), saved)
+    return got.select("id", F.col("touch")[0].alias("cluster_a"), F.col("touch")[1].alias("cluster_b"), "delta")
+
+
+@_query("SELECT cluster_id FROM cs WHERE n_cells > 1", "documents")
+def non_singleton_clusters(spark, sf_dir):
+    return tables.document_words(spark, sf_dir).non_singletons()
+
+
+@_query("SELECT cell_id, gene_id, cnt FROM counts WHERE cell_id % 10 = 0", "documents")
+def cell_count_rows(spark, sf_dir):
+    s = tables.document_words(spark, sf_dir)
+    return s.cell_counts(s.assign.where("cell_id % 10 = 0"))
+
+
+@_query("SELECT cell_id, cluster_id FROM assign WHERE cluster_id <> 0", "documents")
+def dropped_cluster(spark, sf_dir):
+    return tables.document_words(spark, sf_dir).drop_cluster(0).assign
+
+
+@_query("SELECT cell_id, CASE WHEN cell_id % 5 = 0 THEN (cluster_id + 3) % 12 ELSE cluster_id END AS cluster_id FROM assign", "events")
+def moved_cells(spark, sf_dir):
+    s = tables.user_events(spark, sf_dir)
+    return s.move(s.assign.where("cell_id % 5 = 0").select("cell_id", ((F.col("cluster_id") + 3) % 12).alias("target"))).assign
+
+
+@_query("""SELECT cell_id, CASE WHEN even AND k < n THEN (SELECT max(cluster_id) FROM assign) + r ELSE cluster_id END AS cluster_id FROM (SELECT *, dense_rank() OVER (ORDER BY CASE WHEN even AND k < n THEN cluster_id END NULLS LAST) AS r FROM
+(SELECT *, cell_id % 2 = 0 AS even, count(*) FILTER (cell_id % 2 = 0) OVER (PARTITION BY cluster_id) AS k, count(*) OVER (PARTITION BY cluster_id) AS n FROM assign))""")
+def peeled_blocks(spark, sf_dir):
+    """The even suppliers of each nation as a cluster of their own, where they are not all of it."""
+    s = _written(tables.supplier_brands(spark, sf_dir))
+    size = s.assign.groupBy("cluster_id").agg(F.count_if(F.col("cell_id") % 2 == 0).alias("k"), F.count(F.lit(1)).alias("n")).where("k < n")
+    blocks = s.assign.where("cell_id % 2 = 0").join(size, "cluster_id", "left_semi").select(F.col("cluster_id").alias("block_id"), "cell_id")
+    return s.peel(blocks).assign
+
+
+MERGE_SQL = """,
+mg AS (SELECT a.cluster_id AS a, b.cluster_id AS b, lgamma(psi0) - lgamma(a.total + b.total + psi0) + (SELECT sum(lgamma(c + psi) - lgamma(psi)) FROM (SELECT gene_id, sum(cnt) AS c FROM cg WHERE cluster_id IN (a.cluster_id, b.cluster_id) GROUP BY 1) JOIN prior USING (gene_id)) - a.ll - b.ll AS delta FROM cll a JOIN cll b ON a.cluster_id < b.cluster_id, z)"""
+
+
+@_query(_with(MERGE_SQL, "SELECT kind, count(*) AS proposed, count(*) FILTER (delta > 0) AS positive, round(sum(delta) FILTER (delta > 0), 3) AS gain_sum, round(max(delta) FILTER (delta > 0), 3) AS gain_max, count(*) FILTER (delta > 0 AND b = a + 1) AS accepted FROM (SELECT a, b, round(delta, 4) AS delta, 'merge' || a % 3 AS kind FROM mg) GROUP BY kind"), None)
+def move_families(spark, sf_dir):
+    """Merges by a kind of their own: proposed, positive and accepted, with sum and largest of the gains."""
+    scored = L.merge_deltas(*_supplier(spark, sf_dir).model).withColumn("delta", _r("delta")).withColumn("kind", F.concat(F.lit("merge"), F.col("cluster_a") % 3))
+    got = selection.families(saved(scored), scored.where("delta > 0 and cluster_b = cluster_a + 1"))
+    return got.select("kind", "proposed", "positive", _r("gain_sum", 3).alias("gain_sum"), _r("gain_max", 3).alias("gain_max"), "accepted")
+
+
+@_query("""SELECT c AS cluster_id, count(*) AS n_moves FROM (SELECT unnest([cluster_id, (cluster_id + 1) % 12]) AS c FROM assign WHERE cell_id % 7 = 0) GROUP BY 1 HAVING count(*) > 1""", "events")
+def touched_twice(spark, sf_dir):
+    """Clusters that more than one of a set of moves touches; none for an accepted set."""
+    s = tables.user_events(spark, sf_dir)
+    moves = s.assign.where("cell_id % 7 = 0").select("cell_id", F.array("cluster_id", (F.col("cluster_id") + 1) % 12).alias("touch"))
+    return selection.conflicts(moves)
+
+
+@_query(_with(MERGE_SQL, """, ref AS (SELECT n_nationkey AS cluster_id, n_regionkey AS ref FROM nation)
+SELECT a AS cluster_a, b AS cluster_b, x.ref AS reference, round(delta, 4) AS delta FROM mg JOIN ref x ON x.cluster_id = a JOIN ref y ON y.cluster_id = b WHERE x.ref = y.ref"""), None)
+def reference_merge_scores(spark, sf_dir):
+    """Gains of merging nations whose suppliers mostly lie in one region."""
+    g = _supplier(spark, sf_dir)
+    region = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_regionkey").alias("r"))
+    labels = g.state.assign.join(region, F.col("cluster_id") == F.col("n")).select("cell_id", F.col("r").alias("cluster_id"))
+    pairs = selection.reference_pairs(metrics.majority(g.state.assign, labels))
+    return L.merge_deltas(*g.model, saved(pairs)).join(pairs, ["cluster_a", "cluster_b"]).select("cluster_a", "cluster_b", F.col("reference").cast("int").alias("reference"), _r("delta").alias("delta"))
+
+
+def _u(purpose: str, *keys: str, seed: int = 0) -> str:
+    """The seeded uniform number of the operators, in SQL."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{purpose}', {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE)"
+
+
+NUM_SQL = ", num AS (SELECT row_number() OVER (ORDER BY cluster_id) - 1 AS pos, cluster_id, count(*) OVER () AS n FROM cs)"
+
+
+@_query(_with(NUM_SQL, f"""SELECT draw, least(x.cluster_id, y.cluster_id) AS cluster_a, greatest(x.cluster_id, y.cluster_id) AS cluster_b FROM (SELECT draw, i, (i + 1 + floor({_u("b", "draw")} * (n - 1))) % n AS j FROM
+(SELECT draw, n, floor({_u("a", "draw")} * n) AS i FROM (SELECT unnest(range(500)) AS draw), (SELECT count(*) AS n FROM cs))) JOIN num x ON x.pos = i JOIN num y ON y.pos = j"""), None)
+def uniform_merge_draws(spark, sf_dir):
+    return R.uniform_merges(_supplier(spark, sf_dir).cs, 500)
+
+
+@_query(_with(NEIGHBOUR_SQL, f""", sh AS (SELECT source, target, rank, sum(score / tot) OVER (PARTITION BY source ORDER BY rank) AS upto, count(*) OVER (PARTITION BY source) AS k FROM (SELECT *, sum(score) OVER (PARTITION BY source) AS tot FROM nb)),
+so AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS pos, count(*) OVER () AS m FROM (SELECT DISTINCT source FROM nb))
+SELECT draw, source, min_by(target, rank) AS target FROM (SELECT unnest(range(500)) AS draw) JOIN so ON pos = floor({_u("source", "draw")} * m) JOIN sh USING (source) WHERE upto > {_u("target", "draw")} OR rank = k GROUP BY draw, source""", "documents"), None)
+def biased_merge_draws(spark, sf_dir):
+    return R.biased_merges(saved(ranking.merge_neighbours(_written(tables.document_words(spark, sf_dir)).cluster_gene)), 500)
 
-    return selection.nonconflicting(scored, saved)
+
+@_query(_with(NUM_SQL, f""", dr AS (SELECT cell_id, a.cluster_id AS source FROM assign a JOIN cs USING (cluster_id) WHERE n_cells > 1 ORDER BY {_u("cell", "cell_id")}, cell_id LIMIT 60)
+SELECT cell_id, source, y.cluster_id AS target FROM dr JOIN num x ON x.cluster_id = source JOIN num y ON y.pos = (x.pos + 1 + floor({_u("target", "cell_id")} * (x.n - 1))) % x.n""", "events"), None)
+def uniform_move_draws(spark, sf_dir):
+    s = _written(tables.user_events(spark, sf_dir))
+    cs = saved(s.cluster_stat)
+    return R.uniform_targets(saved(R.uniform_cells(s.assign, cs, 60)), cs)
+
+
+FIT_SQL = """,
+fs AS (SELECT x.cell_id, c.cluster_id, sum(x.cnt * ln((g.cnt + 1) / (s.total + c.nnz))) AS fit FROM counts x JOIN cells c USING (cell_id) JOIN cg g ON g.cluster_id = c.cluster_id AND g.gene_id = x.gene_id JOIN cs s ON s.cluster_id = c.cluster_id GROUP BY 1, 2),
+po AS (SELECT * FROM (SELECT cluster_id, cell_id, -fit AS poor, row_number() OVER (PARTITION BY cluster_id ORDER BY round(-fit, 7) DESC, cell_id) AS rank, count(*) OVER (PARTITION BY cluster_id) AS n FROM fs) WHERE n > 1 AND rank <= 8)"""
+
+
+def _poor(spark, sf_dir):
+    s = _written(tables.document_words(spark, sf_dir))
+    fits = saved(ranking.fit_scores(s.counts, s.assign, saved(s.cluster_gene), saved(s.cluster_stat)))
+    return s, fits, saved(R.poor_cells(fits, s.assign))
+
+
+@_query(_with(FIT_SQL, "SELECT cluster_id, cell_id, round(poor, 4) AS poor, rank FROM po", "documents"), None)
+def poor_fit_cells(spark, sf_dir):
+    return _poor(spark, sf_dir)[2].withColumn("poor", _r("poor"))
+
+
+@_query(_with(FIT_SQL, f""", pw AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS k FROM po), pu AS (SELECT *, sum(k - rank + 1) OVER (PARTITION BY cluster_id ORDER BY rank) AS upto FROM pw)
+SELECT draw, cluster_id, min_by(cell_id, rank) AS cell_id FROM (SELECT unnest(range(20)) AS draw), pu WHERE upto > {_u("poor", "draw", "cluster_id")} * (k * (k + 1) / 2) GROUP BY 1, 2""", "documents"), None)
+def poor_cell_draws(spark, sf_dir):
+    return R.poor_draws(_poor(spark, sf_dir)[2], 20)
+
+
+@_query(_with(FIT_SQL, """, sd AS (SELECT cluster_id, cell_id AS seed FROM po WHERE rank = 1),
+lk AS (SELECT x.cell_id, sum(least(x.cnt, y.cnt) * greatest(idf, 0)) AS likeness FROM counts x JOIN assign a USING (cell_id) JOIN sd USING (cluster_id) JOIN counts y ON y.cell_id = seed AND y.gene_id = x.gene_id JOIN idf i ON i.gene_id = x.gene_id GROUP BY 1),
+rk AS (SELECT f.cluster_id, f.cell_id, seed, count(*) OVER w AS n, (row_number() OVER (PARTITION BY f.cluster_id ORDER BY round(coalesce(likeness, 0), 7), f.cell_id) - 1) / greatest(count(*) OVER w - 1, 1) + (row_number() OVER (PARTITION BY f.cluster_id ORDER BY round(-fit, 7), f.cell_id) - 1) / greatest(count(*) OVER w - 1, 1) AS s
+ FROM fs f JOIN sd USING (cluster_id) LEFT JOIN lk ON lk.cell_id = f.cell_id WINDOW w AS (PARTITION BY f.cluster_id))
+SELECT cluster_id, cell_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(CASE WHEN cell_id = seed THEN 3.0 ELSE s END, 9) DESC, cell_id) AS rank FROM rk) WHERE rank <= 12 AND rank < n""", "documents"), None)
+def biased_block_payload(spark, sf_dir):
+    s, fits, poor = _poor(spark, sf_dir)
+    return R.biased_blocks(poor, s.assign, s.counts, fits, saved(ranking.idf(s.cluster_gene, "cluster_id")))
+
+
+@_query(_with(NEIGHBOUR_SQL + """,
+wg AS (SELECT cell_id, gene_id, row_number() OVER (PARTITION BY cell_id ORDER BY round(cnt * greatest(idf, 0), 7) DESC, gene_id) AS g FROM counts JOIN idf USING (gene_id)),
+cd AS (SELECT a.cell_id AS block_id, target, rank AS p FROM assign a JOIN nb ON nb.source = a.cluster_id UNION ALL SELECT w.cell_id, q.cluster_id, g * 1000 + q.r FROM wg w JOIN post q ON q.gene_id = w.gene_id AND q.r <= 8 JOIN assign a ON a.cell_id = w.cell_id AND a.cluster_id <> q.cluster_id WHERE g <= 4)""",
+"SELECT block_id, target, rank FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY p, target) AS rank FROM (SELECT block_id, target, min(p) AS p FROM cd GROUP BY 1, 2)) WHERE rank <= 32", "documents"), None)
+def payload_target_candidates(spark, sf_dir):
+    s = _written(tables.document_words(spark, sf_dir))
+    cg = saved(s.cluster_gene)
+    blocks, sources = L.cells_as_blocks(s.counts, cell_totals(s.counts, s.assign), s.assign)
+    return R.payload_targets(blocks, sources, cg, saved(ranking.merge_neighbours(cg)))
+
+
+@_query(_with(f""",
+post AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY cnt DESC, cluster_id) - 1 AS r FROM cg) WHERE r < 24),
+gw AS (SELECT gene_id, greatest(idf, 0) * df * (df - 1) / 2 AS w FROM idf),
+gk AS (SELECT gene_id, CAST(floor(2000 * w / (SELECT sum(w) FROM gw) + {_u("gene", "gene_id")}) AS INTEGER) AS k FROM gw WHERE w > 0),
+dr AS (SELECT gene_id, i, floor({_u("first", "gene_id", "i")} * m) AS r1, m FROM (SELECT gene_id, unnest(range(1, k + 1)) AS i FROM gk WHERE k > 0) JOIN (SELECT gene_id, count(*) AS m FROM post GROUP BY 1) USING (gene_id) WHERE m > 1),
+d2 AS (SELECT gene_id, r1, (r1 + 1 + floor({_u("second", "gene_id", "i")} * (m - 1))) % m AS r2 FROM dr)""",
+"SELECT least(x.cluster_id, y.cluster_id) AS cluster_a, greatest(x.cluster_id, y.cluster_id) AS cluster_b, count(*) AS times FROM d2 JOIN post x ON x.gene_id = d2.gene_id AND x.r = r1 JOIN post y ON y.gene_id = d2.gene_id AND y.r = r2 GROUP BY 1, 2", "documents"), None)
+def guided_merge_pairs(spark, sf_dir):
+    return R.guided_merges(saved(_written(tables.document_words(spark, sf_dir)).cluster_gene), 2000)
+
+
+PROPOSED_SQL = """,
+pp AS (SELECT 'a' || cluster_id AS seq, 'merge' AS kind, cluster_id AS source, (cluster_id * 7) % 30 AS target, CAST([] AS BIGINT[]) AS cells, 1.0 * cluster_id AS delta FROM cs
+UNION ALL SELECT 'b' || cluster_id, 'merge', (cluster_id * 7) % 30, cluster_id, [], 2.0 * cluster_id FROM cs
+UNION ALL SELECT 'm' || cell_id, 'move', cluster_id + CASE WHEN cell_id % 3 = 0 THEN 1 ELSE 0 END, cell_id % 30, [cell_id], 1.0 * cell_id FROM assign
+UNION ALL SELECT 'p' || cluster_id, 'block_peel', cluster_id, NULL, list(cell_id ORDER BY cell_id), 3.0 FROM assign WHERE cell_id % 4 > 0 GROUP BY cluster_id)"""
+
+
+def _proposed(g: _Given) -> DataFrame:
+    a, c = g.state.assign, F.col("cluster_id")
+    none = F.array().cast("array<long>")
+    row = lambda df, p, key, kind, s, t, cells, d: df.select(F.concat(F.lit(p), F.col(key)).alias("seq"), F.lit(kind).alias("kind"), s.cast("long").alias("source"), t.cast("long").alias("target"), cells.alias("cells"), d.cast("double").alias("delta"))
+    out = row(g.cs, "a", "cluster_id", "merge", c, c * 7 % 30, none, c).unionByName(row(g.cs, "b", "cluster_id", "merge", c * 7 % 30, c, none, 2 * c))
+    out = out.unionByName(row(a, "m", "cell_id", "move", c + (F.col("cell_id") % 3 == 0).cast("int"), F.col("cell_id") % 30, F.array(F.col("cell_id").cast("long")), F.col("cell_id")))
+    peel = a.where("cell_id % 4 > 0").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.col("cell_id").cast("long"))).alias("cells"))
+    return out.unionByName(row(peel, "p", "cluster_id", "block_peel", c, F.lit(None), F.col("cells"), F.lit(3.0)))
+
+
+@_query(_with(PROPOSED_SQL, "SELECT seq, kind, source, target FROM (SELECT *, row_number() OVER (PARTITION BY kind, CASE WHEN kind = 'merge' THEN least(source, target) ELSE source END, CASE WHEN kind = 'merge' THEN greatest(source, target) ELSE target END, list_sort(cells) ORDER BY seq) AS r FROM pp) WHERE r = 1"), None)
+def deduplicated_proposals(spark, sf_dir):
+    return R.deduplicated(_proposed(_supplier(spark, sf_dir))).select("seq", "kind", "source", "target")
+
+
+@_query(_with(PROPOSED_SQL, """, ins AS (SELECT seq, min(CASE WHEN cluster_id = source THEN 1 ELSE 0 END) AS ok, count(*) AS k FROM (SELECT seq, source, unnest(cells) AS cell_id FROM pp) LEFT JOIN assign USING (cell_id) GROUP BY seq)
+SELECT p.seq, kind, CASE WHEN CASE kind WHEN 'merge' THEN s.n_cells IS NOT NULL AND t.n_cells IS NOT NULL AND p.source <> p.target WHEN 'move' THEN s.n_cells IS NOT NULL AND t.n_cells IS NOT NULL AND p.source <> p.target AND i.ok = 1 ELSE s.n_cells IS NOT NULL AND i.ok = 1 AND i.k < s.n_cells END THEN delta ELSE -1e308 END AS delta
+FROM pp p LEFT JOIN cs s ON s.cluster_id = p.source LEFT JOIN cs t ON t.cluster_id = p.target LEFT JOIN ins i USING (seq)"""), None)
+def proposal_validity(spark, sf_dir):
+    """Gains of proposals, of which many are stale; minus infinity is shown as a number, as engines write it differently."""
+    g = _supplier(spark, sf_dir)
+    got = R.validated(saved(_proposed(g)), g.state.assign, g.cs)
+    return got.select("seq", "kind", F.greatest("delta", F.lit(-1e308)).alias("delta"))
+
+
+@_query(_with(NEIGHBOUR_SQL + """,
+sm AS (SELECT cluster_id FROM cs ORDER BY n_cells, total, cluster_id LIMIT 10),
+np AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM nb JOIN sm ON sm.cluster_id = source),
+ms AS (SELECT a, b, lgamma(x.total + psi0) + lgamma(y.total + psi0) - lgamma(psi0) - lgamma(x.total + y.total + psi0) + coalesce((SELECT sum(lgamma(g.cnt + h.cnt + psi) - lgamma(g.cnt + psi) - lgamma(h.cnt + psi) + lgamma(psi)) FROM cg g JOIN cg h ON h.gene_id = g.gene_id AND h.cluster_id = np.b JOIN prior p ON p.gene_id = g.gene_id WHERE g.cluster_id = np.a), 0) AS delta FROM np JOIN cs x ON x.cluster_id = a JOIN cs y ON y.cluster_id = b, z)""",
+"SELECT a AS cluster_a, b AS cluster_b, round(delta, 3) AS delta FROM ms", "documents"), None)
+def small_cluster_merges(spark, sf_dir):
+    """Gains of merging the ten smallest clusters into their ranked neighbours."""
+    g = _documents(spark, sf_dir)
+    return L.merge_deltas(*g.model, saved(selection.small_cluster_pairs(g.cs, ranking.merge_neighbours(g.cg), 10))).withColumn("delta", _r("delta", 3))
+
+
+@_query(None)
+def optimised_tau(spark, sf_dir):
+    """The strength of the prior at which users in their groups are likeliest; a test holds it against a dense grid."""
+    g = _Given(tables.user_events(spark, sf_dir))
+    tau, ll = prior.optimise_tau(g.state, g.prior, g.psi0)
+    return spark.createDataFrame([(round(tau, 4), round(ll, 4))], "tau double, ll double")
 
 
 LOO_SQL = """,
@@ -376,8 +586,8 @@ def parent_scores(spark, sf_dir):
     return A.parent_scores(*_supplier(spark, sf_dir).model).withColumn("score", _r("score", 3))
 
 
-#: Parents that the SQL below is limited to; the queries named ``_top50`` take the operator's own number and have no SQL.
-TOP_M = 6
+#: The operator's own number of candidate parents.
+TOP_M = A.TOP_M
 PAIR_SQL = LOO_SQL + SCORE_SQL + f""",
 cand AS (SELECT target, parent FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, parent) AS r FROM ps) WHERE r <= {TOP_M}),
 pairs0 AS (SELECT a.target, a.parent AS a, b.parent AS b FROM cand a JOIN cand b ON a.target = b.target AND a.parent < b.parent),
@@ -403,6 +613,7 @@ def _pair_prior_and_abundance(g: _Given, top_m: int) -> DataFrame:
 
 @_query(None)
 def pair_prior_and_abundance_top50(spark, sf_dir):
+    """An earlier name of ``pair_prior_and_abundance``, which takes the same number of parents."""
     return _pair_prior_and_abundance(_supplier(spark, sf_dir), A.TOP_M)
 
 
@@ -432,6 +643,7 @@ def _mixture_scores(g: _Given, top_m: int) -> DataFrame:
 
 @_query(None)
 def mixture_scores_top50(spark, sf_dir):
+    """An earlier name of ``mixture_scores``, which takes the same number of parents."""
     return _mixture_scores(_supplier(spark, sf_dir), A.TOP_M)
 
 
@@ -454,6 +666,7 @@ def _audit_table(g: _Given, top_m: int) -> DataFrame:
 
 @_query(None)
 def audit_table_top50(spark, sf_dir):
+    """An earlier name of ``audit_table``, which takes the same number of parents."""
     return _audit_table(_supplier(spark, sf_dir), A.TOP_M)
 
 
@@ -473,6 +686,7 @@ def _cell_lambda_maps(g: _Given, top_m: int) -> DataFrame:
 
 @_query(None)
 def cell_lambda_maps_top50(spark, sf_dir):
+    """An earlier name of ``cell_lambda_maps``, which takes the same number of parents."""
     return _cell_lambda_maps(_supplier(spark, sf_dir), A.TOP_M)
 
 
@@ -485,7 +699,13 @@ def fit_labels(spark, sf_dir):
     return fit(s.counts, s.assign.select("cell_id"), TAU, init=s.assign).labels
 
 
-@_query(None)
+_KEEP, _OTHER = _alias(urn_weights(8, 3))
+
+
+@_query(f"""SELECT 'singletons' AS init, cell_id, dense_rank() OVER (ORDER BY cell_id) - 1 AS cluster_id FROM assign UNION ALL SELECT 'one_cluster', cell_id, 0 FROM assign
+UNION ALL SELECT 'random', cell_id, CAST(floor({_u("init1", "cell_id", seed=3)} * 8) AS BIGINT) FROM assign
+UNION ALL SELECT 'random_online', cell_id, CASE WHEN r <= 8 THEN r - 1 WHEN v - floor(v) < ({_KEEP})[CAST(floor(v) AS INTEGER) + 1] THEN CAST(floor(v) AS BIGINT) ELSE ({_OTHER})[CAST(floor(v) AS INTEGER) + 1] END
+FROM (SELECT cell_id, row_number() OVER (ORDER BY {_u("init3", "cell_id", seed=3)}, cell_id) AS r, {_u("init2", "cell_id", seed=3)} * 8 AS v FROM assign)""", "events")
 def initial_partitions(spark, sf_dir):
     """Every deterministic or seeded start over users, by name."""
     s = tables.user_events(spark, sf_dir)
@@ -494,3 +714,7 @@ def initial_partitions(spark, sf_dir):
         got = initial(s.counts, s.assign, name, 8, 3).assign.select(F.lit(name).alias("init"), "cell_id", F.col("cluster_id").cast("long").alias("cluster_id"))
         out = got if out is None else out.unionByName(got)
     return out
+
+
+for _name in ("pair_prior_and_abundance", "mixture_scores", "audit_table", "cell_lambda_maps"):
+    ORACLES[_name + "_top50"] = ORACLES[_name]

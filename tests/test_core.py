@@ -12,7 +12,8 @@ from sparsefold.operators import audit as A
 from sparsefold.operators import likelihood as L
 from sparsefold.operators import metrics, selection
 from sparsefold.operators import prior as P
-from sparsefold.operators.model import Partition, cell_totals, initial, normalise_counts
+from sparsefold.operators import proposals as R
+from sparsefold.operators.model import Partition, cell_totals, initial, normalise_counts, numbered, urn_weights
 from sparsefold.plans import registry, search
 from sparsefold.sources import files
 
@@ -234,6 +235,63 @@ def test_registered_audit_tests_all_pairs_of_fifty_parents(spark, monkeypatch):
     assert len(lambdas) == 27 and all(terms[r.cell_id].max() - terms[r.cell_id][round(r["lambda"] * 100)] < 1e-6 for r in lambdas)
 
 
+def test_merges_and_peels_that_cannot_be_raise(spark):
+    s = made(spark, M, Z)
+    for pairs in ([(0, 0)], [(0, 7)]):
+        with pytest.raises(ValueError):
+            s.merge(spark.createDataFrame(pairs, "cluster_a long, cluster_b long"))
+    with pytest.raises(ValueError):
+        s.peel(spark.createDataFrame([("x", 0), ("x", 1)], "block_id string, cell_id long"))
+
+
+def test_numbers_over_many_ranges(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 100_003).alias("v"))
+    got = {r.v: r.n for r in numbered(df, "v", "n").collect()}
+    assert [got[v] for v in sorted(got)] == list(range(5000))
+
+
+def test_many_random_clusters(spark):
+    """2,000 clusters in one expression; each has its seed, and sizes follow the weights."""
+    cells = spark.range(20_000).select(F.col("id").alias("cell_id"))
+    sizes = np.zeros(2000)
+    for r in initial(None, cells, "random_online", 2000, 5).assign.groupBy("cluster_id").count().collect():
+        sizes[r.cluster_id] = r["count"]
+    w = np.array(urn_weights(2000, 5))
+    want = 1 + 18_000 * w / w.sum()
+    assert sizes.min() >= 1 and ((sizes - want) ** 2 / want).sum() < 2000 + 6 * math.sqrt(4000)
+
+
+def test_optimised_tau(spark):
+    rng = np.random.default_rng(2)
+    m = rng.poisson(4, (12, 5))
+    s = made(spark, m, [i % 3 for i in range(12)])
+    pr = P.make_prior(s.counts, s.counts.select("gene_id").distinct(), 1.0)
+    tau, best = P.optimise_tau(s, pr, 1.0)
+    p = m.sum(0) / m.sum()
+    grid = np.exp(np.linspace(math.log(1e-3), math.log(1e3), 4001))
+    lls = [ll(m, [i % 3 for i in range(12)], t * p) for t in grid]
+    assert best >= max(lls) - 1e-9 and abs(math.log(tau) - math.log(grid[int(np.argmax(lls))])) < 0.004
+    with pytest.raises(ValueError):
+        P.optimise_tau(s, pr.withColumn("psi", F.lit(0.0)), 1.0)
+
+
+def test_draws(spark):
+    stat = spark.createDataFrame([(i * 3, 1 + i % 3, 5) for i in range(6)], "cluster_id long, n_cells long, total long")
+    rows = R.uniform_merges(stat, 3000, 1).collect()
+    pairs = {(r.cluster_a, r.cluster_b): 0 for r in rows}
+    for r in rows:
+        pairs[r.cluster_a, r.cluster_b] += 1
+    assert len(rows) == 3000 and len(pairs) == 15 and all(a < b for a, b in pairs) and sum((n - 200) ** 2 / 200 for n in pairs.values()) < 45
+    near = spark.createDataFrame([(0, 1, 0.75, 1), (0, 2, 0.25, 2), (5, 0, 1.0, 1)], "source long, target long, share double, rank long")
+    got = [(r.source, r.target) for r in R.biased_merges(near, 2000, 1).collect()]
+    assert len(got) == 2000 and abs(got.count((0, 1)) - 750) < 120 and abs(got.count((5, 0)) - 1000) < 120
+    one = stat.limit(1)
+    assert R.uniform_merges(one, 10).count() == 0
+    poor = spark.createDataFrame([(0, c, 1.0, c) for c in (1, 2, 3)], "cluster_id long, cell_id long, poor double, rank long")
+    n = [r.cell_id for r in R.poor_draws(poor, 1200, 1).collect()]
+    assert [abs(n.count(c) - w) < 100 for c, w in ((1, 600), (2, 400), (3, 200))] == [True] * 3
+
+
 def test_fit_splits_and_never_falls(spark):
     m = np.array([[18, 2, 0, 0], [19, 1, 0, 0], [17, 3, 0, 0], [0, 0, 18, 2], [0, 0, 19, 1], [0, 0, 17, 3]])
     s = made(spark, m)
