@@ -22,7 +22,8 @@ def _cells(counts, n=None):
 def run_convert(spark, args) -> dict:
     counts = files.read_wide_tsv(spark, args.input).persist()
     names, _ = files.tsv_names(spark, args.input)
-    n_genes = (counts.agg(F.max("gene_id")).first()[0] or -1) + 1
+    last = counts.agg(F.max("gene_id")).first()[0]
+    n_genes = 0 if last is None else last + 1
     if args.output.endswith(".npz"):
         files.write_npz(counts, args.output, len(names), n_genes)
     else:

@@ -45,7 +45,8 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinate entries, counted from 0. The size line is the only one before the entries that is no comment, so it is told apart by the header."""
+    """Coordinate entries, counted from 0; of a symmetric matrix both halves. The size line is the only one before the entries that is no comment, so it is told apart by the header."""
+    header = spark.read.text(path).where(F.col("value").startswith("%%MatrixMarket")).limit(1).first()
     lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     size = lines.limit(1).first()[0]
     entries = lines.withColumn("p", F.split(F.trim("value"), r"\s+"))
@@ -56,6 +57,8 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     if same > 0:
         s = size.split()
         got = got.unionByName(spark.createDataFrame([(int(s[0]) - 1, int(s[1]) - 1, float(s[2]))] * same, COUNTS))
+    if header and header[0].lower().split()[-1:] == ["symmetric"]:
+        got = got.unionByName(got.where("cell_id <> gene_id").select(F.col("gene_id").cast("long").alias("cell_id"), F.col("cell_id").cast("int").alias("gene_id"), "cnt"))
     return got
 
 

@@ -322,6 +322,11 @@ def test_files_and_commands(spark, tmp_path):
     assert sorted(map(tuple, files.read_counts(spark, str(tmp_path / "m.npz")).collect())) == [(0, 0, 1), (1, 1, 2)]
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% c\n2 2 2\n1 1 1\n2 2 2\n")
     assert sorted(map(tuple, files.read_counts(spark, str(tmp_path / "m.mtx")).collect())) == [(0, 0, 1), (1, 1, 2)]
+    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate integer symmetric\n2 2 2\n1 1 1\n2 1 5\n")
+    assert sorted(map(tuple, files.read_counts(spark, str(tmp_path / "s.mtx")).collect())) == [(0, 0, 1), (0, 1, 5), (1, 0, 5)]
+    (tmp_path / "one.tsv").write_text("GeneID\tA\tB\nG1\t1\t2\n")
+    assert cli.main(["convert", str(tmp_path / "one.tsv"), str(tmp_path / "one.npz")])["n_genes"] == 1
+    assert np.load(tmp_path / "one.npz")["shape"].tolist() == [2, 1]
     np.save(tmp_path / "m.npy", M)
     assert files.read_counts(spark, str(tmp_path / "m.npy")).count() == 6
     for bad in ("x.tsv", "x.txt"):
