@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+
 
 def _top(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
@@ -74,12 +76,42 @@ def rare_overlap(seeds: DataFrame, counts: DataFrame, idf_table: DataFrame) -> D
     return met.groupBy("seed_id", "cell_id").agg(F.sum(F.least("cnt", "y") * F.greatest("idf", F.lit(0.0))).alias("overlap"))
 
 
+#: Cells that may hold a gene for its pairs to be made at once, and of a hotter gene, for each salt.
+RARE = 64
+SALT_CELLS = 1000
+
+
+def _met(own: DataFrame, held: DataFrame) -> DataFrame:
+    """(src, dst, w): overlap over the genes of ``own`` (cell_id, gene_id, w, n) with the cells of ``held``; hot genes are salted."""
+    salts = F.ceil(F.col("n") / SALT_CELLS)
+    a = own.select(F.col("cell_id").alias("src"), "gene_id", F.col("w").alias("w1"), F.pmod(F.xxhash64("cell_id"), salts).alias("salt"))
+    b = held.select(F.col("cell_id").alias("dst"), "gene_id", F.col("w").alias("w2"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    return a.join(b, ["gene_id", "salt"]).where("src <> dst").groupBy("src", "dst").agg(F.sum(F.least("w1", "w2")).alias("w"))
+
+
 def overlap_graph(counts: DataFrame, k: int = 15, top_genes: int = 24) -> DataFrame:
-    """(src, dst, w): per cell its ``top_genes`` by count * idf; overlaps of shared genes; ``k`` best, made symmetric by the larger, ``k`` best again."""
+    """(src, dst, w): per cell its ``top_genes`` by count * idf; overlaps of shared genes; ``k`` best, made symmetric by the larger, ``k`` best again.
+
+    Rare genes give each cell ``k`` partners and with them a bound that its best reach. Of its other genes, from the
+    rarest on, only those make pairs without which the rest could still reach the bound, so hot genes of little weight
+    make none; pairs that are left get their whole overlap. The result is that of all pairs.
+    """
     weighed = counts.join(idf(counts, "cell_id"), "gene_id").withColumn("w", F.col("cnt") * F.col("idf"))
-    own = _top(weighed, ["cell_id"], [F.desc(F.round("w", 9)), "gene_id"], top_genes).where("w > 0").select("cell_id", "gene_id", "w")
-    a, b = own.select(F.col("cell_id").alias("src"), "gene_id", F.col("w").alias("w1")), own.select(F.col("cell_id").alias("dst"), "gene_id", F.col("w").alias("w2"))
-    scored = a.join(b, "gene_id").where("src <> dst").groupBy("src", "dst").agg(F.sum(F.least("w1", "w2")).alias("w"))
-    near = _top(scored, ["src"], [F.desc(F.round("w", 7)), "dst"], k).select("src", "dst", "w")
+    own = saved(_top(weighed, ["cell_id"], [F.desc(F.round("w", 9)), "gene_id"], top_genes).where("w > 0").select("cell_id", "gene_id", "w"))
+    own = saved(own.join(own.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")), "gene_id"))
+    rare = own.where(F.col("n") <= RARE)
+    bound = _top(_met(rare, rare), ["src"], [F.desc("w"), "dst"], k).where(F.col("rank") == k).select(F.col("src").alias("cell_id"), F.col("w").alias("bound"))
+    # what a cell can still share from each gene on, rarest first
+    onward = Window.partitionBy("cell_id").orderBy("n", "gene_id").rowsBetween(0, Window.unboundedFollowing)
+    graded = own.withColumn("rest", F.sum("w").over(onward)).join(bound, "cell_id", "left")
+    graded = saved(graded.withColumn("needed", F.coalesce(F.col("rest") >= F.col("bound") - 1e-6, F.lit(True))))
+    other = graded.where("not needed")
+    slack = other.groupBy(F.col("cell_id").alias("src")).agg(F.sum("w").alias("rest"), F.first("bound").alias("bound"))
+    part = _met(graded.where("needed"), own).join(slack, "src", "left").where("rest is null or w + rest >= bound - 1e-6").select("src", "dst", "w")
+    part = saved(part)
+    more = part.select("src", "dst").join(other.select(F.col("cell_id").alias("src"), "gene_id", F.col("w").alias("w1")), "src")
+    more = more.join(own.select(F.col("cell_id").alias("dst"), "gene_id", F.col("w").alias("w2")), ["dst", "gene_id"]).select("src", "dst", F.least("w1", "w2").alias("w"))
+    scored = part.unionByName(more).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    near = saved(_top(scored, ["src"], [F.desc(F.round("w", 7)), "dst"], k).select("src", "dst", "w"))
     both = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
     return _top(both, ["src"], [F.desc(F.round("w", 7)), "dst"], k).select("src", "dst", "w")

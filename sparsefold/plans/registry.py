@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import likelihood as L
-from ..operators import metrics, prior, ranking, selection
+from ..operators import communities, metrics, prior, ranking, selection
 from ..operators import proposals as R
 from ..operators.model import Partition, _alias, cell_totals, gene_totals, initial, urn_weights
 from ..functions.special import rank01
@@ -19,6 +19,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def _u(purpose: str, *keys: str, seed: int = 0) -> str:
+    """The seeded uniform number of the operators, in SQL."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{purpose}', {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE)"
+
+
 def _r(c, digits: int = 4):
     return F.round(c, digits)
 
@@ -299,17 +304,44 @@ def rare_overlap(spark, sf_dir):
     return ranking.rare_overlap(seeds, s.counts, ranking.idf(s.cluster_gene, "cluster_id")).withColumn("overlap", _r("overlap", 5))
 
 
-@_query(_with("""
+GRAPH_SQL = """
 , ci AS (SELECT gene_id, ln(((SELECT count(DISTINCT cell_id) FROM counts) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY 1),
 top AS (SELECT cell_id, gene_id, w FROM (SELECT cell_id, gene_id, cnt * idf AS w, row_number() OVER (PARTITION BY cell_id ORDER BY round(cnt * idf, 9) DESC, gene_id) AS r FROM counts JOIN ci USING (gene_id)) WHERE r <= 24 AND w > 0),
 pr AS (SELECT a.cell_id AS src, b.cell_id AS dst, sum(least(a.w, b.w)) AS w FROM top a JOIN top b ON a.gene_id = b.gene_id AND a.cell_id <> b.cell_id GROUP BY 1, 2),
 k1 AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 7) DESC, dst) AS r FROM pr) WHERE r <= 15),
-bo AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM k1 UNION ALL SELECT dst, src, w FROM k1) GROUP BY 1, 2)""",
-"SELECT src, dst, round(w, 5) AS w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 7) DESC, dst) AS r FROM bo) WHERE r <= 15", "documents"), None)
+bo AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM k1 UNION ALL SELECT dst, src, w FROM k1) GROUP BY 1, 2),
+edges AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(w, 7) DESC, dst) AS r FROM bo) WHERE r <= 15)"""
+
+
+@_query(_with(GRAPH_SQL, "SELECT src, dst, round(w, 5) AS w FROM edges", "documents"), None)
 def overlap_graph_edges(spark, sf_dir):
     return ranking.overlap_graph(_written(tables.document_words(spark, sf_dir)).counts).withColumn("w", _r("w", 5))
 
 
+@_query(_with(GRAPH_SQL, """, inn AS (SELECT e.src, e.dst FROM edges e JOIN assign a ON a.cell_id = e.src JOIN assign b ON b.cell_id = e.dst WHERE a.cluster_id = b.cluster_id),
+nb AS (SELECT src, dst FROM inn UNION SELECT dst, src FROM inn),
+reach AS (SELECT cell_id AS node, cell_id AS root FROM assign UNION SELECT n.dst, r.root FROM reach r JOIN nb n ON n.src = r.node WHERE r.root < n.dst)
+SELECT node AS cell_id, min(root) AS cluster_id FROM reach GROUP BY 1""", "documents").replace("WITH ", "WITH RECURSIVE ", 1), None)
+def split_communities(spark, sf_dir):
+    """Sources cut into the connected parts of the overlap graph."""
+    s = _written(tables.document_words(spark, sf_dir))
+    return communities.split_disconnected(saved(ranking.overlap_graph(s.counts)), s.assign)
+
+
+@_query(_with(GRAPH_SQL, f""", sz AS (SELECT cluster_id, count(*) AS n FROM assign GROUP BY 1),
+mine AS (SELECT cell_id, cluster_id, n FROM assign JOIN sz USING (cluster_id) WHERE floor({_u("half", "cell_id")} * 2) = 0),
+wt AS (SELECT src AS cell_id, cluster_id AS target, sum(w) AS w FROM edges JOIN assign ON cell_id = dst GROUP BY 1, 2),
+own AS (SELECT m.*, coalesce(w, 0) AS held FROM mine m LEFT JOIN wt ON wt.cell_id = m.cell_id AND target = cluster_id),
+gn AS (SELECT cell_id, target, round(w - held + 0.5 * (o.n - 1 - sz.n), 7) AS gain FROM wt JOIN own o USING (cell_id) JOIN sz ON sz.cluster_id = target WHERE target <> o.cluster_id
+UNION ALL SELECT cell_id, (SELECT max(cluster_id) FROM assign) + 1 + cell_id, round(0.5 * (n - 1) - held, 7) FROM own WHERE n > 1),
+bt AS (SELECT cell_id, min_by(target, (-gain, target)) AS target FROM gn WHERE gain > 0 GROUP BY 1)
+SELECT cell_id, coalesce(target, cluster_id) AS cluster_id FROM assign LEFT JOIN bt USING (cell_id)""", "documents"), None)
+def community_moves(spark, sf_dir):
+    """Half an update of the warm start's local moves, from sources, at resolution 0.5."""
+    s = _written(tables.document_words(spark, sf_dir))
+    return communities.local_moves(saved(ranking.overlap_graph(s.counts)), s.assign, 0.5, 0)
+
+
 def _labels(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents")
     a = docs.select(F.col("doc_id").alias("cell_id"), F.col("source").alias("cluster_id"))
@@ -415,6 +447,22 @@ def move_families(spark, sf_dir):
     return got.select("kind", "proposed", "positive", _r("gain_sum", 3).alias("gain_sum"), _r("gain_max", 3).alias("gain_max"), "accepted")
 
 
+@_query(_with(ADD_SQL, f""", sc AS (SELECT cell_id || '-' || target AS id, round(delta, 4) AS delta FROM mv)
+SELECT id, delta FROM (SELECT *, {_u("keep", "id")} AS k FROM sc WHERE delta <= 0 AND {_u("walk", "id")} < 0.2) ORDER BY k, id LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM sc)""", "events"), None)
+def random_walk_moves(spark, sf_dir):
+    """Moves without gain that a walk takes: each with a chance of 0.2, up to a tenth of all."""
+    g = _Given(tables.user_events(spark, sf_dir))
+    moves = L.move_deltas(*g.cells(), *g.model).select(F.concat_ws("-", "block_id", "target").alias("id"), F.lit("move").alias("kind"), _r("delta").alias("delta"))
+    return selection.random_walk(saved(moves), 0.2, 0.1).select("id", "delta")
+
+
+@_query("""SELECT count(*) AS n_clusters, sum(n_cells)::BIGINT AS n_cells, CASE WHEN count(*) > greatest(2 * greatest(16, floor(8 * sqrt(sum(n_cells)))), floor(sum(n_cells) / 8)) THEN 'coarsen' WHEN count(*) > greatest(floor(greatest(16, floor(8 * sqrt(sum(n_cells)))) / 2), floor(3 * sqrt(sum(n_cells)))) THEN 'balanced' ELSE 'refine' END AS stage FROM cs""")
+def search_stage(spark, sf_dir):
+    """The stage of a search that stands at the suppliers' nations."""
+    cs = tables.supplier_brands(spark, sf_dir).cluster_stat.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n_cells").alias("n_cells"))
+    return cs.withColumn("stage", selection.stage(F.col("n_clusters"), F.col("n_cells")))
+
+
 @_query("""SELECT c AS cluster_id, count(*) AS n_moves FROM (SELECT unnest([cluster_id, (cluster_id + 1) % 12]) AS c FROM assign WHERE cell_id % 7 = 0) GROUP BY 1 HAVING count(*) > 1""", "events")
 def touched_twice(spark, sf_dir):
     """Clusters that more than one of a set of moves touches; none for an accepted set."""
@@ -434,11 +482,6 @@ def reference_merge_scores(spark, sf_dir):
     return L.merge_deltas(*g.model, saved(pairs)).join(pairs, ["cluster_a", "cluster_b"]).select("cluster_a", "cluster_b", F.col("reference").cast("int").alias("reference"), _r("delta").alias("delta"))
 
 
-def _u(purpose: str, *keys: str, seed: int = 0) -> str:
-    """The seeded uniform number of the operators, in SQL."""
-    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{purpose}', {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE)"
-
-
 NUM_SQL = ", num AS (SELECT row_number() OVER (ORDER BY cluster_id) - 1 AS pos, cluster_id, count(*) OVER () AS n FROM cs)"
 
 
@@ -690,6 +733,15 @@ def cell_lambda_maps_top50(spark, sf_dir):
     return _cell_lambda_maps(_supplier(spark, sf_dir), A.TOP_M)
 
 
+@_query(None)
+def merge_closure_labels(spark, sf_dir):
+    """Suppliers' nations merged until no merge gains; a test holds it against merging one pair after another."""
+    from .search import merge_closure
+
+    g = _supplier(spark, sf_dir)
+    return merge_closure(g.state, g.prior, g.psi0).assign
+
+
 @_query(None)
 def fit_labels(spark, sf_dir):
     """The search over users, from their groups until no round gains; tests hold it against invariants."""
