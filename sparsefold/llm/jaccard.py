@@ -45,9 +45,9 @@ from .tokens import U, mix64, shingle_sets
 SMALL = 40
 GRADE = 1.5
 BITS = 4096
-#: Rows of a side that may be broadcast; beyond it, the join is by a shuffle.
+#: Rows of a side, or tokens of its sets (32 MB), that may be broadcast; beyond it, the join is by a shuffle.
 BROADCAST_IDS = 1_000_000
-BROADCAST_SETS = 2_000
+BROADCAST_TOKENS = 4_000_000
 BROADCAST_UNITS = 500_000
 PIVOTS = 8
 ROUNDS = 3
@@ -339,7 +339,8 @@ def links(members: DataFrame, percent: int, leaf: int) -> DataFrame:
             if not choice.limit(1).count():
                 break
             pivots = save(large.join(_hinted(choice.select("id"), BROADCAST_IDS), "id").select("block", F.col("id").alias("pivot"), F.col("tokens").alias("held")), "pivots")
-            met = large.join(_hinted(pivots, BROADCAST_SETS), "block").where(F.col("id") != F.col("pivot"))
+            held = pivots.agg(F.sum(F.size("held") + 4)).first()[0] or 0  # 8 bytes a token, and some for a row
+            met = large.join(F.broadcast(pivots) if held <= BROADCAST_TOKENS else pivots, "block").where(F.col("id") != F.col("pivot"))
             same = F.size(F.array_intersect("tokens", "held"))
             met = met.withColumn("same", same).where(100 * F.col("same") >= percent * (F.size("tokens") + F.size("held") - F.col("same")))
             found = save(met.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "links")
