@@ -231,6 +231,34 @@ def test_tree_traversal():
         assert len(set(parent)) == len(set(want))
 
 
+def test_stars_connect_what_edges_connect():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 40, 3000):
+        for case in (np.stack((np.arange(n) + 1, np.arange(n))), rng.integers(0, n, (2, n)), rng.permutation(n + 1)[[np.arange(n), np.arange(n) + 1]]):
+            a, b = case[:, case[0] != case[1]]
+            parent = {}
+
+            def root(x):
+                while parent.setdefault(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+            x, y = components.stars(a, b)
+            assert dict(zip(x.tolist(), y.tolist())) == {v: root(v) for v in parent if root(v) != v} and len(x) == len(set(x.tolist()))
+
+
+def test_components_take_steps_where_edges_exceed_a_run(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_ROWS", 7)
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)]
+    df = spark.createDataFrame(chain[::-1], "a long, b long").repartition(9)
+    got = {r.node: r.component for r in components.components(df).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
