@@ -36,7 +36,7 @@ ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 INSIDE = ~ENDS
 INSIDE[[0x20, 0x09]] = False
 DEPTH = 4
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Slots of a sketch travel in blocks of so many.
 BLOCK = 1 << 16
 FAN_IN = 64

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, importance, jaccard, licenses, mixing, quality, repeats, sharding, surrogates, token_counts
+from . import byte_pairs, chat, collocations, decontaminate, importance, jaccard, licenses, mixing, quality, repeats, sharding, surrogates, token_counts
 from .store import table
 
 #: The key of the registered query; a real run takes its own.
@@ -65,9 +65,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_surrogates, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op7_quality_rules, op8_licenses, op9_repeats, op10_chat, op11_collocations, op13_importance)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_surrogates, op3_mixing, op4_decontamination, op5_token_counts, op6_jaccard, op7_quality_rules, op8_licenses, op9_repeats, op10_chat, op11_collocations, op12_byte_bpe, op13_importance)}
 ORACLES = {"op6_jaccard": jaccard.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op8_licenses": licenses.ORACLE_SQL, "op9_repeats": repeats.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op13_importance": importance.ORACLE_SQL}
