@@ -5,18 +5,19 @@ e-mail address its lower case, so that all mentions of an entity get one surroga
 mention. A surrogate is a keyed permutation of the values of one format, whatever its length: digits stay digits,
 letters keep case and script, addresses stay valid, card numbers and IBANs keep a right check digit. Names in Latin,
 Cyrillic and Greek letters are built anew from syllables, with endings of their gender, about as long and written as
-the name; other scripts permute their letters, and initials go round their alphabet.
+the name; other scripts permute their letters, and initials go round the letters of their script and case.
 
 What is left to check goes over the table of distinct entities, by joins: a surrogate must not be an entity that
 occurs in the texts, nor one that another entity has. Those that fail get the next attempt until none does; names get
 more syllables on the way. Entities left after ``MOST_ATTEMPTS``, whose format is too full, and values without a
 character that could change get one of a wider format of their type: more classes of characters and, where the type
-allows it, more of them, which grow with the attempts. Only initials are not checked, as every letter is one.
+allows it, more of them, which grow with the attempts. Values of all types are compared, without regard to
+capitals. Only initials are not checked: they go round classes of letters that share none.
 
 Names of persons are found behind a form of address in ``TITLES``: initials, a given name and a surname that begin with
 capitals; and, without one, where a given name of ``GIVEN`` comes before a word with a capital. Their words are then
-found in the whole of that text. Not found are other names that no title precedes in their text, those behind other
-titles (Dr, Prof), further words of longer names, and names in scripts without capitals.
+found in the whole of that text, in any capitals that begin with one: "NOVAK" and "Novak" are one entity. Not found are
+other names that no title precedes in their text, further words of longer names, and names in scripts without capitals.
 
 Only entities that needed another attempt have to be looked up when texts are rewritten. They are broadcast up to
 a bound; beyond it, they are joined to the documents that mention them.
@@ -48,8 +49,9 @@ BROADCAST_EXCEPTIONS = 100_000
 MOST_ATTEMPTS = 64
 WIDE = 1 << 16
 
-#: Forms of address and their gender (f, m).
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Господин": "m", "Госпожа": "f"}
+#: Forms of address and their gender (f, m, or none).
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Господин": "m", "Госпожа": "f",
+          "Sir": "m", "Madam": "f", "Lady": "f", "Lord": "m", "Dr": "", "Prof": "", "Professor": "", "Doctor": "", "Fräulein": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f", "Mme": "f", "Mlle": "f", "Docteur": "", "Κύριος": "m", "Κυρία": "f"}
 #: Given names by gender and script.
 GIVEN = {
     "given_f_latin": ["Anna", "Carla", "Clara", "Diana", "Elena", "Emma", "Irene", "Julia", "Laura", "Lucia", "Maria", "Nora", "Paula", "Rosa", "Sofia", "Vera"],
@@ -122,6 +124,33 @@ def alphabet(c: str) -> str:
     return _letters(script, unicodedata.category(c))
 
 
+@cache
+def _initial_classes() -> list[str]:
+    """All letters in classes that share none: those of ``CLASSES``, then those of one script and case, and what is left of each case."""
+    by_script: dict[tuple[str, str], list[str]] = {}
+    for c in map(chr, range(0x110000)):
+        case = unicodedata.category(c)
+        if (case[0] == "L" or case in ("Nl", "No")) and c not in _CLASS:
+            plain = unicodedata.normalize("NFKC", c) == c
+            by_script.setdefault((unicodedata.name(c, "").split(" ")[0] if plain else "", case), []).append(c)
+    rest: dict[str, list[str]] = {}
+    for (script, case), letters in list(by_script.items()):
+        if not script or len(letters) < 2:
+            rest.setdefault(case, []).extend(letters)
+            del by_script[script, case]
+    return [*CLASSES[1:], *map("".join, by_script.values()), *map("".join, rest.values())]
+
+
+@cache
+def _next_initial(key: bytes) -> dict[str, str]:
+    """One keyed cycle through the letters of each class, so none stays and no two get the same."""
+    out = {}
+    for letters in _initial_classes():
+        cycle = sorted(letters, key=lambda c: _mac(key, f"initial|{c}"))
+        out.update(zip(cycle, [*cycle[1:], cycle[0]]))
+    return out
+
+
 def wider(kind: str, value: str, key: bytes, attempt: int) -> str:
     """A keyed draw from a wider format of the type, larger with every eighth attempt; joins check that it is free."""
     extra = 1 + attempt // 8
@@ -188,10 +217,8 @@ NAMES = ("given_f", "given_m", "family")
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of an entity: one of its format for each attempt, one of a wider format from ``WIDE`` on."""
-    if kind == "initial":  # one keyed cycle through the letters, so none stays
-        letters = alphabet(value) or value
-        cycle = sorted(letters, key=lambda c: _mac(key, f"initial|{c}"))
-        return cycle[(cycle.index(value) + 1) % len(cycle)] if value in cycle else cycle[0]
+    if kind == "initial":
+        return _next_initial(key).get(value, value)
     if attempt >= WIDE:
         return wider(kind, value, key, attempt - WIDE)
     tweak = f"{kind}|{attempt}"
@@ -265,13 +292,25 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
                     at += 1
 
 
+def _as_name(word: str) -> str:
+    """A name as its entity is known, whatever its capitals."""
+    return "-".join(p[:1].upper() + p[1:].lower() for p in word.split("-"))
+
+
+def _gender(title: str, given: str) -> str:
+    if TITLES[title]:
+        return TITLES[title]
+    return _KNOWN[given][6:] if given in _KNOWN else "f" if given[-1:].lower() in "aаα" else "m"
+
+
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     """Names behind a title or a known given name, and all mentions of their words in the same text; an initial counts only before such a word."""
     found, own, initials = [], {}, {}
 
     def add(a: int, b: int, kind: str) -> None:
         # one word has one surrogate in a text
-        found.append((a, b, (own if b - a > 1 else initials).setdefault(text[a:b], kind), text[a:b]))
+        word = _as_name(text[a:b])
+        found.append((a, b, (own if b - a > 1 else initials).setdefault(word, kind), word))
 
     for m in _NAME.finditer(text):
         spans = []
@@ -280,8 +319,8 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
                 spans += [(j, j + 1) for j in range(*m.span(i)) if text[j] not in ". "] if i in (2, 5) else [m.span(i)]
         spans = list(takewhile(lambda s: text[s[0]].isupper(), spans))
         for n, (a, b) in enumerate(spans):
-            given = f"given_{TITLES[m[1]]}"
-            last = n == len(spans) - 1 and not (n == 0 and text[a:b] in _KNOWN)
+            given = f"given_{_gender(m[1], _as_name(text[a:b]))}"
+            last = n == len(spans) - 1 and not (n == 0 and _as_name(text[a:b]) in _KNOWN)
             add(a, b, "family" if last else given if b - a > 1 else "initial")
     for m in _UNTITLED.finditer(text):
         if m[3][0].isupper():
@@ -293,14 +332,14 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     for m in _BARE.finditer(text) if own else ():
         word, at = m[0], m.start()
         if len(word) == 1:
-            if word in initials and (rest := _SHORT.match(text, at)) and rest[1] in own:
+            if word in initials and (rest := _SHORT.match(text, at)) and _as_name(rest[1]) in own:
                 found.append((at, at + 1, initials[word], word))
-        elif word in own:
-            found.append((at, m.end(), own[word], word))
+        elif word[0].isupper() and _as_name(word) in own:
+            found.append((at, m.end(), own[_as_name(word)], _as_name(word)))
         else:
             for part in word.split("-"):
-                if part in own:
-                    found.append((at, at + len(part), own[part], part))
+                if part[:1].isupper() and len(part) > 1 and _as_name(part) in own:
+                    found.append((at, at + len(part), own[_as_name(part)], _as_name(part)))
                 at += len(part) + 1
     return found
 
@@ -351,6 +390,8 @@ def laid(mention: str, kind: str, new: str) -> str:
         if len(new) > len(mention):  # letters behind the local part
             mention = local + " " * (len(new) - len(mention)) + mention[len(local) :]
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new))
+    if kind in NAMES:
+        return new.upper() if len(mention) > 1 and mention.isupper() else new
     return new
 
 
@@ -371,19 +412,25 @@ def _named(key: bytes):
     return run
 
 
+def _plain(column: str) -> F.Column:
+    """A value as it is compared with those of all types."""
+    return F.lower(F.col(column))
+
+
 def assign(docs: DataFrame, key: bytes, text: str = "text", attempts: int = MOST_ATTEMPTS) -> DataFrame:
-    """(kind, value, attempt, new) for every distinct entity; all of ``new`` differ from each other and from every value, by kind."""
+    """(kind, value, attempt, new) for every distinct entity; all of ``new`` differ from each other and from every value, of whatever kind and in whatever capitals; initials differ from each other."""
     schema = "kind string, value string, attempt int, new string"
     found = save(docs.select(text).mapInArrow(_detected, "kind string, value string").distinct(), "entities")
     now = save(found.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(_named(key), schema), "surrogates")
     closed = F.col("kind") == "initial"
-    taken = found.select(F.col("kind").alias("k"), F.col("value").alias("v"))
+    taken = found.where(~closed).select(_plain("value").alias("v")).distinct()
     while True:
-        real = now.where(~closed).join(taken, (F.col("kind") == F.col("k")) & (F.col("new") == F.col("v")), "left_semi").select("kind", "value")
+        real = now.where(~closed).join(taken, _plain("new") == F.col("v"), "left_semi").select("kind", "value")
         # of several entities with one surrogate, the one that had it first keeps it
-        order = F.struct("attempt", "value")
-        several = now.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keeps")).where("n > 1")
-        several = now.join(several, ["kind", "new"]).where(order != F.col("keeps")).select("kind", "value")
+        order = F.struct("attempt", "value", "kind")
+        open_now = now.where(~closed).withColumn("_plain", _plain("new"))
+        several = open_now.groupBy("_plain").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keeps")).where("n > 1")
+        several = open_now.join(several, "_plain").where(order != F.col("keeps")).select("kind", "value")
         again = save(real.unionByName(several).distinct(), "again")
         if not again.limit(1).count():
             break
