@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, ship, without
+from .store import hidden, revealed, save, ship, without
 from .tokens import U, chunks, mix64, powers, span_hashes, word_spans
 
 OUTPUT = {"contaminated": "boolean", "coverage": "double", "item_id": "long", "n_items": "int", "n_tiles": "int"}
@@ -197,7 +197,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", til
     its ``coverage`` is 0 and it has no best item.
     """
     ship(docs.sparkSession)
-    docs = without(docs, OUTPUT)
+    docs, names = hidden(without(docs, OUTPUT))
+    text = names[text]
     h1, h2 = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
     named = docs.where(F.col(text).isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text"))
     pairs = matches(named, benchmark, tile, threshold)
@@ -212,4 +213,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", til
         "n_items": F.coalesce("_n", F.lit(0)),
         "n_tiles": F.coalesce("_best.n_tiles", F.lit(0)),
     }
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in made.items()])
+    return revealed(joined, names, *[v.alias(k) for k, v in made.items()])

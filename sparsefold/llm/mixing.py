@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import WORD, drop, extended, save, without
+from .store import WORD, drop, extended, hidden, revealed, save, without
 
 OUTPUT = ["n_tokens", "weight", "epoch", "mix_at"]
 BROADCAST_SOURCES = 100_000
@@ -87,7 +87,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     Ordering by ``mix_at`` interleaves the sources in the proportion of their weights.
     """
-    docs = without(docs, OUTPUT)
+    docs, names = hidden(without(docs, OUTPUT))
+    text, source, key = names[text], names[source], names[key]
     place = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     counted = save(docs.select(F.col(source).alias("s"), place.alias("_place"), count.alias("n_tokens")), "mix-counts")
@@ -131,4 +132,4 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     u = lambda c: (c.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     later = F.when(F.col("epoch") == F.col("full"), u(F.col("_order"))).otherwise(u(F.xxhash64("_order", "epoch")))
     mix_at = (F.col("epoch") + later + u(F.xxhash64("_place", "epoch")) / F.lit(2.0**20)) / F.greatest(F.col("quota"), F.lit(1e-12))
-    return rows.withColumn("mix_at", F.least(mix_at, F.lit(1.0))).select(*[F.col(f"`{c}`") for c in docs.columns], *OUTPUT)
+    return revealed(rows.withColumn("mix_at", F.least(mix_at, F.lit(1.0))), names, *OUTPUT)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import BLANKS, extended, save, words
+from .store import BLANKS, extended, hidden, revealed, save, without, words
 
 #: measure -> (least spread of its quartiles, also bounded from below)
 MEASURES = {
@@ -149,10 +149,11 @@ def quality_rules(docs: DataFrame, text: str = "text", fence: float = 3.0, least
     The measured rows are written once to the shared folder, as both the sketches and the join read them.
     Groups without a document that passes the base rule have no fences; their documents all failed.
     """
-    measured = measure(docs, text)
+    docs, names = hidden(without(docs, [*BASE, *MEASURES, "kept"]), keep=("lang", "source"))
+    measured = measure(docs, names[text])
     if carry is not None:
-        measured = measured.select(*dict.fromkeys([*carry, "lang", "source", *BASE, *MEASURES]))
-    measured = save(measured, "quality")
+        names = {c: names[c] for c in dict.fromkeys([*carry, "lang", "source"]) if c in names}
+    measured = save(measured.select(*names.values(), *BASE, *MEASURES), "quality")
     limits = save(thresholds(sketches(measured), fence, least_rows), "limits")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
@@ -162,7 +163,7 @@ def quality_rules(docs: DataFrame, text: str = "text", fence: float = 3.0, least
         inside &= F.col(m) <= F.col("hi_" + m)
         if both:
             inside &= F.col(m) >= F.col("lo_" + m)
-    return extended(joined, {"kept": F.when(F.col("base_failed"), F.lit(False)).otherwise(inside)}).drop(*limits.columns)
+    return revealed(joined, names, *BASE, *MEASURES, F.when(F.col("base_failed"), F.lit(False)).otherwise(inside).alias("kept"))
 
 
 def _sql(fence: float = 3.0, least_rows: int = 30) -> str:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import extended, save, without
+from .store import extended, hidden, revealed, save, without
 
 #: Draws that a broadcast matrix may hold (16 bytes each); with more, the matrix is joined by a shuffle.
 BROADCAST_CELLS = 2_000_000
@@ -117,7 +117,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20240607, part_rows: in
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard), dealt out in blocks of ``block_rows`` slots."""
     if shards < 1 or part_rows < 1:
         raise ValueError("shards and part_rows must be 1 or more")
-    docs = without(docs, ["shard", "slot"])
+    plain = _plain(docs)
+    docs, names = hidden(without(docs, ["shard", "slot"]))
 
     def placed(df):
         row = F.col("_metadata.row_index")
@@ -126,7 +127,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20240607, part_rows: in
     def counted(df):
         return save(placed(df).groupBy("_part").agg(F.count(F.lit(1)).alias("rows")), "parts")
 
-    if not _plain(docs):
+    if not plain:
         docs = save(docs, "shard-input")
     counts = counted(docs)
     parts = counts.count()
@@ -141,9 +142,9 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20240607, part_rows: in
     rows = rows.select("*", F.col("_to.j").alias("shard"), F.expr("starts[_to.j] + _to.left").alias("_place"))
     rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", F.expr(permuted("_place", "sizes[shard]", f"xxhash64({seed + 1}L, shard)")).alias("slot"))
     if not exchange:
-        return rows
+        return revealed(rows, names, "shard", "slot")
     block = F.expr(f"slot div {block_rows}")
-    return rows.repartition(F.col("shard"), block).sortWithinPartitions("shard", "slot")
+    return revealed(rows.repartition(F.col("shard"), block).sortWithinPartitions("shard", "slot"), names, "shard", "slot")
 
 
 def _plain(docs: DataFrame) -> bool:

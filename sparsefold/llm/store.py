@@ -83,6 +83,17 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def hidden(df: DataFrame, keep=()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns, but those of ``keep``, under names that no operator uses, and the new name of each."""
+    names = {c: c if c in keep else f"_in{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def revealed(df: DataFrame, names: dict[str, str], *more) -> DataFrame:
+    """The columns that :func:`hidden` renamed under their own names, and ``more``."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()], *more)
+
+
 def words(text) -> F.Column:
     """Array of the words of ``text``; empty for null or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

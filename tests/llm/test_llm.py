@@ -821,3 +821,68 @@ def test_runs_do_not_share_state(spark, docs):
         with store.noted() as b:
             store.save(docs.limit(1), "t")
     assert len(a) == 2 and a[1:] == b and store._noted.get() == ()
+
+
+# --- columns named like internal ones
+
+
+def test_every_operator_takes_columns_of_internal_names(spark, docs):
+    """Each operator's own column names, and names it makes on the way, as extra columns of the input."""
+    names = {c for m in (chat, components, decontaminate, jaccard, licenses, mixing, quality, repeats, sharding, store, surrogates, token_counts) for c in re.findall(r"""["']([a-z_][a-z0-9_]*)["']""", open(m.__file__).read())}
+    names = sorted(names - {"doc_id", "text", "lang", "source", "n_chars"})
+    assert {"starts", "sizes", "sends", "last", "full", "quota", "p_s", "t_known", "hi_word_length", "n_lines", "_bad", "_in0"} <= {*names, "hi_word_length", "_in0"}
+    base = store.save(docs.limit(40).select("doc_id", "text", "lang", "source"), "base")
+    extra = store.save(base.select("*", *[F.lit("x").alias(n) for n in [*names, "hi_word_length", "_in0", "_in1", "_in2"]]), "extra")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    operators = {
+        "shard": (lambda d: sharding.shard(d, shards=4), ["shard", "slot"]),
+        "mix": (lambda d: mixing.mix(d, max_repeats=1.5), list(mixing.OUTPUT)),
+        "quality": (lambda d: quality.quality_rules(d), [*quality.BASE, *quality.MEASURES, "kept"]),
+        "decontaminate": (lambda d: decontaminate.decontaminate(d, bench), list(decontaminate.OUTPUT)),
+        "pseudonymise": (lambda d: surrogates.pseudonymise(d, b"k"), list(surrogates.OUTPUT)),
+        "tokens": (lambda d: token_counts.token_counts(d), ["n_tokens"]),
+        "jaccard": (lambda d: jaccard.jaccard_components(d, k=3, percent=90), ["component_id"]),
+        "licenses": (lambda d: licenses.scan(d), ["labels"]),
+        "repeats": (lambda d: repeats.remove_repeats(d), ["n_removed"]),
+    }
+    for name, (run, made) in operators.items():
+        want, got = run(base), run(extra)
+        assert len(set(got.columns)) == len(got.columns), name
+        columns = [c for c in want.columns if c != "slot" and c != "shard"]
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect())), name
+        if name in ("shard", "mix", "quality", "decontaminate", "pseudonymise"):
+            kept = [n for n in names if n not in {m.lower() for m in made}]
+            assert set(kept) <= set(got.columns) and got.where(" and ".join(f"`{n}` = 'x'" for n in kept)).count() == got.count(), name
+
+
+# --- initials, capitals and types of surrogates
+
+
+def test_initials_of_all_scripts_end_and_differ(spark):
+    """Each letter of each script as an initial: all get different ones, of their case, and none stays."""
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha() and re.fullmatch(r"[^\W\d_]", c)]
+    new = [surrogates.surrogate("initial", c, b"k", 0) for c in letters]
+    assert len(set(new)) == len(letters) and all(a != b for a, b in zip(letters, new))
+    assert sum(a.isupper() == b.isupper() for a, b in zip(letters, new)) == len(letters)
+    upper = [c for c in letters if c.isupper()]
+    rows = [(i, f"Mr. {a}. Novak met Mr {b}. Dvorak.") for i, (a, b) in enumerate(zip(upper, upper[1:] + upper[:1]))] + [(-1, "Mr Č. Novak met Mr Š. Dvorak.")]
+    with store.noted() as made:
+        table = surrogates.assign(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    initials = {r.value: r.new for r in table if r.kind == "initial"}
+    assert len(made) < 12 and set(upper) <= set(initials) and len(set(initials.values())) == len(initials)
+
+
+def test_one_person_in_any_capitals(spark):
+    text = "Mr. Peter NOVAK spoke. Novak left; NOVAK came back. Dr. Maria Kovač and Prof. Kovač agree, novak is a plant."
+    got = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first().text
+    shouted, quiet = re.search(r"Mr\. \w+ (\w+) spoke", got)[1], re.search(r"spoke\. (\w+) left", got)[1]
+    assert shouted == quiet.upper() and f"; {shouted} came" in got and quiet != "Novak"
+    a, b = re.search(r"Dr\. \w+ (\w+) and Prof\. (\w+) agree", got).groups()
+    assert a == b != "Kovač" and got.endswith("novak is a plant.")
+
+
+def test_surrogates_are_new_across_types(spark):
+    rows = [(i, f"Mr. {a}. {b} and Frau {b}") for i, (a, b) in enumerate((x, y + z) for x in "AB" for y in "BDFGHKLMN" for z in "aeiou")]
+    table = surrogates.assign(spark.createDataFrame(rows, "doc_id long, text string"), b"k").where("kind <> 'initial'").collect()
+    values, new = {r.value.lower() for r in table}, [r.new.lower() for r in table]
+    assert len(set(new)) == len(new) and not values & set(new)
