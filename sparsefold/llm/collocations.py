@@ -40,6 +40,7 @@ CHUNK = 1 << 20
 #: Slots of a sketch travel in blocks of so many.
 BLOCK = 1 << 16
 FAN_IN = 64
+SURVEY = ["kind", "key", "lang", "word", "n", "part", "slots", "counts"]
 _SPREAD = U(0x9FB21C651E98DF25)
 
 
@@ -79,33 +80,68 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U(64 - bits)).astype(np.int64)
 
 
-def _surveyed(bits: int):
-    """(lang, text) -> counts of words by chunk (kind 0), and the task's sketches of pairs and triples in blocks (kinds 2, 3)."""
-    names = ["kind", "key", "lang", "word", "n", "part", "slots", "counts"]
+class _Tally:
+    """Counts of a task's words; chunks are merged, and given out when they hold too many words."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.parts, self.held = most, [], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray, lang: pa.Array, word: pa.Array) -> pa.RecordBatch | None:
+        self.parts.append((key, n, lang, word))
+        self.held += len(key)
+        if self.held > self.most:
+            self._merge()
+            if self.held > self.most // 2:
+                return self.rows()
+        return None
+
+    def _merge(self) -> None:
+        key, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        own, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        lang, word = (pa.concat_arrays([p[i] for p in self.parts]).take(pa.array(at)) for i in (2, 3))
+        self.parts, self.held = [(own, np.bincount(inverse, n, len(own)).astype(np.int64), lang, word)], len(own)
+
+    def rows(self) -> pa.RecordBatch | None:
+        if not self.held:
+            return None
+        self._merge()
+        (key, n, lang, word), self.parts, self.held = self.parts[0], [], 0
+        none = pa.nulls(len(key), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), pa.array(key.view(np.int64)), lang, word, pa.array(n), pa.nulls(len(key), pa.int32()), none, none], names=SURVEY)
+
+
+def _spelt(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Spans of bytes as an Arrow column of strings."""
+    size = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    own = data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(own.tobytes()))
+
+
+def _surveyed(bits: dict[int, int]):
+    """(lang, text) -> counts of words (kind 0), and the task's sketches of pairs and triples in blocks (kinds 2, 3)."""
     types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches = {k: np.zeros(1 << b, np.uint32) for k, b in bits.items()}
+        sketches, tally = {k: np.zeros(1 << b, np.uint32) for k, b in bits.items()}, _Tally()
         for batch in batches:
             for langs, first, data, starts, ends, row, keys, joined in _words(batch):
                 key, at, n = np.unique(keys, return_index=True, return_counts=True)
-                raw = data.tobytes()
-                words = [raw[a:b].decode() for a, b in zip(starts[at], ends[at])]
-                own = [langs[first + r] for r in row[at]]
-                none = pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())
-                columns = [np.zeros(len(key), np.int32), key.view(np.int64), own, words, n, none[0], none[1], none[1]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                if (rows := tally.add(key, n, pa.array(langs, pa.string()).take(pa.array(first + row[at])), _spelt(data, starts[at], ends[at]))) is not None:
+                    yield rows
                 pair, triple, _ = _runs(keys)
                 for k, h, whole in ((2, pair, joined), (3, triple, joined & _ahead(joined, 1))):
                     slot, n = np.unique(_slots(h[whole], bits[k]), return_counts=True)
                     sketches[k][slot] += n.astype(np.uint32)
+        if (rows := tally.rows()) is not None:
+            yield rows
         rows = []
         for k, sketch in sketches.items():
             held = np.flatnonzero(sketch)
             for block in np.unique(held // BLOCK):
                 own = held[np.searchsorted(held, block * BLOCK) : np.searchsorted(held, (block + 1) * BLOCK)]
                 rows.append((k, int(block), None, None, None, TaskContext.get().partitionId(), (own % BLOCK).astype(np.uint16).tobytes(), sketch[own].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=SURVEY)
 
     return run
 
