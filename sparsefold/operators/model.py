@@ -7,6 +7,7 @@ live in ``assign`` only, so results per cell or cluster start from there.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -122,27 +123,26 @@ class Partition:
 
 
 def urn_weights(n: int, seed: int) -> list[float]:
-    """Weights of clusters in the limit of an urn that adds to each in proportion to its size: exponential draws."""
-    return [-math.log((int.from_bytes(hashlib.sha256(f"{seed}|{k}".encode()).digest()[:6], "big") + 0.5) / (1 << 48)) for k in range(n)]
+    """Weights of clusters in the limit of an urn that adds to each in proportion to its size + 1/2, from seeds of one cell: Gamma(3/2) draws.
+
+    A draw is an exponential one and half a squared normal one; uniform numbers are those of :func:`uniform`.
+    """
+    def u(purpose, k):
+        return int(hashlib.md5(f"{seed}|{purpose}|{k}".encode()).hexdigest()[:13], 16) / (1 << 52) + 2.0**-53
+
+    return [-math.log(u("urn1", k)) - math.log(u("urn2", k)) * math.cos(2 * math.pi * u("urn3", k)) ** 2 for k in range(n)]
 
 
-def _alias(weights: list[float]) -> tuple[list[float], list[int]]:
-    """For a draw in constant time: each of n equal slots keeps its own number up to a share, and gives another beyond it."""
-    n, total = len(weights), sum(weights)
-    scaled = [w * n / total for w in weights]
-    keep, other = [1.0] * n, list(range(n))
-    low, high = [i for i, s in enumerate(scaled) if s < 1], [i for i, s in enumerate(scaled) if s >= 1]
-    while low and high:
-        i, j = low.pop(), high[-1]
-        keep[i], other[i] = scaled[i], j
-        scaled[j] -= 1 - scaled[i]
-        if scaled[j] < 1:
-            low.append(high.pop())
-    return keep, other
+def drawn(weights: list[float], u) -> F.Column:
+    """The place whose run of the added weights holds the uniform number ``u``, by binary search."""
+    upto = list(itertools.accumulate(weights))
+    runs, at = F.array(*map(F.lit, upto)), u * F.lit(upto[-1])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(weights).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, s: F.when((low + s < len(weights)) & (F.element_at(runs, F.least(low + s, F.lit(len(weights)))) <= at), low + s).otherwise(low))
 
 
 def initial(counts: DataFrame, cells: DataFrame, init: str = "singletons", n_clusters: int = 1, seed: int = 0) -> Partition:
-    """``singletons``, ``one_cluster``, ``random``, or ``random_online``: seeds, then cells in batches that double, in proportion to size + 1/2."""
+    """``singletons``, ``one_cluster``, ``random``, or ``random_online``: seeds, then each cell in proportion to size + 1/2 at its turn."""
     cells = cells.select("cell_id")
     if init == "singletons":
         return Partition(counts, cells.withColumn("cluster_id", F.col("cell_id"))).relabelled()
@@ -152,12 +152,8 @@ def initial(counts: DataFrame, cells: DataFrame, init: str = "singletons", n_clu
     if init == "random":
         return Partition(counts, cells.withColumn("cluster_id", F.floor(u(1) * n_clusters).cast("long")))
     if init == "random_online":
-        # cells choose by the weights of the urn's limit, and n_clusters seeds keep each cluster alive
-        keep, other = _alias(urn_weights(n_clusters, seed))
-        at = u(2) * n_clusters
-        slot = (F.floor(at) + 1).cast("int")
-        keep, other = (F.element_at(F.array(*map(F.lit, x)), slot) for x in (keep, other))
-        choice = F.when(at - F.floor(at) < keep, slot - 1).otherwise(other)
+        # given the weights of its limit, the draws of an urn are independent; n_clusters seeds keep each cluster alive
+        choice = drawn(urn_weights(n_clusters, seed), u(2))
         seeds = cells.orderBy(u(3), "cell_id").limit(n_clusters)
         seeds = seeds.withColumn("s", F.row_number().over(Window.orderBy(u(3), "cell_id")) - 1)
         return Partition(counts, cells.join(seeds, "cell_id", "left").select("cell_id", F.coalesce("s", choice).cast("long").alias("cluster_id")))

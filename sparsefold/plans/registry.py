@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import likelihood as L
-from ..operators import communities, metrics, prior, ranking, selection
+from ..operators import batches, communities, metrics, prior, ranking, selection
 from ..operators import proposals as R
-from ..operators.model import Partition, _alias, cell_totals, gene_totals, initial, urn_weights
+from ..operators.model import Partition, cell_totals, gene_totals, initial
 from ..functions.special import rank01
 from ..sources import tables
 from ..sources.shared import saved
@@ -61,14 +63,34 @@ def _written(state: Partition) -> Partition:
 
 
 class _Given:
-    """The tables that scorers share, written once per query."""
+    """The tables that scorers share, each written when it is first asked for."""
 
     def __init__(self, state: Partition, tau: float = TAU):
-        self.state = state = _written(state)
-        self.prior = saved(prior.make_prior(state.counts, state.counts.select("gene_id").distinct(), tau))
-        self.psi0 = L.psi0_of(self.prior)
-        self.cg, self.cs = saved(state.cluster_gene), saved(state.cluster_stat)
-        self.totals = cell_totals(state.counts, state.assign)
+        self._source, self.tau = state, tau
+
+    @cached_property
+    def state(self) -> Partition:
+        return _written(self._source)
+
+    @cached_property
+    def prior(self) -> DataFrame:
+        return saved(prior.make_prior(self.state.counts, self.state.counts.select("gene_id").distinct(), self.tau))
+
+    @cached_property
+    def psi0(self) -> float:
+        return L.psi0_of(self.prior)
+
+    @cached_property
+    def cg(self) -> DataFrame:
+        return saved(self.state.cluster_gene)
+
+    @cached_property
+    def cs(self) -> DataFrame:
+        return saved(self.state.cluster_stat)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return cell_totals(self.state.counts, self.state.assign)
 
     @property
     def model(self):
@@ -742,6 +764,81 @@ def merge_closure_labels(spark, sf_dir):
     return merge_closure(g.state, g.prior, g.psi0).assign
 
 
+#: A batch over users: weights of the families, draws, seed.
+_W, _N, _S = batches.WEIGHTS["staged"]["refine"], 400, 11
+_UPTO = [sum(w / sum(_W) for w in _W[: i + 1]) for i in range(len(_W))]
+_KIND = "CASE " + " ".join(f"WHEN {_u('family', 'draw', seed=_S)} < {u!r} THEN '{k}'" for k, u in zip(batches.FAMILIES, _UPTO)) + f" ELSE '{batches.FAMILIES[-1]}' END"
+_DRAWS_SQL = f""", drawn AS (SELECT range AS draw FROM range({_N})), fam AS (SELECT draw, {_KIND} AS kind, {_u('mix', 'draw', seed=_S)} < 0.2 AS uniform FROM drawn)"""
+_SOURCES_SQL = f""", big AS (SELECT f.least, cluster_id, n_cells, row_number() OVER (PARTITION BY f.least ORDER BY cluster_id) - 1 AS pos, count(*) OVER (PARTITION BY f.least) AS m FROM cs, (VALUES (2), (3)) f(least) WHERE n_cells >= f.least),
+sourced AS (SELECT draw, kind, uniform, cluster_id AS source, CASE WHEN kind LIKE 'block%' THEN 2 + CAST(floor({_u('size', 'draw', seed=_S)} * (least(12, n_cells - 1) - 1)) AS INTEGER) ELSE 1 END AS k
+ FROM fam JOIN big ON least = CASE WHEN kind LIKE 'block%' THEN 3 ELSE 2 END AND pos = floor({_u('source', 'draw', seed=_S)} * m) WHERE kind <> 'merge'),
+reps AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw) AS rep FROM sourced),
+member AS (SELECT draw, cell_id, k, row_number() OVER (PARTITION BY draw ORDER BY {_u('member', 'source', 'rep', 'cell_id', seed=_S)}, cell_id) AS r FROM reps JOIN assign ON cluster_id = source),
+held AS (SELECT draw, list(cell_id ORDER BY cell_id) AS cells FROM member WHERE r <= k GROUP BY draw)"""
+
+
+@_query(f"{_DRAWS_SQL} SELECT kind, uniform, count(*) AS n FROM fam GROUP BY 1, 2", "events")
+def proposal_families(spark, sf_dir):
+    """How a batch is split over families and over uniform and guided draws."""
+    return batches.families(spark, _N, _W, 0.2, _S).groupBy("kind", "uniform").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"{_DRAWS_SQL}{_SOURCES_SQL} SELECT draw, kind, source, CAST(k AS BIGINT) AS k, array_to_string(cells, ',') AS cells FROM reps JOIN held USING (draw)", "events")
+def uniform_block_members(spark, sf_dir):
+    """Random members, and proper subsets of 2 to 12 of them, of the clusters of users."""
+    s = _written(tables.user_events(spark, sf_dir))
+    sourced = saved(batches.drawn_sources(batches.families(spark, _N, _W, 0.2, _S).where("kind <> 'merge'"), s.cluster_stat, _S))
+    got = sourced.join(batches.uniform_members(sourced, s.assign, _S), "draw")
+    return got.select("draw", "kind", "source", F.col("k").cast("long").alias("k"), F.concat_ws(",", F.col("cells").cast("array<string>")).alias("cells"))
+
+
+@_query(f"""{_DRAWS_SQL}{_SOURCES_SQL}, place AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS pos, count(*) OVER () AS n FROM cs),
+pair AS (SELECT draw, i, (i + 1 + CAST(floor({_u('b', 'draw', seed=_S)} * (n - 1)) AS BIGINT)) % n AS j FROM (SELECT draw, n, CAST(floor({_u('a', 'draw', seed=_S)} * n) AS BIGINT) AS i FROM fam, (SELECT count(*) AS n FROM cs) WHERE kind = 'merge')),
+goal AS (SELECT draw, t.cluster_id AS target FROM reps JOIN place a ON a.cluster_id = source JOIN place t ON t.pos = (a.pos + 1 + CAST(floor({_u('target', 'draw', seed=_S)} * (a.n - 1)) AS BIGINT)) % a.n WHERE kind IN ('move', 'block_move')),
+every AS (SELECT draw AS seq, 'merge' AS kind, least(x.cluster_id, y.cluster_id) AS source, greatest(x.cluster_id, y.cluster_id) AS target, [] AS cells FROM pair JOIN place x ON x.pos = i JOIN place y ON y.pos = j
+ UNION ALL SELECT draw, kind, source, target, cells FROM reps JOIN held USING (draw) LEFT JOIN goal USING (draw)),
+once AS (SELECT *, row_number() OVER (PARTITION BY kind, source, target, cells ORDER BY seq) AS r FROM every)
+SELECT seq, kind, source, target, array_to_string(cells, ',') AS cells FROM once WHERE r = 1 ORDER BY {_u('cap', 'seq', seed=_S)}, seq LIMIT 150""", "events")
+def uniform_batch(spark, sf_dir):
+    """A capped batch of uniform proposals of all families over users; the cap is the sampler's."""
+    s = _written(tables.user_events(spark, sf_dir))
+    cg, cs = saved(s.cluster_gene), saved(s.cluster_stat)
+    rows = batches.sample(s, cg, cs, _N, _W, 1.0, None, _S)
+    return batches.capped(rows, 150, _S).select("seq", "kind", "source", "target", F.concat_ws(",", F.col("cells").cast("array<string>")).alias("cells"))
+
+
+@_query(""", removal AS (SELECT c.cell_id, c.cluster_id AS source, c.total AS n, s.n_cells, any_value(lgamma(s.total + psi0) - lgamma(s.total - c.total + psi0)) + coalesce(sum(lgamma(g.cnt - x.cnt + psi) - lgamma(g.cnt + psi)), 0) AS removed
+ FROM cells c JOIN cs s USING (cluster_id) CROSS JOIN z LEFT JOIN counts x ON x.cell_id = c.cell_id LEFT JOIN cg g ON g.cluster_id = c.cluster_id AND g.gene_id = x.gene_id LEFT JOIN prior p ON p.gene_id = x.gene_id GROUP BY ALL),
+goals AS (SELECT r.*, t.cluster_id AS target, t.total AS n_t FROM removal r JOIN cs t ON t.cluster_id <> r.source UNION ALL SELECT r.*, -1 - cell_id, 0 FROM removal r WHERE n_cells > 1),
+gains AS (SELECT o.cell_id, source, target, n, any_value(removed + lgamma(n_t + psi0) - lgamma(n_t + n + psi0)) + coalesce(sum(lgamma(coalesce(g.cnt, 0) + x.cnt + psi) - lgamma(coalesce(g.cnt, 0) + psi)), 0) AS delta
+ FROM goals o CROSS JOIN z LEFT JOIN counts x ON x.cell_id = o.cell_id LEFT JOIN cg g ON g.cluster_id = o.target AND g.gene_id = x.gene_id LEFT JOIN prior p ON p.gene_id = x.gene_id GROUP BY o.cell_id, source, target, n),
+best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY round(delta, 9) DESC, target) = 1 AND delta > 1e-9),
+events_of AS (SELECT cell_id, delta, n, source AS cluster_id, -1 AS sign FROM best UNION ALL SELECT cell_id, delta, n, target, 1 FROM best),
+run AS (SELECT e.cell_id, e.cluster_id, x.gene_id, sign * x.cnt AS x, coalesce(sum(sign * x.cnt) OVER (PARTITION BY e.cluster_id, x.gene_id ORDER BY delta DESC, e.cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events_of e JOIN counts x ON x.cell_id = e.cell_id),
+body AS (SELECT cell_id, sum(lgamma(coalesce(g.cnt, 0) + b + x + psi) - lgamma(coalesce(g.cnt, 0) + b + psi)) AS body FROM run LEFT JOIN cg g USING (cluster_id, gene_id) JOIN prior USING (gene_id) GROUP BY cell_id),
+tot AS (SELECT cell_id, cluster_id, sign * n AS x, coalesce(sum(sign * n) OVER (PARTITION BY cluster_id ORDER BY delta DESC, cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events_of),
+head AS (SELECT cell_id, sum(lgamma(coalesce(s.total, 0) + b + psi0) - lgamma(coalesce(s.total, 0) + b + x + psi0)) AS head FROM tot LEFT JOIN cs s USING (cluster_id), z GROUP BY cell_id)
+SELECT cell_id, source, target, round(delta, 4) AS delta, round(head + coalesce(body, 0), 4) AS rescored FROM best JOIN head USING (cell_id) LEFT JOIN body USING (cell_id)""", "events")
+def sweep_rescored_moves(spark, sf_dir):
+    """The best move of each user, and its gain once all better ones are made."""
+    from . import sweeps
+
+    g = _Given(tables.user_events(spark, sf_dir))
+    best = saved(sweeps.best_cell_moves(g.state, *g.model))
+    return sweeps.rescored(best, g.state.counts, *g.model).select("cell_id", "source", "target", _r("delta").alias("delta"), _r("rescored").alias("rescored"))
+
+
+@_query("""SELECT cluster_a, cluster_b, round(lgamma(a.total + psi0) + lgamma(b.total + psi0) - lgamma(psi0) - lgamma(a.total + b.total + psi0) + body, 4) AS delta FROM
+ (SELECT g.cluster_id AS cluster_a, h.cluster_id AS cluster_b, sum(lgamma(g.cnt + h.cnt + psi) + lgamma(psi) - lgamma(g.cnt + psi) - lgamma(h.cnt + psi)) AS body FROM cg g JOIN cg h ON g.gene_id = h.gene_id AND g.cluster_id < h.cluster_id JOIN prior p ON p.gene_id = g.gene_id GROUP BY 1, 2)
+ JOIN cs a ON a.cluster_id = cluster_a JOIN cs b ON b.cluster_id = cluster_b, z""")
+def merge_scores_of_sharing_pairs(spark, sf_dir):
+    """Gains of all merges of nations that share a brand, without a join of all pairs."""
+    from . import sweeps
+
+    g = _supplier(spark, sf_dir)
+    return sweeps.shared_merge_deltas(*g.model).select("cluster_a", "cluster_b", _r("delta").alias("delta"))
+
+
 @_query(None)
 def fit_labels(spark, sf_dir):
     """The search over users, from their groups until no round gains; tests hold it against invariants."""
@@ -751,13 +848,11 @@ def fit_labels(spark, sf_dir):
     return fit(s.counts, s.assign.select("cell_id"), TAU, init=s.assign).labels
 
 
-_KEEP, _OTHER = _alias(urn_weights(8, 3))
-
-
-@_query(f"""SELECT 'singletons' AS init, cell_id, dense_rank() OVER (ORDER BY cell_id) - 1 AS cluster_id FROM assign UNION ALL SELECT 'one_cluster', cell_id, 0 FROM assign
+@_query(f""", urn AS (SELECT k, sum(-ln({_u("urn1", "k", seed=3)} + 1.1102230246251565e-16) - ln({_u("urn2", "k", seed=3)} + 1.1102230246251565e-16) * pow(cos(2 * pi() * ({_u("urn3", "k", seed=3)} + 1.1102230246251565e-16)), 2)) OVER (ORDER BY k) AS upto FROM range(8) r(k)),
+ordered AS (SELECT cell_id, row_number() OVER (ORDER BY {_u("init3", "cell_id", seed=3)}, cell_id) AS r, {_u("init2", "cell_id", seed=3)} * (SELECT max(upto) FROM urn) AS v FROM assign)
+SELECT 'singletons' AS init, cell_id, dense_rank() OVER (ORDER BY cell_id) - 1 AS cluster_id FROM assign UNION ALL SELECT 'one_cluster', cell_id, 0 FROM assign
 UNION ALL SELECT 'random', cell_id, CAST(floor({_u("init1", "cell_id", seed=3)} * 8) AS BIGINT) FROM assign
-UNION ALL SELECT 'random_online', cell_id, CASE WHEN r <= 8 THEN r - 1 WHEN v - floor(v) < ({_KEEP})[CAST(floor(v) AS INTEGER) + 1] THEN CAST(floor(v) AS BIGINT) ELSE ({_OTHER})[CAST(floor(v) AS INTEGER) + 1] END
-FROM (SELECT cell_id, row_number() OVER (ORDER BY {_u("init3", "cell_id", seed=3)}, cell_id) AS r, {_u("init2", "cell_id", seed=3)} * 8 AS v FROM assign)""", "events")
+UNION ALL SELECT 'random_online', cell_id, CASE WHEN r <= 8 THEN r - 1 ELSE least(7, (SELECT count(*) FROM urn WHERE upto <= v)) END FROM ordered""", "events")
 def initial_partitions(spark, sf_dir):
     """Every deterministic or seeded start over users, by name."""
     s = tables.user_events(spark, sf_dir)

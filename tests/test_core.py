@@ -14,6 +14,7 @@ from sparsefold.operators import metrics, selection
 from sparsefold.operators import prior as P
 from sparsefold.operators import proposals as R
 from sparsefold.operators.model import Partition, cell_totals, initial, normalise_counts, numbered, urn_weights
+from sparsefold.plans import sweeps
 from sparsefold.plans import registry, search
 from sparsefold.sources import files
 
@@ -170,16 +171,13 @@ def test_best_move_among_many_clusters(spark):
     z = [*range(70), 5]
     s = made(spark, m, z)
     prior, psi0 = flat(spark, 71, 0.5), 35.5
-    moves = search.cell_moves(s, s.cluster_gene, s.cluster_stat, prior, psi0).where("id = 'move-70'").collect()
+    moves = sweeps.best_cell_moves(s, s.cluster_gene, s.cluster_stat, prior, psi0).where("cell_id = 70").collect()
     assert [r.target for r in moves] == [69]
     assert moves[0].delta == pytest.approx(ll(m, [*range(70), 69], 0.5) - ll(m, z, 0.5))
 
 
-def test_ranked_moves_without_gain_are_no_end(spark, monkeypatch):
-    """Cells of no shared gene rank no targets; merging them all still gains under a strong prior."""
-    monkeypatch.setattr(search, "EXHAUSTIVE", 1)
-    monkeypatch.setattr(search, "merge_moves", lambda *a, f=search.merge_moves: f(*a) if a[-1] is None else f(*a).where("false"))
-    monkeypatch.setattr(search, "cell_moves", lambda *a, f=search.cell_moves: f(*a).where("false"))
+def test_merging_all_is_found(spark):
+    """Two equal cells: merging them gains under a strong prior."""
     s = made(spark, np.array([[9, 1], [9, 1]]))
     got = search.fit(s.counts, s.assign, 2.0, init="singletons")
     assert got.labels.select("cluster_id").distinct().count() == 1
