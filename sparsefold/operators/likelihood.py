@@ -27,14 +27,14 @@ def few(df: DataFrame) -> DataFrame:
 
 def _head(total, psi0: float):
     """ln Gamma(psi0) - ln Gamma(total + psi0), exactly 0 for a total of 0."""
-    z = F.lit(float(psi0))
-    return F.when(total == 0, 0.0).otherwise(lgamma(z) - lgamma(total + z))
+    z = f"{float(psi0)!r}D"
+    return F.when(F.col(total) == 0, 0.0).otherwise(lgamma(z) - lgamma(f"{total} + {z}"))
 
 
 def grouped_ll(rows: DataFrame, keys: DataFrame, key: str, prior: DataFrame, psi0: float) -> DataFrame:
     """Likelihood of each summed count vector; ``keys`` (key, total) keeps those without counts, whose likelihood is 0."""
-    body = rows.join(prior, "gene_id").groupBy(key).agg(F.sum(gain(F.col("cnt"), F.col("psi"))).alias("body"))
-    return keys.join(body, key, "left").withColumn("ll", _head(F.col("total"), psi0) + F.coalesce("body", F.lit(0.0))).drop("body")
+    body = rows.join(prior, "gene_id").groupBy(key).agg(F.sum(gain("cnt", "psi")).alias("body"))
+    return keys.join(body, key, "left").withColumn("ll", _head("total", psi0) + F.coalesce("body", F.lit(0.0))).drop("body")
 
 
 def cluster_ll(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFrame, psi0: float) -> DataFrame:
@@ -73,10 +73,10 @@ def merge_deltas(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFr
         met = g.join(h, (g["gene_id"] == h["gene_id"]) & (F.col("cluster_a") < F.col("cluster_b"))).drop(h["gene_id"])
     else:
         met = keys.select("cluster_a", "cluster_b").join(g, "cluster_a").join(h, ["gene_id", "cluster_b"])
-    term = gain(F.col("c_a") + F.col("c_b"), F.col("psi")) - gain(F.col("c_a"), F.col("psi")) - gain(F.col("c_b"), F.col("psi"))
+    term = gain("c_a + c_b", "psi") - gain("c_a", "psi") - gain("c_b", "psi")
     body = met.join(prior, "gene_id").groupBy("cluster_a", "cluster_b").agg(F.sum(term).alias("body"))
-    z = F.lit(float(psi0))
-    head = lgamma(F.col("n_a") + z) + lgamma(F.col("n_b") + z) - lgamma(z) - lgamma(F.col("n_a") + F.col("n_b") + z)
+    z = f"{float(psi0)!r}D"
+    head = lgamma(f"n_a + {z}") + lgamma(f"n_b + {z}") - lgamma(z) - lgamma(f"n_a + n_b + {z}")
     return keys.join(body, ["cluster_a", "cluster_b"], "left").select("cluster_a", "cluster_b", (head + F.coalesce("body", F.lit(0.0))).alias("delta"))
 
 
@@ -87,27 +87,27 @@ def remove_deltas(blocks: DataFrame, sources: DataFrame, cluster_gene: DataFrame
     """
     at = cluster_gene.select(F.col("cluster_id").alias("source"), "gene_id", F.col("cnt").alias("c"))
     met = blocks.join(sources.select("block_id", "source"), "block_id").join(at, ["source", "gene_id"], "left").join(prior, "gene_id")
-    c, x, psi = F.coalesce("c", F.lit(0)), F.col("cnt"), F.col("psi")
+    c, x = F.coalesce("c", F.lit(0)), F.col("cnt")
     left = F.when(c < x, F.raise_error(F.lit("a block holds more than its source"))).otherwise(c - x)
-    body = met.groupBy("block_id").agg(F.sum(gain(left, psi) - gain(c, psi)).alias("body"), F.sum(gain(x, psi)).alias("own_body"))
+    met = met.withColumns({"_c": c, "_left": left})
+    body = met.groupBy("block_id").agg(F.sum(gain("_left", "psi") - gain("_c", "psi")).alias("body"), F.sum(gain("cnt", "psi")).alias("own_body"))
     n_s = cluster_stat.select(F.col("cluster_id").alias("source"), F.col("total").alias("n_source"))
-    z = F.lit(float(psi0))
+    z = f"{float(psi0)!r}D"
     out = sources.join(n_s, "source").join(body, "block_id", "left")
-    removed = lgamma(F.col("n_source") + z) - lgamma(F.col("n_source") - F.col("n") + z) + F.coalesce("body", F.lit(0.0))
-    return out.select("block_id", "source", "n", removed.alias("removed"), (_head(F.col("n"), psi0) + F.coalesce("own_body", F.lit(0.0))).alias("own"))
+    removed = lgamma(f"n_source + {z}") - lgamma(f"n_source - n + {z}") + F.coalesce("body", F.lit(0.0))
+    return out.select("block_id", "source", "n", removed.alias("removed"), (_head("n", psi0) + F.coalesce("own_body", F.lit(0.0))).alias("own"))
 
 
 def add_deltas(blocks: DataFrame, pairs: DataFrame, cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFrame, psi0: float) -> DataFrame:
     """pairs (block_id, target, n) -> (block_id, target, added): the change in each target."""
     at = cluster_gene.select(F.col("cluster_id").alias("target"), "gene_id", F.col("cnt").alias("c"))
-    x, c, psi = F.col("cnt"), F.col("c"), F.col("psi")
-    own = blocks.join(prior, "gene_id").groupBy("block_id").agg(F.sum(gain(x, psi)).alias("own_body"))
+    own = blocks.join(prior, "gene_id").groupBy("block_id").agg(F.sum(gain("cnt", "psi")).alias("own_body"))
     shared = blocks.join(at, "gene_id").join(pairs.select("block_id", "target"), ["block_id", "target"], "left_semi").join(prior, "gene_id")
-    shared = shared.groupBy("block_id", "target").agg(F.sum(gain(c + x, psi) - gain(c, psi) - gain(x, psi)).alias("body"))
+    shared = shared.groupBy("block_id", "target").agg(F.sum(gain("c + cnt", "psi") - gain("c", "psi") - gain("cnt", "psi")).alias("body"))
     n_t = cluster_stat.select(F.col("cluster_id").alias("target"), F.col("total").alias("n_target"))
-    z = F.lit(float(psi0))
+    z = f"{float(psi0)!r}D"
     out = pairs.join(n_t, "target").join(own, "block_id", "left").join(shared, ["block_id", "target"], "left")
-    added = lgamma(F.col("n_target") + z) - lgamma(F.col("n_target") + F.col("n") + z) + F.coalesce("own_body", F.lit(0.0)) + F.coalesce("body", F.lit(0.0))
+    added = lgamma(f"n_target + {z}") - lgamma(f"n_target + n + {z}") + F.coalesce("own_body", F.lit(0.0)) + F.coalesce("body", F.lit(0.0))
     return out.select("block_id", "target", added.alias("added"))
 
 

@@ -45,3 +45,15 @@ def aligned_labels(target: DataFrame, source: DataFrame) -> DataFrame:
     if target.join(source, "cell_id", "left_anti").limit(1).count():
         raise ValueError("a cell of the target has no label")
     return target.join(source, "cell_id").select("position", "cell_id", "label")
+
+
+def timing_totals(history: DataFrame) -> DataFrame:
+    """history (round, timing_s MAP of phase to seconds) -> (phase, seconds) over all rounds."""
+    return history.select(F.explode("timing_s").alias("phase", "s")).groupBy("phase").agg(F.sum("s").alias("seconds"))
+
+
+def run_means(runs: DataFrame) -> DataFrame:
+    """runs (method, status, elapsed_s, ari_vs_truth, n_clusters, log_likelihood) -> completed runs of each method and their means; null where none was completed."""
+    done = F.col("status") == "completed"
+    means = [F.avg(F.when(done, F.col(c))).alias(f"mean_{c}") for c in ("elapsed_s", "ari_vs_truth", "n_clusters", "log_likelihood")]
+    return runs.groupBy("method").agg(F.count_if(done).alias("n_runs"), *means)

@@ -364,6 +364,30 @@ def community_moves(spark, sf_dir):
     return communities.local_moves(saved(ranking.overlap_graph(s.counts)), s.assign, 0.5, 0)
 
 
+_GRID = communities.resolution_grid(51)
+
+
+@_query(_with(GRAPH_SQL, f""", grid AS (SELECT i, r, (SELECT max(cell_id) + 1 FROM assign) AS apart FROM (VALUES {", ".join(f"({i}, {r!r}::DOUBLE)" for i, r in enumerate(_GRID))}) g(i, r)),
+lab AS (SELECT i, r, cell_id + i * apart AS cell_id, cluster_id + i * apart AS cluster_id FROM assign, grid), ed AS (SELECT src + i * apart AS src, dst + i * apart AS dst, w FROM edges, grid),
+sz AS (SELECT cluster_id, count(*) AS n FROM lab GROUP BY 1),
+mine AS (SELECT i, r, cell_id, cluster_id, n FROM lab JOIN sz USING (cluster_id) WHERE floor({_u("half", "cell_id")} * 2) = 0),
+wt AS (SELECT src AS cell_id, cluster_id AS target, sum(w) AS w FROM ed JOIN lab ON cell_id = dst GROUP BY 1, 2),
+own AS (SELECT m.*, coalesce(w, 0) AS held FROM mine m LEFT JOIN wt ON wt.cell_id = m.cell_id AND target = cluster_id),
+gn AS (SELECT cell_id, target, round(w - held + r * (o.n - 1 - sz.n), 7) AS gain FROM wt JOIN own o USING (cell_id) JOIN sz ON sz.cluster_id = target WHERE target <> o.cluster_id
+UNION ALL SELECT cell_id, 1000000000 + cell_id, round(r * (n - 1) - held, 7) FROM own WHERE n > 1),
+bt AS (SELECT cell_id, min_by(target, (-gain, target)) AS target FROM gn WHERE gain > 0 GROUP BY 1)
+SELECT round(r, 6) AS resolution, count(target) AS n_moved, count(DISTINCT coalesce(target, cluster_id)) AS n_communities FROM lab LEFT JOIN bt USING (cell_id) GROUP BY 1""", "documents"), None)
+def community_grid_moves(spark, sf_dir):
+    """Half an update of the local moves at every resolution of the grid, from sources: cells moved and communities left."""
+    s = _written(tables.document_words(spark, sf_dir))
+    edges, _, at, apart = communities.over_grid(ranking.overlap_graph(s.counts), s.assign, _GRID)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(_GRID) - 1).cast("long"))).alias("i")
+    labels = saved(s.assign.select("cell_id", "cluster_id", copies).select((F.col("cell_id") + F.col("i") * apart).alias("cell_id"), (F.col("cluster_id") + F.col("i") * apart).alias("cluster_id")))
+    moved = communities.local_moves(saved(edges), labels, at, 0).withColumnRenamed("cluster_id", "new")
+    both = moved.join(labels, "cell_id").withColumn("resolution", _r(at, 6))
+    return both.groupBy("resolution").agg(F.count(F.when(F.col("new") != F.col("cluster_id"), 1)).alias("n_moved"), F.count_distinct("new").alias("n_communities"))
+
+
 def _labels(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents")
     a = docs.select(F.col("doc_id").alias("cell_id"), F.col("source").alias("cluster_id"))
@@ -625,12 +649,20 @@ def small_cluster_merges(spark, sf_dir):
     return L.merge_deltas(*g.model, saved(selection.small_cluster_pairs(g.cs, ranking.merge_neighbours(g.cg), 10))).withColumn("delta", _r("delta", 3))
 
 
-@_query(None)
+@_query(f"""WITH RECURSIVE {tables.USER_EVENTS_SQL}{BASE_SQL},
+step(k, lo, hi, g, ll) AS (SELECT 0, ln((SELECT psi0 FROM z) / 1000), ln((SELECT psi0 FROM z) * 1000), 0::DOUBLE, '-inf'::DOUBLE UNION ALL
+ (WITH grid AS (SELECT k, lo, hi, s.g AS g0, s.ll AS ll0, i, lo + (hi - lo) * i / 16 AS g FROM step s, range(17) r(i) WHERE k < 9),
+ scaled AS (SELECT *, exp(g) / psi0 AS f, psi0 FROM grid, z),
+ body AS (SELECT i, sum(lgamma(cnt + psi * f) - lgamma(psi * f)) AS b FROM scaled, cg JOIN prior USING (gene_id) GROUP BY i),
+ head AS (SELECT i, sum(lgamma(psi0 * f) - lgamma(total + psi0 * f)) AS h FROM scaled, cs GROUP BY i),
+ best AS (SELECT k, lo, hi, g0, ll0, arg_max(i, b + h) AS i, arg_max(g, b + h) AS g, max(b + h) AS ll FROM scaled JOIN body USING (i) JOIN head USING (i) GROUP BY ALL)
+ SELECT k + 1, lo + (hi - lo) * greatest(i - 1, 0) / 16, lo + (hi - lo) * least(i + 1, 16) / 16, CASE WHEN ll > ll0 THEN g ELSE g0 END, greatest(ll, ll0) FROM best))
+SELECT round(exp(g), 2) AS tau, round(ll, 4) AS ll FROM step WHERE k = 9""", None)
 def optimised_tau(spark, sf_dir):
-    """The strength of the prior at which users in their groups are likeliest; a test holds it against a dense grid."""
+    """The strength of the prior at which users in their groups are likeliest, to the digits that a flat top leaves certain."""
     g = _Given(tables.user_events(spark, sf_dir))
     tau, ll = prior.optimise_tau(g.state, g.prior, g.psi0)
-    return spark.createDataFrame([(round(tau, 4), round(ll, 4))], "tau double, ll double")
+    return spark.createDataFrame([(round(tau, 2), round(ll, 4))], "tau double, ll double")
 
 
 LOO_SQL = """,

@@ -1,4 +1,4 @@
-"""Readers and writers of count files. Text formats are read by Spark; NumPy archives by the driver, as they are one file each."""
+"""Readers and writers of count files. Texts and NumPy archives are read by tasks, each its own part; archives and .npy labels are written by the driver, as they are one file each."""
 
 from __future__ import annotations
 
@@ -6,18 +6,13 @@ import json
 import os
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.model import normalise_counts
+from ..operators.model import normalise_counts, numbered
+from . import archives
 
-COUNTS = "cell_id long, gene_id int, cnt double"
-
-
-def _frame(spark: SparkSession, rows, cols, values) -> DataFrame:
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({"cell_id": np.asarray(rows, np.int64), "gene_id": np.asarray(cols, np.int32), "cnt": np.asarray(values, np.float64)}), COUNTS)
+COUNTS = archives.COUNTS
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -25,18 +20,11 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     low = path.lower()
     if low.endswith(".parquet"):
         rows = spark.read.parquet(path).select("cell_id", "gene_id", "cnt")
-    elif low.endswith(".npz"):
-        with np.load(path) as z:
-            indptr = z["indptr"]
-            rows = _frame(spark, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr)), z["indices"], z["data"])
+    elif low.endswith((".npz", ".npy")):
+        archives.register(spark)
+        rows = spark.read.format("csr_archive" if low.endswith(".npz") else "dense_array").option("path", path).load()
     elif low.endswith((".mtx", ".mtx.gz")):
         rows = read_matrix_market(spark, path)
-    elif low.endswith(".npy"):
-        dense = np.load(path)
-        if dense.ndim != 2:
-            raise ValueError("a dense count matrix has two dimensions")
-        r, c = np.nonzero(dense)
-        rows = _frame(spark, r, c, dense[r, c])
     elif low.endswith((".tsv", ".tsv.gz")):
         raise ValueError("convert TSV files first: python -m sparsefold.cli convert")
     else:
@@ -44,6 +32,27 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return normalise_counts(rows)
 
 
+def read_shape(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Cells and genes of a count file, with those that have no counts: from its header, or of a table the largest numbers."""
+    low = path.lower()
+    if low.endswith(".npz"):
+        n_cells = archives.member_shape(path, "indptr")[0] - 1
+        with np.load(path) as z:
+            return (int(z["shape"][0]), int(z["shape"][1])) if "shape" in z.files else (n_cells, _above(read_counts(spark, path), "gene_id"))
+    if low.endswith(".npy"):
+        return tuple(map(int, np.load(path, mmap_mode="r").shape))
+    if low.endswith((".mtx", ".mtx.gz")):
+        size = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "")).limit(1).first()[0].split()
+        return int(size[0]), int(size[1])
+    counts = read_counts(spark, path)
+    return _above(counts, "cell_id"), _above(counts, "gene_id")
+
+
+def _above(counts: DataFrame, column: str) -> int:
+    most = counts.agg(F.max(column)).first()[0]
+    return 0 if most is None else most + 1
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate entries, counted from 0; of a symmetric matrix both halves. The size line is the only one before the entries that is no comment, so it is told apart by the header."""
     header = spark.read.text(path).where(F.col("value").startswith("%%MatrixMarket")).limit(1).first()
@@ -72,14 +81,22 @@ def read_wide_tsv(spark: SparkSession, path: str) -> DataFrame:
     numbered = wide.select(F.monotonically_increasing_id().alias("_g"), *[F.col(f"`{c}`") for c in cells]).withColumnsRenamed({c: str(i) for i, c in enumerate(cells)})
     tall = numbered.unpivot("_g", [F.col(f"`{i}`") for i in range(len(cells))], "cell", "v")
     counts = tall.select("_g", F.col("cell").cast("long").alias("cell_id"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).cast("long").alias("cnt")).where("cnt <> 0")
-    ids = counts.select("_g").distinct().withColumn("gene_id", (F.row_number().over(Window.orderBy("_g")) - 1).cast("int"))
-    return normalise_counts(counts.join(ids, "_g").select("cell_id", "gene_id", "cnt"))
+    return normalise_counts(counts.join(_gene_ids(counts), "_g").select("cell_id", "gene_id", "cnt"))
+
+
+def _gene_ids(counts: DataFrame) -> DataFrame:
+    return numbered(counts, "_g", "gene_id").withColumn("gene_id", F.col("gene_id").cast("int"))
 
 
 def tsv_names(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """Cell names of the header, and the first column."""
+    """Cell names of the header, and (gene_id, gene): the first column of the genes that have counts, by their numbers."""
     wide = spark.read.csv(path, sep="\t", header=True)
-    return wide.columns[1:], wide.select(F.col(f"`{wide.columns[0]}`").alias("gene"))
+    cells = wide.columns[1:]
+    held = F.lit(False)
+    for i in range(len(cells)):
+        held |= F.coalesce(F.col(f"c{i}").cast("double"), F.lit(0.0)).cast("long") != 0
+    rows = wide.toDF("gene", *[f"c{i}" for i in range(len(cells))]).withColumn("_g", F.monotonically_increasing_id()).where(held).select("_g", "gene")
+    return cells, rows.join(_gene_ids(rows), "_g").select("gene_id", "gene")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
