@@ -283,7 +283,7 @@ def _parts(p: F.Column, pairs: list[tuple[int, int]]) -> list[F.Column]:
     return [F.slice(p, start, length) for start, length in pairs]
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, pair_bits: int = 24, triple_bits: int = 20, bucket_words: int = 1_500_000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, pair_bits: int = 23, triple_bits: int = 20, bucket_words: int = 1_500_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the ``top`` phrases of each language.
 
     A bucket holds the suffixes of about ``bucket_words`` words; a pair or triple with a quarter of that is hot.
