@@ -886,3 +886,21 @@ def test_surrogates_are_new_across_types(spark):
     table = surrogates.assign(spark.createDataFrame(rows, "doc_id long, text string"), b"k").where("kind <> 'initial'").collect()
     values, new = {r.value.lower() for r in table}, [r.new.lower() for r in table]
     assert len(set(new)) == len(new) and not values & set(new)
+
+
+def test_repeats_shuffle_no_texts_to_tell_them_apart_where_many_are_touched(spark, docs, monkeypatch):
+    want = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(docs).collect()}
+    monkeypatch.setattr(repeats, "BROADCAST_IDS", 0)
+    got = repeats.remove_repeats(docs)
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_met_once_are_not_indexed():
+    rng = np.random.default_rng(2)
+    context = rng.integers(97, 123, (40, 76)).astype(np.uint8)
+    context[30:] = context[:10]
+    serves = rng.integers(0, 1 << 27, 40)
+    serves[30:] = serves[:10]
+    kept = repeats._held_twice(context, serves, 50)
+    assert (kept[:10] == serves[:10]).all() and (kept[30:] == serves[30:]).all() and not kept[10:30].any()
