@@ -334,3 +334,18 @@ def test_files_and_commands(spark, tmp_path):
     out = cli.main(["audit-doublets", str(tmp_path / "m.npy"), str(tmp_path / "z.txt"), str(tmp_path / "audit")])
     assert out["calls"] == {"likely_simplet": 2} and json.loads((tmp_path / "audit.json").read_text())["n_cells"] == 4
     assert files.find_files(spark, str(tmp_path), "*.tsv")[0].endswith("m.tsv")
+
+
+def test_words_of_documents_are_counted_without_a_shuffle(spark, tmp_path):
+    from sparsefold.sources import tables
+
+    rows = [(1, "b A b-c  a", "src2"), (2, None, "src1"), (3, "", "src1"), (4, "x", None), (5, "é 12", "src1")]
+    for name, more in (("once", []), ("again", [(4, "x y", None)]), ("none", [(None, "q q", "src3")])):
+        spark.createDataFrame(rows + more, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        s = tables.document_words(spark, f"{tmp_path}/{name}")
+        want = {(1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (4, "x"): 1 + (name == "again")} | ({(4, "y"): 1} if name == "again" else {}) | ({(None, "q"): 2} if name == "none" else {})
+        assert {(r.cell_id, r.gene_id): r.cnt for r in s.counts.collect()} == want
+        assert ("Exchange" in s.counts._jdf.queryExecution().executedPlan().toString()) == (name != "once")
+        got = {(r.cluster_id, r.gene_id): r.cnt for r in s.cluster_gene.collect()}
+        joined = s.counts.join(s.assign, "cell_id").groupBy("cluster_id", "gene_id").agg(F.sum("cnt").alias("cnt"))
+        assert got == {(r.cluster_id, r.gene_id): r.cnt for r in joined.collect()}
