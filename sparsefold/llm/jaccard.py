@@ -19,7 +19,9 @@ near the lower end of its grade also takes part in the grade below. Signatures t
 each. Candidates that hang together form a block, and a set goes to its block once.
 
 Members of a large block are first compared with a few pivots, which settles most of a group of near
-copies in time proportional to its size; the rest meet, in leaves of bounded size, every leaf of the block.
+copies in time proportional to its size. Of the rest, only those meet that share enough of their tokens that are
+rarest in the block (prefixes, exact as well); sets whose rarest tokens are held by more sets than a leaf has meet, in
+leaves of bounded size, every leaf of such sets of the block.
 
 Defined cases: null or empty text has an empty set and is linked with nothing; a null doc_id gets its
 n_shingles and no component; rows with one doc_id belong together; repeated rows get equal results; an
@@ -51,6 +53,8 @@ BROADCAST_TOKENS = 4_000_000
 BROADCAST_UNITS = 500_000
 PIVOTS = 8
 ROUNDS = 3
+#: Tokens that the prefixes of two sets must share, if their overlap has so many.
+MEET = 3
 
 
 @lru_cache(maxsize=None)
@@ -324,6 +328,32 @@ def _hinted(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _rare_links(large: DataFrame, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """``large`` (id, block, joined, tokens) -> links (a, b) by tokens that at most ``leaf`` sets of the block hold, and the ids of sets with others in their prefix.
+
+    Tokens go from the rarest in the block on. Where two sets overlap in o tokens, the first ``MEET`` common ones (or all
+    o) lie within the first n - o + ``MEET`` of either set. A pair with only one or no set of the second kind shares
+    ``MEET`` tokens of the first kind there; what lies behind the last of these bounds the rest of its overlap.
+    """
+    rows = large.select("id", "block", "joined", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("block", "token"))).where("c > 1")
+    held = rows.groupBy("id", "block", "joined", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("r"))
+    # tokens that no other set holds come first and are only counted
+    length = f"cast(greatest(0, least(n, n - ({percent} * n + 99) div 100 + {MEET}) - (n - size(r))) as int)"
+    held = save(held.select("id", "block", "joined", "n", F.expr("n - size(r)").alias("alone"), F.expr(f"slice(r, 1, {length})").alias("r")), "prefixes")
+    places = held.select("id", "block", "joined", "n", "alone", F.posexplode("r").alias("i", "p")).select("id", "block", "joined", "n", (F.col("alone") + F.col("i")).alias("at"), "p.c", "p.token")
+    often = save(places.where(F.col("c") > leaf).select("id").distinct(), "often")
+    rare = places.where(F.col("c") <= leaf)
+    one, two = (rare.select("block", "token", F.col("id").alias(x), F.col("joined").alias(f"j{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    met = one.join(two, ["block", "token"]).where(f"a < b and ja <> jb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("s"), F.max("ata").alias("ata"), F.max("atb").alias("atb"))
+    met = met.where(f"s >= least({MEET}, ({percent} * greatest(na, nb) + 99) div 100) and {100 + percent} * (s + least(na - ata, nb - atb) - 1) >= {percent} * (na + nb)")
+    sets = large.select("id", "tokens")
+    both = save(met.select("a", "b"), "near").join(sets.withColumnsRenamed({"id": "a", "tokens": "ta"}), "a").join(sets.withColumnsRenamed({"id": "b", "tokens": "tb"}), "b")
+    both = both.withColumn("same", F.size(F.array_intersect("ta", "tb"))).where(100 * F.col("same") >= percent * (F.size("ta") + F.size("tb") - F.col("same")))
+    return save(both.select("a", "b"), "links"), often
+
+
 def links(members: DataFrame, percent: int, leaf: int) -> DataFrame:
     """``members`` (id, block, tokens), a written table -> links (a, b) between ids that connect all that the threshold connects."""
     sizes = save(members.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(f"size > {leaf}"), "large")
@@ -357,6 +387,9 @@ def links(members: DataFrame, percent: int, leaf: int) -> DataFrame:
         known = known.withColumn("joined", F.coalesce("joined", "id"))
         main = known.where("size is not null").groupBy("block", "joined").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max(F.struct("c", F.col("joined"))).alias("m"))
         main = save(main.select("block", F.col("m.joined").alias("main")), "main")
+        rare, often = _rare_links(large.join(_hinted(joined, BROADCAST_IDS), "id", "left").withColumn("joined", F.coalesce("joined", "id")), percent, leaf)
+        edges = edges.unionByName(rare)
+        known = known.where("size is null").unionByName(known.where("size is not null").join(_hinted(often, BROADCAST_IDS), "id", "left_semi"))
         known = known.join(_hinted(main, BROADCAST_IDS), "block", "left").withColumn("settled", F.coalesce(F.col("joined") == F.col("main"), F.lit(False)))
         # leaves in the order of size, by counts per size; a leaf is known by twice its number, plus one if settled
         per_size = known.groupBy("block", "settled", "n").agg(F.count(F.lit(1)).alias("c"))
