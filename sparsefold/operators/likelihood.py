@@ -25,15 +25,43 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_CLUSTERS + 1).count() <= BROADCAST_CLUSTERS else df
 
 
+#: Rows of a table, those most often met, that a join by gene broadcasts; the others are met by a shuffle.
+BROADCAST_GENES = 300_000
+
+
+def met_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str, most: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (unique by ``keys``, ``size`` > 0; read three times): the rows of largest ``size``, at most ``most``, are broadcast.
+
+    Few genes make most of the counts, so most rows stay where they are and only those of rare genes are shuffled.
+    """
+    most = BROADCAST_GENES if most is None else most
+    level = F.floor(F.log2(size) * 4)
+    levels = sorted(table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    held, cut = 0, None
+    for at, n in levels:
+        held += n
+        if held > most:
+            break
+        cut = at
+    if not levels or cut == levels[-1][0]:
+        return rows.join(F.broadcast(table) if levels else table, keys)
+    if cut is None:
+        return rows.join(table, keys)
+    large = F.broadcast(table.where(level >= cut))
+    rest = rows.join(F.broadcast(table.where(level >= cut).select(*keys)), keys, "left_anti").join(table.where(level < cut), keys)
+    return rows.join(large, keys).unionByName(rest)
+
+
 def _head(total, psi0: float):
     """ln Gamma(psi0) - ln Gamma(total + psi0), exactly 0 for a total of 0."""
     z = f"{float(psi0)!r}D"
     return F.when(F.col(total) == 0, 0.0).otherwise(lgamma(z) - lgamma(f"{total} + {z}"))
 
 
-def grouped_ll(rows: DataFrame, keys: DataFrame, key: str, prior: DataFrame, psi0: float) -> DataFrame:
-    """Likelihood of each summed count vector; ``keys`` (key, total) keeps those without counts, whose likelihood is 0."""
-    body = rows.join(prior, "gene_id").groupBy(key).agg(F.sum(gain("cnt", "psi")).alias("body"))
+def grouped_ll(rows: DataFrame, keys: DataFrame, key: str, prior: DataFrame, psi0: float, many: bool = False) -> DataFrame:
+    """Likelihood of each summed count vector; ``keys`` (key, total) keeps those without counts, whose likelihood is 0. ``many``: the rows are to stay where they are, as far as they can."""
+    met = met_by_size(rows, prior, ["gene_id"], "psi") if many else rows.join(prior, "gene_id")
+    body = met.groupBy(key).agg(F.sum(gain("cnt", "psi")).alias("body"))
     return keys.join(body, key, "left").withColumn("ll", _head("total", psi0) + F.coalesce("body", F.lit(0.0))).drop("body")
 
 
@@ -43,7 +71,7 @@ def cluster_ll(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFram
 
 def cell_ll(counts: DataFrame, totals: DataFrame, prior: DataFrame, psi0: float) -> DataFrame:
     """Each cell as a cluster of its own."""
-    return grouped_ll(counts, totals.select("cell_id", "total"), "cell_id", prior, psi0)
+    return grouped_ll(counts, totals.select("cell_id", "total"), "cell_id", prior, psi0, many=True)
 
 
 def partition_ll(cluster_gene: DataFrame, cluster_stat: DataFrame, prior: DataFrame, psi0: float, scales: list[float] = (1.0,)) -> DataFrame:
