@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsefold.operators import likelihood as L
+from sparsefold.operators import ranking
 from sparsefold.operators.model import Partition
 from sparsefold.plans import registry
 from sparsefold.sources import tables
@@ -58,3 +59,23 @@ def test_counts_by_cell_are_not_written(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "saved", lambda df: written.append(df.columns) or saved(df))
     registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert written and not any("cell_id" in c for c in written)
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_pairs_of_seeds_and_cells_are_not_shuffled(spark, tmp_path, monkeypatch, again):
+    """Many blocks of seeds, and batches of few rows; ``again``: a doc_id that repeats and one that is null."""
+    duckdb = pytest.importorskip("duckdb")
+    for name, value in (("SEED_GENES", 7), ("CELLS_AT_ONCE", 2), ("PAIR_ROWS", 3), ("BITS", 0.3)):
+        monkeypatch.setattr(ranking, name, value, raising=False)
+    words = "all one two three four five six seven eight nine".split()
+    rows = [(i, " ".join(words[(i * k) % (2 + i % 9)] for k in range(i % 23)), f"site{i % 3}" if i % 7 else None) for i in range(0, 900, 10)]
+    rows += [(-100, "all two", "site9"), (905, None, "site1"), (906, 'zebra "q"', "site1")] + [(100, "six six all", "site1"), (None, "all nine", "site2")] * again
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["rare_overlap"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(seed_id" not in plan
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["rare_overlap"]).fetchall()
+    assert got.columns == ["seed_id", "cell_id", "overlap"] and len(want) > 500
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
