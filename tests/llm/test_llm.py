@@ -904,3 +904,25 @@ def test_windows_met_once_are_not_indexed():
     serves[30:] = serves[:10]
     kept = repeats._held_twice(context, serves, 50)
     assert (kept[:10] == serves[:10]).all() and (kept[30:] == serves[30:]).all() and not kept[10:30].any()
+
+
+def test_tables_and_shuffles_of_a_step_go_before_the_next(spark, monkeypatch):
+    import os
+
+    held, there, freed, kept, free = {}, {}, [], repeats.save, repeats.free_shuffles
+
+    def save(df, name):
+        there[name] = {n for n, f in held.items() if os.path.exists(f)}, len(freed)
+        out = kept(df, name)
+        held[name] = out.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        return out
+
+    monkeypatch.setattr(repeats, "save", save)
+    monkeypatch.setattr(repeats, "free_shuffles", lambda s: (freed.append(1), free(s)))
+    shared = "".join(chr(97 + i * i % 23) for i in range(70))
+    rows = [(i, f"{i} " * 30 + shared) for i in range(6)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed >= 70 for r in got) == [False] + [True] * 5
+    assert "anchors" not in there["contexts"][0] and there["contexts"][1] == 1
+    assert not {"anchors", "candidates", "local"} & there["lost"][0] and there["lost"][1] == 2
+    assert "contexts" not in there["touched"][0] and there["touched"][1] == 3
